@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, near_dedup, packing, sharding, token_counts, url_filter
+from . import fingerprint, licences, mixing, near_dedup, neighbours, packing, quality, sharding, token_counts, url_filter
 
 URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -22,6 +22,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.search(_table(spark, sf_dir, "embeddings"), "id % 50 = 0", k=5)
+    return found.select("query_id", "rank", F.col("neighbour").alias("vec_id"), "score")
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_pairs(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,31 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def held_out(key: str = "doc_id"):
+    """Rows that no fit may see."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 4 == 2
+
+
+def quality_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Chain:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out())
+    return quality.fit(docs, labels)
+
+
+QUALITY_FROM = 0.7
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = docs.select("doc_id", quality.score(quality_chain(spark, docs, sf_dir), F.col("text")).alias("score"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand for files ``source/lang/doc_id``."""
+    files = _table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string")))
+    return licences.scan(files)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -52,7 +82,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fingerprints, op3_token_counts, op4_mixing, op5_sharding, op8_packing, op9_near_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_neighbours, op2_fingerprints, op3_token_counts, op4_mixing, op5_sharding, op6_quality, op7_licences, op8_packing, op9_near_dedup, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
