@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,12 +111,13 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """For each document: its digest, that of its text with the last quarter of the code points replaced by the start of the next
     document's (ascending key, ties by text; the last is followed by the first), and the likenesses.  Texts are shuffled once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row of the batch before: key, text, digest, range
-        for b in batches:
-            keys, texts = list(b[key]), [x if isinstance(x, str) else "" for x in b[text]]
+        for batch in batches:
+            b = dict(zip(batch.schema.names, batch.columns, strict=True))
+            keys, texts = b[key].to_pylist(), b[text].to_pylist()
             own = digests([t.encode() for t in texts])
-            ranges, copies = list(b["__range"]), list(b["__copy"])
+            ranges, copies = b["__range"].to_pylist(), b["__copy"].to_pylist()
             rows = [] if held is None else [held]
             rows += [(k, t, f, r) if not c else (None, t, f, r, True) for k, t, f, r, c in zip(keys, texts, own, ranges, copies, strict=True)]
             out, nexts = [], []
@@ -131,15 +133,15 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         if held is not None:
             raise AssertionError("a range ended without its successor")
 
-    def finish(out: list[tuple], nexts: list[tuple]) -> pd.DataFrame:
+    def finish(out: list[tuple], nexts: list[tuple]) -> pa.RecordBatch:
         edited = []
         for x, y in zip(out, nexts, strict=True):
             k = len(x[1]) // 4
             edited.append((x[1][: len(x[1]) - k] + y[1][:k]).encode())
         own, new, nxt = np.stack([x[2] for x in out]), digests(edited), np.stack([y[2] for y in nexts])
-        return pd.DataFrame(
+        return pa.RecordBatch.from_pydict(
             {
-                key: pd.array([None if pd.isna(x[0]) else int(x[0]) for x in out], dtype="Int64"),
+                key: pa.array([x[0] for x in out], pa.int64()),
                 "n_chars": [len(x[1]) for x in out],
                 "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
                 "fingerprint": [encode(r) for r in own],
@@ -151,4 +153,4 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     rows = with_next_bucket(docs.select(F.col(key).cast("long").alias(key), F.coalesce(text, F.lit("")).alias(text)), key, [text])
     schema = f"`{key}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

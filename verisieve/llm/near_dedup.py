@@ -17,7 +17,8 @@ shingles take true independent minima, larger ones one-permutation buckets (empt
 75 are in both tables, so no pair falls between.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer than five words are one
-shingle; rows that repeat an id are one document to the graph; an empty table gives an empty result; other columns are ignored.
+shingle; rows that repeat an id are one document to the graph; a row without an
+id stands for itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,25 +137,28 @@ def band_keys(s: np.ndarray, raw: np.ndarray) -> np.ndarray:
 def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: bool = True, sets: bool = False) -> DataFrame:
     """key, n_shingles, digest (null for an empty set), and as asked bands (array of long) and the set itself (binary); no shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [key, "n_shingles", "digest", *["bands"] * bands, *["shingles"] * sets]
+    kinds = [pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * bands, *[pa.binary()] * sets]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = WordHashes()
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 out = []
-                for k, t in zip(part[key], part[text], strict=True):
-                    words = t.encode().lower().split() if isinstance(t, str) else []
+                for t in part.column(1).to_pylist():
+                    words = t.encode().lower().split() if t else []
                     s = shingles(words, store)
-                    row = [k, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None]
+                    row = [len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None]
                     if bands:
                         row.append(band_keys(s, raw_registers(s)).view(np.int64))
                     if sets:
                         row.append(s.tobytes())
                     out.append(row)
-                yield pd.DataFrame(out, columns=[key, "n_shingles", "digest", *["bands"] * bands, *["shingles"] * sets])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
 
     schema = f"`{key}` {dict(docs.dtypes)[key]}, n_shingles long, digest binary" + ", bands array<long>" * bands + ", shingles binary" * sets
-    return docs.select(key, text).mapInPandas(run, schema)
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 _CORRECTION: dict[tuple[int, int], float] = {}
@@ -269,4 +274,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     final = classes.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = d.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
     out = out.select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col(key) == F.col("component_id"))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

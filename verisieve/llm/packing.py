@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,20 +108,23 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 2,
     """key, piece, start, length, ids_crc32; no shuffle."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordTokenizer(tokenizer)
         for b in batches:
-            out: list[tuple] = []
-            for k, t in zip(b[key], b[text], strict=True):
-                ids = coder.encode(t if isinstance(t, str) else "") + end
+            rows, out = [], []
+            for i, t in enumerate(b.column(1)):
+                ids = coder.encode(t.as_py() or "") + end
                 n = len(ids) // 4
                 start, stop, p = 0, n % length or min(n, length), 0
                 while start < n:
-                    out.append((k, p, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                    rows.append(i)
+                    out.append((p, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
                     start, stop, p = stop, stop + length, p + 1
-            yield pd.DataFrame(out, columns=[key, "piece", "start", "length", "ids_crc32"])
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *columns], [key, "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, piece int, start long, length long, ids_crc32 long")
 
 
 def patterns(counts: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ import base64
 import math
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 MAX_PIECE = 16
@@ -60,13 +60,13 @@ def count_words(words: list[bytes], scores: dict[bytes, float]) -> dict[bytes, i
 def token_counts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words long, n_tokens long for every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = load_scores(vocabulary)
         known: dict[bytes, int] = {}
         for b in batches:
             n_words, n_tokens = [], []
-            for t in b[text]:
-                words = t.encode().split() if isinstance(t, str) else []
+            for t in b.column(1).to_pylist():
+                words = t.encode().split() if t else []
                 new = {w for w in words if w not in known}
                 if new:
                     if len(known) + len(new) > STORE:
@@ -76,6 +76,6 @@ def token_counts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
                     known.update((w[1:], n) for w, n in counted.items())
                 n_words.append(len(words))
                 n_tokens.append(sum(map(known.__getitem__, words)))
-            yield pd.DataFrame({key: b[key], "n_words": n_words, "n_tokens": n_tokens})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], [key, "n_words", "n_tokens"])
 
-    return df.select(key, text).mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, n_words long, n_tokens long")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, n_words long, n_tokens long")
