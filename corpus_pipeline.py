@@ -1,11 +1,49 @@
-"""The corpus pipeline (stages are added as their operators land)."""
+"""The corpus pipeline: quality classifier, near-dedup, mixing to target weights, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.  Part of the ``llm``
+subpackage in all but place.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verisieve.llm import mixing, near_dedup, packing, quality
+from verisieve.llm.common import materialize
+from verisieve.llm.queries import QUALITY_FROM, quality_chain, tokenizer_file
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the line classifier rejects."""
+    chain = quality_chain(spark, docs, sf_dir)
+    return docs.withColumn("__score", quality.score(chain, F.col("text"))).where(F.col("__score") >= QUALITY_FROM).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    found = near_dedup.near_duplicates(docs, percent=80)
+    return docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes, as documents; a document taken twice comes twice."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixed documents and their places in sequences."""
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [("quality classifier", keep_good), ("near-dedup", keep_one_of_each), ("mixing", mix_sources), ("packing", pack_tokens)]
+
+#: SQL can express none of the stages; tests hold them against brute force and invariants.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
