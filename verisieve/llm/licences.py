@@ -51,7 +51,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     lines = F.split(F.coalesce(F.col(text), F.lit("")), r"\n|(?<=[.!?])[ \t]+")
     head = F.filter(lines, lambda s: s.rlike(CUE))
     words = lambda c: F.regexp_count(c, F.lit(r"\S+"))
-    narrow = files.select(F.col(key).alias("id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.array_distinct(F.transform(head, F.trim)).alias("head"), (words(F.array_join(head, " ")) >= share * words(F.coalesce(F.col(text), F.lit("")))).alias("mostly"))
+    narrow = files.select(F.col(key).alias("id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.array_distinct(F.transform(head, lambda s: F.trim(s))).alias("head"), (words(F.array_join(head, " ")) >= share * words(F.coalesce(F.col(text), F.lit("")))).alias("mostly"))
     narrow = materialize(narrow.withColumns({"dir": F.regexp_replace("path", r"/?[^/]*$", ""), "mostly": F.col("mostly") & (F.size("head") > 0)}))
     said = narrow.where(F.size("head") > 0).select("id", "path", F.explode("head").alias("s"))
     sentences = materialize(said.groupBy("s").agg(F.count(F.lit(1)).alias("n")))
