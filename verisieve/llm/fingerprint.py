@@ -87,14 +87,13 @@ def with_next_bucket(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     n = partitions(df.sparkSession)
     k = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
     d = df.withColumn("__k", k)
-    cut = d.agg(F.min("__k").alias("lo"), F.percentile_approx("__k", [i / n for i in range(1, n)] or [0.5], 10_000 * max(1, n // 500)).alias("q")).first()
-    if cut["lo"] is None:
-        starts: list[int] = [0]
-    else:
-        starts = sorted({cut["lo"], *(cut["q"] or [])})
+    cuts = sorted(set(d.agg(F.percentile_approx("__k", [i / n for i in range(n)], 10_000 * max(1, n // 500))).first()[0] or [0]))
+    literal = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    # approximate quantiles need not be keys: each range starts at its own smallest key (a row per range)
+    near = F.size(F.filter(literal(cuts), lambda x: x <= F.col("__k")))
+    starts = sorted(r[1] for r in d.select(near.alias("r"), "__k").groupBy("r").agg(F.min("__k")).collect()) or [0]
     width = max(1, math.isqrt(len(starts)))
     rows = [starts[i : i + width] for i in range(0, len(starts), width)]
-    literal = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
     coarse, fine = literal([r[0] for r in rows]), F.array(*(literal(r) for r in rows))
     at = F.size(F.filter(coarse, lambda x: x <= F.col("__k")))
     within = F.size(F.filter(F.element_at(fine, at), lambda x: x <= F.col("__k")))
