@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize, salted_offsets
+from .common import WORD, materialize, partitions, salted_offsets
 
 ROUNDS = 12
 #: Slots in an output shard on average, and in a row before it is spread.
@@ -73,7 +73,7 @@ def plan(sources: DataFrame, block: int, seed: int) -> DataFrame:
 
     def spread(df: DataFrame, count: str, *by: str) -> DataFrame:
         """A row for each of 0..count-1, through chunks, so that no task makes a hot source's rows alone."""
-        c = df.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK)))).repartition(*by, "c")
+        c = df.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK)))).repartition(partitions(df.sparkSession), *by, "c")
         return c.withColumn("k", F.explode(F.sequence(F.col("c") * CHUNK, F.least(F.col(count), (F.col("c") + 1) * CHUNK) - 1))).drop("c")
 
     drawn = spread(s, "slots", "sid").select("sid", "n", F.pmod(F.xxhash64(F.lit(seed), "sid", "k"), "shards").alias("shard"))
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     low = F.greatest(F.col("start"), F.col("idx") * block) - F.col("start")
     high = F.least(end, (F.col("idx") + 1) * block) - F.col("start")
     pieces = pieces.withColumns({"low": low, "high": F.greatest(high, low)})
-    met = pieces.join(by_block, ["sid", "idx"], "left")
+    met = pieces.join(by_block.hint("merge"), ["sid", "idx"], "left")  # its size is that of the slots, which the planner cannot see
     runs = F.transform("passes", lambda p: F.struct(p.alias("pass_no"), F.col("low").alias("low"), F.col("high").alias("high")))
     met = met.withColumns({"words": (F.col("high") - F.col("low")) * F.greatest(F.size("passes"), F.lit(0)), "runs": F.coalesce(runs, F.array().cast("array<struct<pass_no:bigint,low:bigint,high:bigint>>"))})
     by = ["sid", "rank", "doc_id", "source", "size", "source_size", "target", "h"]
@@ -115,15 +115,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus, with the columns of ``docs``: a row for each document and pass that takes any of it, its text the words taken in
     that pass, its ``n_chars`` the new length.  A pass that takes the whole document keeps its text unchanged."""
-    m = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), "h", "size", F.explode(F.array(F.lit(0), F.lit(1))).alias("p"), "runs")
-    m = m.withColumn("runs", F.filter("runs", lambda r: r.pass_no == F.col("p"))).where(F.size("runs") > 0).dropDuplicates(["__id", "h", "p"])
+    m = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "size", F.explode(F.array(F.lit(0), F.lit(1))).alias("p"), "runs")
+    m = m.withColumn("runs", F.filter("runs", lambda r: r.pass_no == F.col("p"))).where(F.size("runs") > 0)
+    m = m.groupBy("__id", "__h", "size", "p").agg(F.min("runs").alias("runs"))  # rows that repeat an id and text share one run list
     whole = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r.high - r.low) == F.col("size")
-    m = m.select("__id", "h", F.when(whole, F.array()).otherwise(F.col("runs")).alias("runs"))
-    d = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    j = d.join(m, (F.col("doc_id") == F.col("__id")) & (d["h"] == m["h"]))
+    m = m.select("__id", "__h", F.when(whole, F.array()).otherwise(F.col("runs")).alias("__runs"))
+    d = docs.withColumn("__h0", F.xxhash64(F.coalesce("text", F.lit(""))))
+    j = d.join(m, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h0") == F.col("__h")))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    taken = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("words"), (r.low + 1).cast("int"), (r.high - r.low).cast("int")))), " ")
-    j = j.withColumn("words", F.when(F.size("runs") > 0, words))
-    new = F.when(F.size("runs") > 0, taken).otherwise(F.col("text"))
-    j = j.withColumn("text", new).withColumn("n_chars", F.length("text").cast("long"))
+    j = j.withColumn("__words", F.when(F.size("__runs") > 0, words))
+    taken = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(F.col("__words"), (r.low + 1).cast("int"), (r.high - r.low).cast("int")))), " ")
+    j = j.withColumn("text", F.when(F.size("__runs") > 0, taken).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
     return j.select(*docs.columns)
