@@ -21,6 +21,10 @@ from pyspark.sql.window import Window
 from .common import discard, materialize, salted_offsets
 
 
+#: Copies of a group's target row.
+SALTS = 16
+
+
 def narrow(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(key).alias("doc_id"), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(F.encode(t, "utf-8")).cast("long").alias("text_crc32"), F.md5(F.encode(t, "utf-8")).alias("group"))
@@ -40,7 +44,9 @@ def wishes(state: DataFrame, shards: int, capacity: int) -> DataFrame:
     group = held.groupBy("group").agg(F.sum("n").alias("n"), order.alias("o")).where("n > 1")
     need = F.least(F.size("o"), F.ceil(F.col("n") / capacity).cast("int"))
     group = group.select("group", F.transform(F.slice("o", 1, need), lambda x: x.shard).alias("targets"))
-    j = state.join(group, "group", "left")
+    # a group's row is copied per salt, so that a hot group's members meet it in several tasks
+    group = group.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    j = state.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(group.hint("merge"), ["group", "salt"], "left").drop("salt")
     pick = F.element_at("targets", (F.pmod(F.xxhash64("row"), F.size("targets")) + 1).cast("int"))
     return j.withColumn("want", F.when(F.array_contains("targets", F.col("shard")), F.col("shard")).otherwise(pick)).drop("targets")
 
@@ -59,7 +65,7 @@ def exchange(state: DataFrame, shards: int) -> DataFrame:
     quota = quota.withColumn("low", used).withColumn("take", F.least(F.col("rest"), F.col("f") - F.col("low")))
     quota = materialize(quota.select("s", "d", (F.col("swap") + F.col("take")).alias("go"), "low", (F.col("low") + F.col("take")).alias("high")))
     # who goes: the first of a pseudorandom order within (shard, want)
-    ranked = salted_offsets(state.withColumn("w", F.coalesce("want", F.lit(-1))), ["shard", "w"], ["row"], "k")
+    ranked = salted_offsets(state.withColumn("w", F.coalesce("want", F.lit(-1))), ["shard", "w"], ["row"], "k", buckets=64)
     goes = F.broadcast(quota.select(F.col("s").alias("shard"), F.col("d").alias("w"), "go"))  # shards² rows
     to = quota.where("high > low").groupBy(F.col("d").alias("shard")).agg(F.collect_list(F.struct("low", "high", "s")).alias("out"))
     r = ranked.join(goes, ["shard", "w"], "left").join(F.broadcast(to), "shard", "left")  # to: a row per shard
