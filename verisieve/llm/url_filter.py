@@ -5,8 +5,7 @@ decides.  Elsewhere a model decides: a unigram Viterbi search splits each host l
 trained on the URLs that rules decide, scores host words and path tokens.
 
 Everything is keyed by distinct hosts, distinct path shapes and tokens, so a host with a third of all pages is segmented and scored once.
-Joins back to pages put nothing above the join that needs a key together, so Spark can split a hot host over tasks.  Word counts come
-from all pages' text; the word table is joined on substrings and never broadcast.
+Scores join back to pages under a salt, which spreads a hot host over tasks.  Word counts come from all pages' text; the word table is joined on substrings and never broadcast.
 
 Defined cases: a null URL or one without ``://`` has empty host and path; repeated rows are judged alike; an empty table gives an empty
 result; if the rules decide no page, or pages of one class only, the model has no second class and says ``allow`` (resp. that class).
@@ -26,6 +25,8 @@ from .common import ascii_lower, materialize
 
 #: Longest word that the segmenter looks for; longer unbroken runs are split or kept as unknown words of at most this length.
 MAX_WORD = 20
+#: Copies of a host's or path shape's score, so that the pages of a hot one meet it in several tasks.
+SALTS = 16
 
 
 def parse(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -85,8 +86,8 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
         )
     )
     named = labels.where(n > 0).select("label", F.explode(F.array_distinct(subs)).alias("word"))
-    found = named.join(counts, "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("words"))
-    rows = labels.where(n > 0).join(found, "label", "left").select("label", "words.word", "words.n")
+    found = named.join(counts.hint("merge"), "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    rows = labels.where(n > 0).join(found.hint("merge"), "label", "left").select("label", "words.word", "words.n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unknown = lambda k: math.log(10.0 / total) - k * math.log(10.0)
@@ -140,9 +141,11 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], key: str = "page_i
     prior = math.log(p["block"] / p["allow"])
 
     def score(side: str, tokens: DataFrame, name: str) -> DataFrame:
-        return tokens.join(weights, "token", "left").groupBy(side).agg(F.sum(F.col("tf") * F.coalesce("w", F.lit(unseen))).alias(name))
+        s = tokens.join(weights, "token", "left").groupBy(side).agg(F.sum(F.col("tf") * F.coalesce("w", F.lit(unseen))).alias(name))
+        return s.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
 
-    scored = base.join(score("host", hosts, "hs"), "host", "left").join(score("shape", shapes, "ps"), "shape", "left")
+    base = base.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    scored = base.join(score("host", hosts, "hs"), ["host", "salt"], "left").join(score("shape", shapes, "ps"), ["shape", "salt"], "left")
     odds = F.lit(prior) + F.coalesce("hs", F.lit(0.0)) + F.coalesce("ps", F.lit(0.0))
     odds = F.when(F.col("rule").isNull(), odds)
     return scored.select(key, "host", "path", "rule", F.coalesce("rule_verdict", F.when(odds > 0, "block").otherwise("allow")).alias("verdict"), odds.alias("score"))
