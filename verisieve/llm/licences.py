@@ -7,8 +7,8 @@ weigh as much as a word seen in no header.  The best sentence decides a file's o
 A file whose header makes up at least a fifth of its words is a licence file of its directory.  Files without an own licence take that of
 the nearest ancestor directory that has a licence file, found by joins of directory paths.
 
-Scale: texts are read once and not shuffled.  A sentence or a directory that a third of all files share is scored once; joins back to files
-have nothing above that needs a key together, so Spark can split them.  Template tables are broadcast; their size is fixed here.
+Scale: texts are read once and not shuffled.  A sentence or a directory that a third of all files share is scored once; directories
+join back to files under a salt, and nothing above the join of sentences needs a key together, so Spark can split it.  Template tables are broadcast; their size is fixed here.
 
 Defined cases: a null or empty text has no header and no licence; a null path is the root; equal scores go to the template that comes first
 by name, equal licence files to the smaller path; repeated rows are scored alike; an empty table gives an empty result.
@@ -38,6 +38,8 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved.", "Copyright, all rights reserved, no part may be reproduced without permission."],
 }
 CUE = r"(?i)licen[cs]e|copyright|spdx|all rights reserved|public domain|permission is hereby|redistribution and use"
+#: Copies of a directory's row, so that the files of a hot one meet it in several tasks.
+SALTS = 16
 WORDS = r"[\p{L}\p{N}]+(?:\.[0-9]+)*"
 
 
@@ -81,9 +83,10 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     dirs = own.select("dir").distinct()
     parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
     up = dirs.withColumn("parts", parts).select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts")), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice("parts", 1, d), "/").alias("a")))).alias("u"))
-    near = up.join(licensed.withColumnRenamed("dir", "a0"), F.col("u.a") == F.col("a0")).groupBy("dir").agg(F.max(F.struct(F.col("u.depth").alias("depth"), F.col("a0").alias("inherited_from"), "inherited_licence")).alias("b"))
+    near = up.join(licensed.withColumnRenamed("dir", "a0").hint("merge"), F.col("u.a") == F.col("a0")).groupBy("dir").agg(F.max(F.struct(F.col("u.depth").alias("depth"), F.col("a0").alias("inherited_from"), "inherited_licence")).alias("b"))
     near = near.select("dir", "b.inherited_licence", "b.inherited_from")
-    out = own.join(near, "dir", "left")
+    near = near.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    out = own.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int")).join(near, ["dir", "salt"], "left")
     takes = F.col("own_licence").isNull()
     return out.select(
         F.col("id").alias(key), "path", "own_licence", "score", F.when(takes, F.col("inherited_licence")).alias("inherited_licence"), F.when(takes, F.col("inherited_from")).alias("inherited_from"), F.coalesce("own_licence", "inherited_licence").alias("licence")
