@@ -143,6 +143,19 @@ def test_small_and_large_sketches_find_pairs_at_the_border():
     assert found == total
 
 
+def test_pairs_between_the_two_tables_meet_at_80_percent(spark):
+    rng = random.Random(11)
+    rows = []
+    for small, large in ((63, 76), (63, 77), (63, 78), (62, 76), (62, 77), (61, 76)):
+        for _ in range(5):
+            w = [f"w{rng.getrandbits(60)}" for _ in range(large + 4)]  # as many shingles as the size says
+            k = 10 * len(rows)
+            rows += [(k, " ".join(w[: small + 4]), "en", "s", 0), (k + 1, " ".join(w), "en", "s", 0)]
+    want = plain_components(rows, 80)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), 80).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 30
+
+
 def test_estimate_corrects_accidental_matches():
     rng = np.random.default_rng(6)
     shared, one, two = (rng.integers(0, 2**64 - 1, k, dtype=np.uint64) for k in (4000, 1000, 1000))

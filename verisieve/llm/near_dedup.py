@@ -13,8 +13,8 @@
 4. Connected components of confirmed links.
 
 A pair at the threshold of 0.85 shares no band with probability 1e-9, at 0.8 with 8e-6 (64 bands of 8 registers).  Sets of at most 75
-shingles take true independent minima, larger ones one-permutation buckets (empty ones borrow along a fixed random chain); sets of 64 to
-75 are in both tables, so no pair falls between.
+shingles take true independent minima, larger ones one-permutation buckets (empty ones borrow along a fixed random chain).  Sets of up to 75
+that a set of 76 or more can link with at the threshold are in both tables (from 64 at 85 %, from 61 at 80 %), so no pair falls between.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer than five words are one
 shingle; rows that repeat an id are one document to the graph; a row without an
@@ -39,7 +39,7 @@ SHINGLE = 5
 ROWS, BANDS = 8, 64
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
-SMALL, LARGE = 75, 64
+SMALL = 75
 BLOCK = 512
 STORE = 1_000_000
 
@@ -121,11 +121,16 @@ def filled(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(s: np.ndarray, raw: np.ndarray) -> np.ndarray:
+def large_from(percent: int) -> int:
+    """Size from which sets are in the table of larger sets: the smallest that links with a set which is too large for the other, 64 at most."""
+    return min(64, -(-percent * (SMALL + 1) // 100))
+
+
+def band_keys(s: np.ndarray, raw: np.ndarray, percent: int = 85) -> np.ndarray:
     out = []
     if 0 < len(s) <= SMALL:
         out.append((compressed(mixed(s[None, :] ^ _SEEDS[:, None]).min(axis=1)), _KIND[0]))
-    if len(s) >= LARGE:
+    if len(s) >= large_from(percent):
         out.append((filled(raw), _KIND[1]))
     keys = []
     for registers, kind in out:
@@ -134,7 +139,7 @@ def band_keys(s: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: bool = True, sets: bool = False) -> DataFrame:
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: bool = True, sets: bool = False, percent: int = 85) -> DataFrame:
     """key, n_shingles, digest (null for an empty set), and as asked bands (array of long) and the set itself (binary); no shuffle."""
 
     names = [key, "n_shingles", "digest", *["bands"] * bands, *["shingles"] * sets]
@@ -151,7 +156,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: bo
                     s = shingles(words, store)
                     row = [len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None]
                     if bands:
-                        row.append(band_keys(s, raw_registers(s)).view(np.int64))
+                        row.append(band_keys(s, raw_registers(s), percent).view(np.int64))
                     if sets:
                         row.append(s.tobytes())
                     out.append(row)
@@ -256,7 +261,7 @@ def confirmed(members: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    d = materialize(sketches(docs))
+    d = materialize(sketches(docs, percent=percent))
     classes = materialize(d.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     rows = d.select("doc_id", "digest", "bands").join(classes, "digest").where("doc_id = rep")
     rows = materialize(rows.select("rep", F.explode("bands").alias("band")))
