@@ -72,6 +72,26 @@ def test_neighbours_recall_with_narrow_windows(spark):
     assert len(got) == 24 and hits / (5 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("noise", [0.03, 0.01, 0.001])
+def test_neighbours_recall_with_a_third_in_one_tight_group(spark, noise):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 64))
+    group = np.arange(6000) % 3 == 0
+    x[group] = x[0] + rng.normal(size=(2000, 64)) * noise
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.search(df, "id % 60 = 0", least=0, block=128).collect():
+        got[r.query_id].add(r.neighbour)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q in got:
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+    print("recall in the group", noise, hits / (5 * len(got)))
+    assert len(got) == 100 and hits / (5 * len(got)) >= 0.9
+
+
 def test_neighbours_of_few_and_none(spark):
     df = spark.createDataFrame([(50, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted(neighbours.search(df, "id % 50 = 0").collect(), key=lambda r: r["rank"])

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours along shifted space-filling curves.
 
 Vectors are scaled to length one and projected on a few random directions, once per curve; each coordinate is shifted, squashed to a grid
-and the grid cell becomes its index on a Hilbert curve.  Every curve orders all vectors; Spark range-partitions that order and turns it
+and the grid cell becomes its index on a Hilbert curve, with 14 bits a direction, so that a tight group still lies in many cells; what shares
+a cell is ordered by a hash, another one on each curve.  Every curve orders all vectors; Spark range-partitions that order and turns it
 into exact positions, which are cut into blocks of ``block`` rows.  A query looks at the blocks around its own on every curve; what it
 finds there is ranked by the cosine of the original vectors, and the curves' lists are merged.
 
@@ -28,11 +29,16 @@ from pyspark.sql.window import Window
 
 from .common import materialize, partitions
 
-CURVES, DIRECTIONS, BITS = 12, 8, 3
+CURVES, DIRECTIONS = 12, 8
+#: Bits a direction in each of the two words of a key: 8 x 7 bits fit a long.
+BITS = 7
 
 
-def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Index of each grid cell (a row of unsigned coordinates below 2**bits) on the Hilbert curve: Skilling's transform (2004), by column."""
+def hilbert(cells: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each grid cell (a row of unsigned coordinates below 2**bits) on the Hilbert curve: Skilling's transform (2004), by column.
+
+    In two words, as 8 x 14 bits do not fit one: the upper half of the bits of all coordinates, then the lower half.
+    """
     x = cells.T.astype(np.uint32)
     n, top = len(x), 1 << (bits - 1)
     q = top
@@ -52,20 +58,22 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
         flip ^= np.where((x[n - 1] & np.uint32(q)) != 0, np.uint32(q - 1), np.uint32(0))
         q >>= 1
     x ^= flip
-    key = np.zeros(x.shape[1], dtype=np.int64)
+    key = np.zeros((2, x.shape[1]), dtype=np.int64)
     for b in range(bits - 1, -1, -1):
+        word = int(b < bits // 2)
         for i in range(n):
-            key = key << 1 | (x[i] >> np.uint32(b) & np.uint32(1))
-    return key
+            key[word] = key[word] << 1 | (x[i] >> np.uint32(b) & np.uint32(1))
+    return key[0], key[1]
 
 
-def curve_key(unit: np.ndarray, curve: int, seed: int) -> np.ndarray:
+def curve_key(unit: np.ndarray, curve: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coarse and fine word of the vectors' places on a curve."""
     rng = np.random.default_rng([seed, curve])
     d = min(DIRECTIONS, unit.shape[1])
     directions = np.linalg.qr(rng.normal(size=(unit.shape[1], d)))[0]
     z = unit @ directions * np.sqrt(unit.shape[1]) + rng.uniform(-0.5, 0.5, size=d)
-    cells = (1 / (1 + np.exp(-1.702 * z)) * (1 << BITS)).astype(np.int64)
-    return hilbert(np.clip(cells, 0, (1 << BITS) - 1), BITS)
+    cells = (1 / (1 + np.exp(-1.702 * z)) * (1 << 2 * BITS)).astype(np.int64)
+    return hilbert(np.clip(cells, 0, (1 << 2 * BITS) - 1), 2 * BITS)
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -111,10 +119,12 @@ def search(vectors: DataFrame, query: str, k: int = 5, key: str = "vec_id", vect
                 x = np.stack(b["v"].to_numpy())
                 x = x / np.sqrt((x * x).sum(axis=1))[:, None]
                 for c in range(CURVES):
-                    yield b.assign(curve=c, key=curve_key(x, c, seed))[["curve", "key", "rep", "asks", "v"]]
+                    coarse, fine = curve_key(x, c, seed)
+                    yield b.assign(curve=c, key=coarse, fine=fine)[["curve", "key", "fine", "rep", "asks", "v"]]
 
-    index = one.mapInPandas(keyed, "curve int, key long, rep long, asks boolean, v array<double>")
-    index = index.repartitionByRange(partitions(spark) * 2, "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep")
+    index = one.mapInPandas(keyed, "curve int, key long, fine long, rep long, asks boolean, v array<double>")
+    order = ["curve", "key", "fine", F.xxhash64("curve", "rep"), "rep"]  # what shares a cell comes in another order on each curve
+    index = index.repartitionByRange(partitions(spark) * 2, *order).sortWithinPartitions(*order)
     placed = positions(index)
     n = kinds.count()
     blocks = max(1, -(-n // block))
