@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -72,6 +74,25 @@ def test_token_counts_against_unshared_search(docs, rows, empty):
     assert token_counts.token_counts(empty, path).count() == 0
 
 
+def test_token_counts_know_the_whole_vocabulary(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:  # read here, without the operator's help
+        scores = {base64.b64decode(a): -math.log(int(b) + 1.0) for a, b in map(bytes.split, f)}
+    longest = max(map(len, scores))
+
+    def tokens(w: bytes) -> int:
+        best = [(0.0, 0)]
+        for i in range(1, len(w) + 1):
+            best.append(max((best[j][0] + scores[w[j:i]], best[j][1] - 1) for j in range(max(0, i - longest), i) if w[j:i] in scores))
+        return -best[-1][1]
+
+    one = ["responsibilities", "telecommunications", "misunderstanding", "characterization", "disproportionately", "entrepreneurship"]
+    texts = [*one, "-" * 64, "=" * 64, "_" * 64, "-" * 63 + " " + "-" * 200, "responsibilitiesX xresponsibilities", *(p.decode() for p in scores if len(p) > 16 and p.isascii() and not p.strip().count(b" "))]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA), path).collect()}
+    assert [got[i] for i in range(len(one))] == [1] * len(one)
+    assert got == {i: sum(tokens(b" " + w) for w in t.encode().split()) for i, t in enumerate(texts)}
+
+
 def shingle_set(text):
     w = [x.translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})) for x in WORD.findall(text or "")]
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])

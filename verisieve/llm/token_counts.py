@@ -5,8 +5,8 @@ of a batch are inserted in a trie: sorted, they come in its depth-first order, a
 so each trie edge is scored once.  A terminal stores the token count of its word; later occurrences are one look-up.
 
 The vocabulary is that of a public byte-level tokenizer (a ``.tiktoken`` file; its path is a parameter).  Nothing is trained: the score of
-the piece with rank r is ``-log(r + 1)``, Zipf's law.  Pieces of over ``MAX_PIECE`` bytes are left out; all single bytes are in, so every
-word can be split.  Ties go to fewer tokens.
+the piece with rank r is ``-log(r + 1)``, Zipf's law.  Every piece counts, whatever its length: those of over ``NEAR`` bytes, which are few,
+are looked up by their last ``NEAR`` bytes.  All single bytes are in, so every word can be split.  Ties go to fewer tokens.
 
 Each task counts its own rows: no shuffle, no broadcast but the vocabulary (fixed size).  The store of counted words is cleared when it
 holds ``STORE`` words, which bounds memory and changes no result.  A null or empty text has 0 words and 0 tokens.
@@ -21,18 +21,31 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-MAX_PIECE = 16
+#: Bytes back from a place where every start is tried.
+NEAR = 16
+#: Longest piece of the public vocabularies, for plain searches; nothing here is bounded by it.
+MAX_PIECE = 128
 STORE = 500_000
 
 
 def load_scores(path: str) -> dict[bytes, float]:
     with open(path, "rb") as f:
         ranks = ((base64.b64decode(a), int(b)) for a, b in map(bytes.split, f))
-        return {piece: -math.log(rank + 1.0) for piece, rank in ranks if len(piece) <= MAX_PIECE}
+        return {piece: -math.log(rank + 1.0) for piece, rank in ranks}
 
 
-def count_words(words: list[bytes], scores: dict[bytes, float]) -> dict[bytes, int]:
-    """Tokens of each distinct word."""
+def long_pieces(scores: dict[bytes, float]) -> dict[bytes, list[tuple[int, bytes, float]]]:
+    """Pieces of over ``NEAR`` bytes by their last ``NEAR`` bytes: length, piece, score."""
+    out: dict[bytes, list[tuple[int, bytes, float]]] = {}
+    for piece, s in scores.items():
+        if len(piece) > NEAR:
+            out.setdefault(piece[-NEAR:], []).append((len(piece), piece, s))
+    return out
+
+
+def count_words(words: list[bytes], scores: dict[bytes, float], long: dict[bytes, list[tuple[int, bytes, float]]] | None = None) -> dict[bytes, int]:
+    """Tokens of each distinct word; ``long`` is ``long_pieces(scores)``, if it is at hand."""
+    long = long_pieces(scores) if long is None else long
     out: dict[bytes, int] = {}
     best: list[tuple[float, int]] = [(0.0, 0)]  # by depth: best score, and minus the tokens it takes
     last = b""
@@ -44,13 +57,20 @@ def count_words(words: list[bytes], scores: dict[bytes, float]) -> dict[bytes, i
         del best[shared + 1 :]
         for i in range(shared + 1, len(w) + 1):
             top = (-math.inf, 0)
-            for j in range(max(0, i - MAX_PIECE), i):
+            for j in range(max(0, i - NEAR), i):
                 s = get(w[j:i])
                 if s is not None:
                     b = best[j]
                     c = (b[0] + s, b[1] - 1)
                     if c > top:
                         top = c
+            if i > NEAR:
+                for k, piece, s in long.get(w[i - NEAR : i], ()):
+                    if k <= i and w[i - k : i] == piece:
+                        b = best[i - k]
+                        c = (b[0] + s, b[1] - 1)
+                        if c > top:
+                            top = c
             best.append(top)
         out[w] = -best[len(w)][1]
         last = w
@@ -62,6 +82,7 @@ def token_counts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = load_scores(vocabulary)
+        long = long_pieces(scores)
         known: dict[bytes, int] = {}
         for b in batches:
             n_words, n_tokens = [], []
@@ -72,7 +93,7 @@ def token_counts(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
                     if len(known) + len(new) > STORE:
                         known.clear()
                         new = set(words)
-                    counted = count_words([b" " + w for w in new], scores)
+                    counted = count_words([b" " + w for w in new], scores, long)
                     known.update((w[1:], n) for w, n in counted.items())
                 n_words.append(len(words))
                 n_tokens.append(sum(map(known.__getitem__, words)))
