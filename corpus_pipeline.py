@@ -21,9 +21,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    found = near_dedup.near_duplicates(docs, percent=80)
-    return docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near-duplicates stays: the one with the smallest id, ids before none.
+
+    Groups are of rows, not of ids: a null id, a repeated row or an id with several texts is judged by its text alone.  Rows without
+    words are linked with nothing and all stay.
+    """
+    held = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))  # written, so that a row keeps its number
+    found = near_dedup.near_duplicates(held, percent=80, key="__row").select(F.col("__row").alias("__r"), "component_id")
+    names = held.select("__row", F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h"))
+    first = F.min(F.struct("none", "doc_id", "h", "__row")).alias("k")
+    kept = names.join(found, F.col("__row") == F.col("__r")).groupBy("component_id").agg(first).select(F.col("k.__row").alias("__row"))
+    return held.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,6 +250,13 @@ def test_licences(spark, empty):
     assert licences.scan(empty.withColumn("path", F.lit("a/b"))).count() == 0
 
 
+def test_licences_of_rows_without_an_id_and_of_repeated_ones(spark):
+    mit, none = "Released under the MIT License.", "no word of it"
+    rows = [(None, "a/x", mit), (None, "b/y", none), (None, "c/z", mit), (1, "d/x", mit), (1, "d/x", mit), (2, "e/x", none), (2, "e/x", mit + "\n" + "word " * 90)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()
+    assert Counter((r.doc_id, r.path, r.own_licence) for r in got) == Counter((k, p, "MIT" if mit in t else None) for k, p, t in rows)
+
+
 def test_licence_cosines_against_plain_python(spark):
     texts = ["Licensed under the Apache License, Version 2.0.", "licensed to all of you under version 2.0", "Copyright and license", "Released under the MIT License."] * 2
     got = {r.doc_id: (r.own_licence, r.score) for r in licences.scan(spark.createDataFrame([(i, f"p/{i}", t) for i, t in enumerate(texts)], "doc_id long, path string, text string"), least=0.0).collect()}
@@ -296,6 +303,29 @@ def test_url_filter_of_nothing_and_without_classes(spark):
     assert [(r.rule, r.verdict) for r in got] == [(None, "allow")] * 2
 
 
+def test_pipeline_stages_with_null_ids_and_repeated_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, labels = quality_docs()
+    rng = random.Random(21)
+    own = [" ".join(words(rng, 60)) for _ in range(5)]
+    odd = [(None, own[0], "en", "s", 0), (None, own[1], "en", "s", 0), (None, own[1] + " end", "en", "s", 0), (7000, own[2], "en", "s", 0), (7000, own[2], "en", "s", 0), (7001, own[3], "en", "s", 0), (None, own[3], "en", "s", 0)]
+    odd += [(7002, own[2], "en", "s", 0), (7002, own[4], "en", "s", 0)]  # an id with two texts, one of them a copy
+    docs = spark.createDataFrame(odd, SCHEMA).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect())
+    assert len(got) == sum(got.values()) == 5
+    assert {(None, own[0]), (7000, own[2]), (7001, own[3]), (7002, own[4])} < set(got)
+    kept = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in got], SCHEMA)
+    mixed = corpus_pipeline.mix_sources(spark, kept, "").collect()
+    assert None in {r.doc_id for r in mixed}
+    packed = corpus_pipeline.pack_tokens(spark, kept, "").collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(k for k, _ in got)
+    spark.createDataFrame([(i, q, 0) for i, q in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = rows[0][1] if dict(labels)[rows[0][0]] else rows[1][1]
+    both = spark.createDataFrame([*rows, (None, good, "en", "s", 0), (None, good, "en", "s", 0)], SCHEMA)
+    assert corpus_pipeline.keep_good(spark, both, str(tmp_path)).where("doc_id is null").count() == 2
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

@@ -11,7 +11,8 @@ Scale: texts are read once and not shuffled.  A sentence or a directory that a t
 join back to files under a salt, and nothing above the join of sentences needs a key together, so Spark can split it.  Template tables are broadcast; their size is fixed here.
 
 Defined cases: a null or empty text has no header and no licence; a null path is the root; equal scores go to the template that comes first
-by name, equal licence files to the smaller path; repeated rows are scored alike; an empty table gives an empty result.
+by name, equal licence files to the smaller path; rows are judged each by its own text, also
+without an id or with the id and path of another; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,8 +55,8 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     head = F.filter(lines, lambda s: s.rlike(CUE))
     words = lambda c: F.regexp_count(c, F.lit(r"\S+"))
     narrow = files.select(F.col(key).alias("id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.array_distinct(F.transform(head, lambda s: F.trim(s))).alias("head"), (words(F.array_join(head, " ")) >= share * words(F.coalesce(F.col(text), F.lit("")))).alias("mostly"))
-    narrow = materialize(narrow.withColumns({"dir": F.regexp_replace("path", r"/?[^/]*$", ""), "mostly": F.col("mostly") & (F.size("head") > 0)}))
-    said = narrow.where(F.size("head") > 0).select("id", "path", F.explode("head").alias("s"))
+    narrow = materialize(narrow.withColumns({"row": F.monotonically_increasing_id(), "dir": F.regexp_replace("path", r"/?[^/]*$", ""), "mostly": F.col("mostly") & (F.size("head") > 0)}))
+    said = narrow.where(F.size("head") > 0).select("row", F.explode("head").alias("s"))
     sentences = materialize(said.groupBy("s").agg(F.count(F.lit(1)).alias("n")))
     terms = sentences.select("s", "n", F.explode(_tokens(F.col("s"))).alias("w")).groupBy("s", "n", "w").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -76,8 +77,8 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     best = dots.join(size, "s").groupBy("s").agg(F.max_by(F.struct("name", F.round(F.col("dot") / F.col("size"), 9).alias("score")), F.struct(F.round(F.col("dot") / F.col("size"), 9), F.hash(F.lit(0)), -F.ascii("name"))).alias("b"))
     judged = materialize(best.select("s", "b.name", "b.score").where(F.col("score") >= least))
 
-    own = said.join(judged, "s").groupBy("id", "path").agg(F.max(F.struct("score", "name")).alias("o")).select("id", "path", F.col("o.name").alias("own_licence"), F.col("o.score").alias("score"))
-    own = materialize(narrow.select("id", "path", "dir", "mostly").join(own, ["id", "path"], "left"))
+    own = said.join(judged, "s").groupBy("row").agg(F.max(F.struct("score", "name")).alias("o")).select("row", F.col("o.name").alias("own_licence"), F.col("o.score").alias("score"))
+    own = materialize(narrow.select("row", "id", "path", "dir", "mostly").join(own, "row", "left"))
     # one licence file for each directory that has any
     licensed = own.where("mostly and own_licence is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("m"), "path", "own_licence")).alias("l")).select("dir", F.col("l.own_licence").alias("inherited_licence"))
     dirs = own.select("dir").distinct()
@@ -86,7 +87,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     near = up.join(licensed.withColumnRenamed("dir", "a0").hint("merge"), F.col("u.a") == F.col("a0")).groupBy("dir").agg(F.max(F.struct(F.col("u.depth").alias("depth"), F.col("a0").alias("inherited_from"), "inherited_licence")).alias("b"))
     near = near.select("dir", "b.inherited_licence", "b.inherited_from")
     near = near.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    out = own.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int")).join(near, ["dir", "salt"], "left")
+    out = own.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(near, ["dir", "salt"], "left")
     takes = F.col("own_licence").isNull()
     return out.select(
         F.col("id").alias(key), "path", "own_licence", "score", F.when(takes, F.col("inherited_licence")).alias("inherited_licence"), F.when(takes, F.col("inherited_from")).alias("inherited_from"), F.coalesce("own_licence", "inherited_licence").alias("licence")
