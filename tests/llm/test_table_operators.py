@@ -250,6 +250,20 @@ def test_licences(spark, empty):
     assert licences.scan(empty.withColumn("path", F.lit("a/b"))).count() == 0
 
 
+@pytest.mark.parametrize("size", [300, 30_000])
+def test_licences_with_extra_words_at_any_table_size(spark, size):
+    asked = {
+        "Acme is released under the MIT License.": "MIT", "This project is licensed under the Apache License, Version 2.0.": "Apache-2.0", "Copyright 2024 Acme Inc, all rights reserved.": "Proprietary",
+        "Acme is released under the ISC License.": None, "We at Acme asked for a license to fish.": None,
+    }
+    usual = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "All rights reserved.", "Released under the ISC License.", "Copyright Acme Inc"]
+    many = spark.range(size).select("id", F.element_at(F.array(*(F.lit(x) for x in usual)), (F.col("id") % 5 + 1).cast("int")).alias("text"))
+    few = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(asked)], "id long, text string")
+    files = many.unionByName(few).select(F.col("id").alias("doc_id"), F.concat(F.lit("p"), "id", F.lit("/x")).alias("path"), "text")
+    got = {r.doc_id: r.own_licence for r in licences.scan(files).where("doc_id < 0").collect()}
+    assert got == {-1 - i: v for i, v in enumerate(asked.values())}
+
+
 def test_licences_of_rows_without_an_id_and_of_repeated_ones(spark):
     mit, none = "Released under the MIT License.", "no word of it"
     rows = [(None, "a/x", mit), (None, "b/y", none), (None, "c/z", mit), (1, "d/x", mit), (1, "d/x", mit), (2, "e/x", none), (2, "e/x", mit + "\n" + "word " * 90)]

@@ -1,8 +1,13 @@
 """Licence scans, with DataFrame operations only.
 
-Sentences of a file's text that speak of licences are its header.  Each distinct header sentence becomes a sparse TF-IDF vector and is
-compared by cosine with licence templates.  Document frequencies of template words count every file's header; words that no template has
-weigh as much as a word seen in no header.  The best sentence decides a file's own licence.
+Sentences of a file's text that speak of licences are its header.  A sentence is judged by its ``fit``: the best cosine of TF-IDF vectors
+between a licence template and a window of the sentence with as many words as the template (the whole sentence where that is shorter),
+so words before and after do not count.  Windows start at a word of the template.  Document frequencies are those of every header word,
+over all files.  A window must hold a word that only this family of licences has in its templates, if the template has such words: "the
+ISC License" is not MIT.  The best sentence decides a file's own licence.
+
+``score`` is another, stricter figure: the cosine of the best of those sentences as a whole, in which a word that no template has weighs
+as much as a word seen in no header.  It falls with every extra word and decides nothing.
 
 A file whose header makes up at least a fifth of its words is a licence file of its directory.  Files without an own licence take that of
 the nearest ancestor directory that has a licence file, found by joins of directory paths.
@@ -17,6 +22,8 @@ without an id or with the id and path of another; an empty table gives an empty
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -48,6 +55,35 @@ def _tokens(c):
     return F.regexp_extract_all(F.lower(c), F.lit(f"({WORDS})"), F.lit(1))
 
 
+def own_words() -> list[tuple[str, int, str]]:
+    """name, template, word: words of templates that no other family of licences (its name up to the version) has in any."""
+    said = [(k, i, w) for k, xs in TEMPLATES.items() for i, x in enumerate(xs) for w in set(re.findall(r"[^\W_]+(?:\.[0-9]+)*", x.lower())) if w[0].isalpha()]
+    families: dict[str, set[str]] = {}
+    for k, _, w in said:
+        families.setdefault(w, set()).add(re.split(r"-?\d", k)[0])
+    return sorted(x for x in said if len(families[x[2]]) == 1)
+
+
+def fits(sentences: DataFrame, terms: DataFrame, weighed: DataFrame, total: DataFrame) -> DataFrame:
+    """s, name, fit: the template that fits a window of each sentence best; equal ones by name."""
+    spark = sentences.sparkSession
+    df = terms.groupBy("w").agg(F.sum("n").alias("df"))
+    said = sentences.select("sid", F.size(_tokens(F.col("s"))).alias("len"), F.posexplode(_tokens(F.col("s"))).alias("pos", "w"))
+    said = materialize(said.join(df, "w").join(F.broadcast(total)).select("sid", "len", "pos", "w", (F.log((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("x")))
+    marks = spark.createDataFrame(own_words(), "name string, i int, w string").withColumn("mark", F.lit(True))
+    every = Window.partitionBy("name", "i")  # templates only: their number is fixed
+    t = weighed.join(marks, ["name", "i", "w"], "left").select("name", "i", "w", (F.col("tw") / F.col("norm")).alias("u"), F.sum("tf").over(every).alias("long"), F.coalesce("mark", F.lit(False)).alias("mark"))
+    t = materialize(t.withColumn("marked", F.max("mark").over(every)))
+    start = F.least(F.col("pos"), F.greatest(F.col("len") - F.col("long"), F.lit(0))).cast("int")
+    starts = said.join(F.broadcast(t.select("w", "name", "i", "long", "marked")), "w").select("sid", "name", "i", "long", "marked", start.alias("start")).distinct()
+    window = ["sid", "name", "i", "marked", "start"]
+    words = starts.select(*window, F.explode(F.sequence("start", (F.col("start") + F.col("long") - 1).cast("int"))).alias("pos")).join(said.select("sid", "pos", "w", "x"), ["sid", "pos"])
+    words = words.groupBy(*window, "w").agg((F.count(F.lit(1)) * F.first("x")).alias("x")).join(F.broadcast(t.select("name", "i", "w", "u", "mark")), ["name", "i", "w"], "left")
+    each = words.groupBy(*window).agg(F.round(F.sum(F.col("x") * F.coalesce("u", F.lit(0.0))) / F.sqrt(F.sum(F.col("x") * F.col("x"))), 9).alias("fit"), F.max(F.coalesce("mark", F.lit(False))).alias("has"))
+    best = each.where("has or not marked").groupBy("sid").agg(F.min(F.struct((-F.col("fit")).alias("m"), "name")).alias("b"))
+    return sentences.select("sid", "s").join(best, "sid").select("s", "b.name", (-F.col("b.m")).alias("fit"))
+
+
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", least: float = 0.6, share: float = 0.2) -> DataFrame:
     """key, path, own_licence, score, inherited_licence, inherited_from, licence."""
     spark = files.sparkSession
@@ -57,7 +93,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     narrow = files.select(F.col(key).alias("id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.array_distinct(F.transform(head, lambda s: F.trim(s))).alias("head"), (words(F.array_join(head, " ")) >= share * words(F.coalesce(F.col(text), F.lit("")))).alias("mostly"))
     narrow = materialize(narrow.withColumns({"row": F.monotonically_increasing_id(), "dir": F.regexp_replace("path", r"/?[^/]*$", ""), "mostly": F.col("mostly") & (F.size("head") > 0)}))
     said = narrow.where(F.size("head") > 0).select("row", F.explode("head").alias("s"))
-    sentences = materialize(said.groupBy("s").agg(F.count(F.lit(1)).alias("n")))
+    sentences = materialize(said.groupBy("s").agg(F.count(F.lit(1)).alias("n")).withColumn("sid", F.monotonically_increasing_id()))
     terms = sentences.select("s", "n", F.explode(_tokens(F.col("s"))).alias("w")).groupBy("s", "n", "w").agg(F.count(F.lit(1)).alias("tf"))
 
     # templates: rows fixed by TEMPLATES
@@ -67,20 +103,20 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     df = terms.join(vocabulary, "w").groupBy("w").agg(F.sum("n").alias("df"))
     total = sentences.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
     idf = lambda: F.log((F.col("total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    weighed = t.join(F.broadcast(df), "w", "left").join(F.broadcast(total)).select("name", "i", "w", (F.col("tf") * idf()).alias("tw"), idf().alias("idf"))
+    weighed = t.join(F.broadcast(df), "w", "left").join(F.broadcast(total)).select("name", "i", "w", "tf", (F.col("tf") * idf()).alias("tw"), idf().alias("idf"))
     weighed = materialize(weighed.withColumn("norm", F.sqrt(F.sum(F.col("tw") * F.col("tw")).over(Window.partitionBy("name", "i")))))
     by_word = weighed.groupBy("w").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("name", "i", (F.col("tw") / F.col("norm")).alias("u"))).alias("us"))
     known = terms.join(F.broadcast(by_word), "w", "left").join(F.broadcast(total))
     known = known.withColumn("x", F.col("tf") * F.coalesce("idf", F.log(F.col("total") + 1) + 1))
     size = known.groupBy("s").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
     dots = known.where("us is not null").select("s", "x", F.explode("us").alias("u")).groupBy("s", "u.name", "u.i").agg(F.sum(F.col("x") * F.col("u.u")).alias("dot"))
-    best = dots.join(size, "s").groupBy("s").agg(F.max_by(F.struct("name", F.round(F.col("dot") / F.col("size"), 9).alias("score")), F.struct(F.round(F.col("dot") / F.col("size"), 9), F.hash(F.lit(0)), -F.ascii("name"))).alias("b"))
-    judged = materialize(best.select("s", "b.name", "b.score").where(F.col("score") >= least))
+    best = dots.join(size, "s").groupBy("s").agg(F.max(F.round(F.col("dot") / F.col("size"), 9)).alias("score"))
+    judged = materialize(fits(sentences, terms, weighed, total).where(F.col("fit") >= least).join(best, "s"))
 
-    own = said.join(judged, "s").groupBy("row").agg(F.max(F.struct("score", "name")).alias("o")).select("row", F.col("o.name").alias("own_licence"), F.col("o.score").alias("score"))
+    own = said.join(judged, "s").groupBy("row").agg(F.min(F.struct((-F.col("fit")).alias("m"), "name")).alias("o"), F.max("score").alias("score")).select("row", F.col("o.name").alias("own_licence"), "o.m", "score")
     own = materialize(narrow.select("row", "id", "path", "dir", "mostly").join(own, "row", "left"))
     # one licence file for each directory that has any
-    licensed = own.where("mostly and own_licence is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("m"), "path", "own_licence")).alias("l")).select("dir", F.col("l.own_licence").alias("inherited_licence"))
+    licensed = own.where("mostly and own_licence is not null").groupBy("dir").agg(F.min(F.struct("m", "path", "own_licence")).alias("l")).select("dir", F.col("l.own_licence").alias("inherited_licence"))
     dirs = own.select("dir").distinct()
     parts = F.when(F.col("dir") == "", F.array().cast("array<string>")).otherwise(F.split("dir", "/"))
     up = dirs.withColumn("parts", parts).select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size("parts")), lambda d: F.struct(d.alias("depth"), F.array_join(F.slice("parts", 1, d), "/").alias("a")))).alias("u"))
