@@ -145,10 +145,59 @@ def test_near_dedup_of_a_group_of_many_blocks(spark, monkeypatch):
     assert got == want and len({c for _, c in want.values()}) > 1
 
 
+def near(spark, rows, percent=85):
+    return near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA), percent).collect()
+
+
 def test_near_dedup_of_nothing_and_of_null_ids(spark, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
-    r = near_dedup.near_duplicates(spark.createDataFrame([(None, "a b c d e f", "en", "s", 1), (4, "a b c d e f", "en", "s", 1)], SCHEMA)).collect()
-    assert {x.doc_id: x.kept for x in r}[4]
+    rng = random.Random(31)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(None, " ".join(a), "en", "s", 1), (4, " ".join(a), "en", "s", 1), (3, " ".join([*a, "end"]), "en", "s", 1)]
+    rows += [(None, " ".join(b), "en", "s", 1), (None, " ".join([*b, "end"]), "en", "s", 1), (None, " ".join(c), "en", "s", 1), (9, " ".join([*c, "end"]), "en", "s", 1), (None, None, "en", "s", 1)]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near(spark, rows))
+    assert got == Counter([(None, 3, False), (4, 3, False), (3, 3, True), (None, None, True), (None, None, True), (None, 9, False), (9, 9, True), (None, None, True)])
+
+
+def test_near_dedup_of_ids_with_several_texts(spark):
+    rng = random.Random(32)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(k, " ".join(t), "en", "s", 1) for k, t in ((1, a), (1, b), (2, [*a, "end"]), (3, [*b, "end"]), (4, c), (1, a), (6, [*c, "end"]), (4, b))]
+    want = plain_components(rows)
+    assert {c for _, c in want.values()} == {1}
+    for part in (rows, rows[::-1]):
+        assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near(spark, part)) == Counter((r[0], len(shingle_set(r[1])), 1, r[0] == 1) for r in rows)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_dedup_at_every_size_round_the_border(spark, percent):
+    """A document of n shingles beside the longest that still links with it, and beside the first that does not."""
+    rng = random.Random(33)
+    rows = []
+    for n in range(55, 96):
+        most = 100 * n // percent
+        for large in (most, most + 1):
+            w = [f"w{rng.getrandbits(60)}" for _ in range(large + 4)]
+            rows += [(len(rows), " ".join(w[: n + 4]), "en", "s", 0), (len(rows) + 1, " ".join(w), "en", "s", 0)]
+    want = plain_components(rows, percent)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near(spark, rows, percent)}
+    assert got == want and len({c for _, c in want.values()}) == len(rows) // 2 + 41
+
+
+def test_near_dedup_of_a_cluster_of_groups_that_do_not_link(spark, monkeypatch):
+    """Versions of one long text: neighbours link, others share bands but do not; large and small groups in one cluster."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(34)
+    base, rows = words(rng, 400), []
+    for i in range(160):
+        w = list(base)
+        for j in range(18 * (i % 7 if i % 3 else 3)):
+            w[(j * 5) % 400] = f"v{i % 7 if i % 3 else 3}x{j}"
+        if i % 3:
+            w[399 - i] = f"own{i}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    want = plain_components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near(spark, rows)} == want
 
 
 def test_small_and_large_sketches_find_pairs_at_the_border():

@@ -2,23 +2,27 @@
 
 1. Every whole text becomes its set of distinct five-word shingles (64-bit hashes), a digest of that set, and a sketch: shingles fall into
    buckets, a bucket keeps the leading-zero count and ten mantissa bits of its smallest hash.  Documents with equal sets are one class,
-   stood for by its smallest id, before anything else is compared.
+   stood for by one row, before anything else is compared.
 2. Bands of compressed registers are looked up in one shuffle.  Each member of a band bucket is tied to the bucket's smallest member only,
    so a bucket of any size makes as many rows as it has members.  Connected ties give candidate clusters; every pair that shares a band
    is inside one cluster.
 3. Within a cluster, pairs pass a size filter and the collision-corrected Jaccard estimate of their sketches, less a margin of six
-   deviations; what passes is confirmed on the full sets.  Pairs that are already connected need no check.  A cluster of more than
-   ``BLOCK`` classes is dealt over tasks as pairs of blocks, so no task holds it all and nothing is capped; a task returns a spanning
-   forest of its links, not pairs.
-4. Connected components of confirmed links.
-
-A pair at the threshold of 0.85 shares no band with probability 1e-9, at 0.8 with 8e-6 (64 bands of 8 registers).  Sets of at most 75
-shingles take true independent minima, larger ones one-permutation buckets (empty ones borrow along a fixed random chain).  Sets of up to 75
-that a set of 76 or more can link with at the threshold are in both tables (from 64 at 85 %, from 61 at 80 %), so no pair falls between.
+   deviations; what passes is confirmed on the full sets.  First each class meets the smallest class that it is tied to; those linked to
+   the same one are a group already.  Then classes of different groups meet, as pairs of blocks of ``BLOCK`` units (a unit is a class, or
+   ``UNIT`` shingles of a larger one), so no task holds a cluster and nothing is capped.  Blocks of one group do not meet, so a large
+   cluster of true copies costs its size times the classes that are not of its main groups; only a cluster that falls into many groups is
+   quadratic, which is what it takes to lose no link.  A task returns a spanning forest of its links, not pairs.
+4. Connected components of confirmed links, and of classes that share an id.
+
+A pair at the threshold of 0.85 shares no band with probability 1e-9, at 0.8 with 8e-6 (64 bands of 8 registers); lower thresholds are
+refused.  Sets of at most 75 shingles take true independent minima, larger ones one-permutation buckets (empty ones borrow along a fixed
+random chain).  Sets of up to 75 that a set of 76 or more can link with at the threshold are in both tables (from 64 at 85 %, from 61 at
+80 %), so no pair falls between.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer than five words are one
-shingle; rows that repeat an id are one document to the graph; a row without an
-id stands for itself; an empty table gives an empty result; other columns are ignored.
+shingle; rows that repeat an id are one document to the graph, also if their texts differ; rows without an id take part by their texts,
+are united with no other row for lacking one, and have a null component only if no row of their component has an id; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import discard, materialize, partitions, salted_offsets
 from .components import components
@@ -40,8 +45,12 @@ ROWS, BANDS = 8, 64
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
 SMALL = 75
-BLOCK = 512
+#: Units in a block, and shingles in a unit.
+BLOCK = 128
+UNIT = 2048
+#: Words whose hashes a task keeps, and the longest word kept: together they bound the store in bytes.
 STORE = 1_000_000
+STORE_BYTES = 64
 
 _U = np.uint64
 _COEF = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -63,10 +72,12 @@ _KIND = mixed(np.arange(2, dtype=np.uint64) + _COEF[4])
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash, computed when first asked for."""
+    """Word -> 64-bit hash, computed when first asked for.  Long words are not kept."""
 
     def __missing__(self, w: bytes) -> int:
-        h = self[w] = xxhash.xxh3_64_intdigest(w)
+        h = xxhash.xxh3_64_intdigest(w)
+        if len(w) <= STORE_BYTES:
+            self[w] = h
         return h
 
 
@@ -190,14 +201,16 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def forest(ids: list[int], sets: list[np.ndarray], left: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked: a spanning forest.  With ``cross``, only pairs of a left and a right member are compared."""
+def forest(ids: list[int], sets: list[np.ndarray], left: np.ndarray, group: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
+    """Links that connect what is linked: a spanning forest.  Members of one ``group`` are connected already.
+
+    With ``cross``, only pairs of a left and a right member are compared.
+    """
     size = np.array([len(s) for s in sets])
     order = np.lexsort((ids, size))
-    size, side = size[order], left[order]
+    size, side, group = size[order], left[order], group[order].copy()
     raws = np.stack([raw_registers(sets[i]) for i in order])
     full = raws != 0
-    group = np.arange(len(order))
     scale = np.round(np.log2(np.maximum(size / REGISTERS, 2.0**-20))).astype(int)
     out = []
     for i in range(1, len(order)):
@@ -210,7 +223,8 @@ def forest(ids: list[int], sets: list[np.ndarray], left: np.ndarray, cross: bool
             continue
         either = (full[js] | full[i]).sum(axis=1)
         same = ((raws[js] == raws[i]) & full[i]).sum(axis=1)
-        c = accidental(int(scale[i]), int(scale[i]))
+        kinds, at = np.unique(scale[js], return_inverse=True)
+        c = np.array([accidental(int(scale[i]), int(x)) for x in kinds])[at]
         estimate = (same / either - c) / (1 - c)
         margin = 6 * np.sqrt(0.1275 / either) + 0.02
         ok = estimate >= percent / 100 - margin
@@ -221,13 +235,14 @@ def forest(ids: list[int], sets: list[np.ndarray], left: np.ndarray, cross: bool
     return out
 
 
-def confirmed(members: DataFrame, percent: int) -> DataFrame:
-    """u, v links from members (cluster, node, shingles, block, blocks)."""
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    m = members.withColumn("o", other)
-    m = m.select("cluster", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), (F.col("block") <= F.col("o")).alias("left"), "node", "shingles")
+def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
+    """u, v links from rows (cluster, a, b, left, node, grp, shingles): those of one (cluster, a, b) meet in one task.
+
+    Where a and b differ, left members meet right ones only.
+    """
     keys = ["cluster", "a", "b"]
-    m = m.repartition(partitions(members.sparkSession) * 2, *keys).sortWithinPartitions(*keys)
+    m = pairs.select(*keys, "left", "node", "grp", "shingles")
+    m = m.repartition(partitions(pairs.sparkSession) * 2, *keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -236,47 +251,96 @@ def confirmed(members: DataFrame, percent: int) -> DataFrame:
         def links() -> list[tuple[int, int]]:
             if len(held) < 2:
                 return []
-            one = dict.fromkeys(range(len(held)))
-            seen: set[int] = set()
-            for i, h in enumerate(held):  # rows that repeat an id
-                if h[0] in seen:
-                    del one[i]
-                seen.add(h[0])
-            rows = [held[i] for i in one]
-            return forest([r[0] for r in rows], [np.frombuffer(r[1], dtype=np.uint64) for r in rows], np.array([r[2] for r in rows]), now[1] != now[2], percent)
+            ids, sets, left, group = zip(*held, strict=True)
+            return forest(list(ids), [np.frombuffer(x, dtype=np.uint64) for x in sets], np.array(left), np.array(group), now[1] != now[2], percent)
 
         for b in batches:
             out = []
-            for c, x, y, left, node, s in zip(b["cluster"], b["a"], b["b"], b["left"], b["node"], b["shingles"], strict=True):
+            for c, x, y, left, node, g, s in zip(*(b[n] for n in (*keys, "left", "node", "grp", "shingles")), strict=True):
                 if (c, x, y) != now:
                     out += links()
                     held, now = [], (c, x, y)
-                held.append((node, s, left))
+                held.append((node, s, left, g))
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
         yield pd.DataFrame(links(), columns=["u", "v"], dtype="int64")
 
     return m.mapInPandas(run, "u long, v long")
 
 
+def stars(ties: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each node beside the smallest node that it is tied to, in chunks of about ``BLOCK`` nodes with a copy of that hub in each."""
+    near = materialize(ties.groupBy("u").agg(F.min("v").alias("hub")))
+    hubs = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("chunks"))
+    own = near.join(hubs, "hub").select(F.col("hub").alias("cluster"), F.pmod(F.xxhash64("u"), "chunks").alias("b"), F.col("u").alias("node"), F.lit(False).alias("left"))
+    head = hubs.select(F.col("hub").alias("cluster"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("b"), F.col("hub").alias("node"), F.lit(True).alias("left"))
+    return own.unionByName(head).join(sets, "node").withColumns({"a": F.lit(-1).cast("long"), "grp": F.col("node")})
+
+
+def block_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of blocks within a cluster.  ``members``: cluster, node, grp, weight (units).
+
+    A group of a block or more has blocks of its own, which need not meet each other; smaller groups share mixed blocks.  Blocks of a
+    cluster are numbered pool by pool, so the blocks that a member must meet are one or two runs of numbers.
+    """
+    size = members.groupBy("cluster", "grp").agg(F.sum("weight").alias("w"))
+    several = size.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster")
+    pool = size.join(several, "cluster").select("cluster", "grp", F.when(F.col("w") >= BLOCK, F.col("grp")).otherwise(-1).alias("pool"), "w")
+    m = materialize(members.join(pool.select("cluster", "grp", "pool"), ["cluster", "grp"]))
+    by = pool.groupBy("cluster", "pool").agg(F.ceil(F.sum("w") / BLOCK).cast("long").alias("n"))
+    up = Window.partitionBy("cluster").orderBy("pool").rowsBetween(Window.unboundedPreceding, -1)  # a row per pool
+    by = by.withColumns({"first": F.coalesce(F.sum("n").over(up), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("cluster"))})
+    m = salted_offsets(m, ["cluster", "pool"], ["node"], "rank", "weight", "start").join(by, ["cluster", "pool"])
+    run = lambda x, y: F.when(y >= x, F.sequence(x, y)).otherwise(F.array().cast("array<bigint>"))
+    zero = F.lit(0).cast("long")
+    apart = F.concat(run(zero, F.col("first") - 1), run(F.col("first") + F.col("n"), F.col("all") - 1))
+    m = m.withColumn("block", F.col("first") + F.floor(F.col("start") / BLOCK).cast("long"))
+    m = m.withColumn("o", F.explode(F.when(F.col("pool") == -1, run(zero, F.col("all") - 1)).otherwise(apart)))
+    m = m.select("cluster", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), (F.col("block") <= F.col("o")).alias("left"), "node", "grp")
+    return m.join(sets, "node")
+
+
+def shared_ids(d: DataFrame, classes: DataFrame) -> DataFrame:
+    """u, v: classes that rows with one id belong to, each tied to the smallest."""
+    h = F.xxhash64("digest")
+    several = d.where("doc_id is not null and digest is not null").groupBy("doc_id").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).where("lo <> hi").select("doc_id")
+    held = d.select("doc_id", "digest").join(several, "doc_id").join(classes.select("digest", "node"), "digest").select("doc_id", "node").distinct()
+    least = held.groupBy("doc_id").agg(F.min("node").alias("v"))
+    return held.join(least, "doc_id").where("node <> v").select(F.col("node").alias("u"), "v")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, kept."""
+    if not 80 <= percent <= 100:
+        raise ValueError("percent must lie between 80 and 100: the bands are made for that")
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    d = materialize(sketches(docs, percent=percent))
-    classes = materialize(d.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    rows = d.select("doc_id", "digest", "bands").join(classes, "digest").where("doc_id = rep")
-    rows = materialize(rows.select("rep", F.explode("bands").alias("band")))
-    hubs = rows.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).where("far > hub").select("band", "hub")
-    ties = rows.join(hubs, "band").where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
-    clusters = materialize(components(ties))
+    d = materialize(sketches(docs, percent=percent).withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k")
+    classes = d.where("digest is not null").groupBy("digest").agg(first, F.first("n_shingles").alias("size"))
+    classes = materialize(classes.select("digest", F.col("k.row").alias("node"), F.col("k.doc_id").alias("rep"), "size"))
+    rows = d.select("row", "bands").join(classes.select("node"), F.col("row") == F.col("node"))
+    rows = materialize(rows.select("node", F.explode("bands").alias("band")))
+    hubs = rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("far > hub").select("band", "hub")
+    ties = materialize(rows.join(hubs, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
     discard(rows)
-    ranked = salted_offsets(clusters, ["component"], ["node"], "rank")
-    blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("blocks"))
-    members = ranked.join(blocks, "component").select(F.col("component").alias("cluster"), "node", F.floor(F.col("rank") / BLOCK).cast("long").alias("block"), "blocks")
-    texts = docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sets = sketches(texts, "doc_id", "text", bands=False, sets=True).select("doc_id", "shingles")
-    links = materialize(confirmed(members.join(sets, F.col("node") == F.col("doc_id")).drop("doc_id"), percent))
-    found = components(links)
-    final = classes.join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    clusters = materialize(components(ties))
+    members = clusters.join(classes, "node").select(F.col("component").alias("cluster"), "node", "digest", "rep", F.ceil(F.greatest("size", F.lit(1)) / UNIT).cast("long").alias("weight"))
+    members = materialize(members)
+    asked = members.select("rep").distinct()
+    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    sets = sketches(texts, "doc_id", "text", bands=False, sets=True).where("digest is not null").groupBy("digest").agg(F.first("shingles").alias("shingles"))
+    sets = materialize(sets.join(members.select("digest", "node"), "digest").select("node", "shingles"))
+    near = materialize(confirmed(stars(ties, sets), percent))
+    # a star's link joins its hub and a node: the smaller of the two is the hub
+    hub = near.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("grp"))
+    grouped = materialize(members.select("cluster", "node", "weight").join(hub, "node", "left").withColumn("grp", F.coalesce("grp", "node")))
+    links = materialize(confirmed(block_pairs(grouped, sets), percent))
+    found = materialize(components(near.unionByName(links).unionByName(shared_ids(d, classes))))
+    label = classes.join(found, "node").groupBy("component").agg(F.min("rep").alias("least"))
+    named = found.join(label, "component").select("node", "least")
+    final = classes.join(named, "node", "left").select("digest", F.coalesce("least", "rep").alias("component_id"))
     out = d.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
-    out = out.select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    out = out.select(F.col("doc_id").alias(key), "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = materialize(out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id"))))
+    for t in (d, classes, ties, clusters, members, sets, near, grouped, links, found):
+        discard(t)
+    return out
