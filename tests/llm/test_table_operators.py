@@ -40,8 +40,9 @@ def vectors(spark, n=400):
 def test_neighbours_against_brute_force(spark):
     rows, df = vectors(spark)
     got = defaultdict(list)
-    for r in sorted(neighbours.search(df, "id % 50 = 0").collect(), key=lambda r: (r.query_id, r["rank"])):
+    for r in sorted(neighbours.search(df, "id % 50 = 0", least=1000).collect(), key=lambda r: (r.query_id, r["rank"])):
         got[r.query_id].append((r.neighbour, r.score))
+    # the window is the whole table here: 440 rows, of which ``least`` blocks round a query hold all
     good = [(i, np.asarray(v, dtype=np.float32).astype(float)) for i, v, _ in rows if i < 9000]
     ids, x = np.array([i for i, _ in good]), np.stack([v for _, v in good])
     assert set(got) == {i for i in ids if i % 50 == 0}
@@ -51,7 +52,7 @@ def test_neighbours_against_brute_force(spark):
         s[np.abs(s - 1) < 1e-12] = 1.0
         s[ids == q] = -9
         best = np.lexsort((ids, -s))[:5]
-        assert [f[0] for f in found] == ids[best].tolist()
+        assert [f[0] for f in found] == ids[best].tolist(), q
         assert [f[1] for f in found] == pytest.approx(s[best].tolist(), abs=1e-12)
 
 
@@ -80,7 +81,7 @@ def test_neighbours_recall_with_a_third_in_one_tight_group(spark, noise):
     x[group] = x[0] + rng.normal(size=(2000, 64)) * noise
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = defaultdict(set)
-    for r in neighbours.search(df, "id % 60 = 0", least=0, block=128).collect():
+    for r in neighbours.search(df, "id % 60 = 0", block=128).collect():
         got[r.query_id].add(r.neighbour)
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     hits = 0
@@ -99,6 +100,25 @@ def test_neighbours_of_few_and_none(spark):
     assert neighbours.search(df.where("false"), "id % 50 = 0").count() == 0
 
 
+def test_neighbours_of_several_lengths_and_magnitudes(spark):
+    rows = [(50, [1e-200, 1e-200]), (1, [2e-200, 0.0]), (2, [1e200, 1e200]), (3, [0.0, -1.0]), (100, [1.0, 0.0, 0.0]), (4, [1.0, 1.0, 0.0]), (5, [0.0, 0.0, 5e-324])]
+    rows += [(150, [3.0]), (6, [4.0, 5.0, 6.0, 7.0]), (None, [1.0, 1.0]), (50, [1e-200, 1e-200]), (200, [1.0, 2.0, 2.0, 4.0, 1.0]), (200, [4.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("kid", "rep", "score", "v", "id", "rank")})
+    got = defaultdict(list)
+    for r in sorted(neighbours.search(df, "id % 50 = 0").collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.neighbour, round(r.score, 9)))
+    half = round(math.sqrt(0.5), 9)
+    assert got == {50: [(2, 1.0), (200, 1.0), (1, half), (3, -half)], 100: [(4, half), (5, 0.0)], 200: [(2, 1.0), (50, 1.0), (50, 1.0), (1, half), (3, -half)]}
+
+
+def test_neighbours_ties_go_to_smaller_ids(spark):
+    """Many different vectors at the same cosine of the query, over several blocks."""
+    rows = [(1000 - i, [1.0, 0.0] if i == 0 else [float(2 ** (i % 8)), 0.0]) for i in range(400)] + [(2000, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r.neighbour for r in sorted(neighbours.search(df, "id = 1000", least=100, block=2).collect(), key=lambda r: r["rank"])]
+    assert got == [601, 602, 603, 604, 605]
+
+
 def plain_targets(size: dict, weights=(3, 1, 2), share=1.5, most=2.0) -> dict:
     order = sorted(size, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
