@@ -221,6 +221,35 @@ def test_quality_holds_out_of_sample(spark):
     assert all(0 <= s <= 1 for s in scores.values()) and scores[1] == scores[2]
 
 
+def test_quality_learns_from_documents_of_many_lines(spark):
+    """Only long documents are labelled; runs of their lines are learned from, and none is left out for its length."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(24):
+        lines = [" ".join(words(rng, rng.randint(3, 9))) + "." for _ in range(2500 if i < 12 else 3)]
+        rows.append((i, "\n".join(x.upper().replace(" ", "!! ") if i % 2 else x for x in lines), "en", "s", 0))
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("k", "y", "f", "at", "__score")})
+    chain = quality.fit(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(12)], "doc_id long, quality int"))
+    assert chain.constant is None
+    got = {r.doc_id: r.s for r in docs.unionByName(docs).select("doc_id", quality.score(chain, F.col("text")).alias("s")).collect()}
+    assert all((got[i] >= 0.7) == (i % 2 == 0) for i in range(24))
+
+
+def test_quality_of_a_long_text_in_parts_is_that_of_the_whole(monkeypatch):
+    rng = random.Random(13)
+    texts = ["\n".join(" ".join(words(rng, rng.randint(0, 6))) for _ in range(n)) for n in (40, 7, 90)]
+    f, _, n = quality.line_features(texts)
+    chain = quality.train(f, n, np.array([0, 1, 1]), steps=20)
+    want = [quality.score_texts(chain, [t])[0] for t in texts]
+    monkeypatch.setattr(quality, "MANY", 6)
+    assert [quality.score_texts(chain, [t])[0] for t in texts] == pytest.approx(want, abs=1e-12)
+
+
+def test_quality_of_an_empty_table(spark, empty):
+    chain = quality.fit(empty, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
+    assert empty.select(quality.score(chain, F.col("text")).alias("s")).count() == 0 and chain.constant == 0.5
+
+
 def test_quality_with_one_class_or_no_labels(spark, docs):
     one = quality.fit(docs, spark.createDataFrame([(10, 1), (13, 1)], "doc_id long, quality int"))
     none = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))

@@ -5,9 +5,10 @@ statistics, and those of its two neighbours.  The chain is trained here, by grad
 penalty, from labelled documents whose lines inherit the document's label.  A document's score is the average of its lines' forward-backward
 marginals of ``good``, weighted by length (plus one, so empty lines count a little).
 
-Fitting takes a bounded sample: the ``sample`` labelled rows that come first in a hash order (4,000 by default), each with whole text, if it
-has at most ``MAX_LINES`` lines.  Features are made by the executors; the driver gets narrow number rows.  Scoring reads every whole text,
-in place, without a shuffle.
+Fitting takes a bounded sample: the ``sample`` labelled rows that come first in a hash order (4,000 by default), whatever their length.  Of a
+document's lines it learns from all, up to ``RUNS`` x ``RUN`` of them; of more, from ``RUNS`` runs of ``RUN`` lines that a seeded hash picks, each
+line with its true neighbours.  So the driver gets 4,000 x 128 narrow number rows at most.  Features are made by the executors, over whole
+texts.  Scoring reads every whole text, in place, without a shuffle.
 
 Defined cases: a null or empty text is one empty line and gets a score like any other; without labels of both classes every score is the
 share of good labels (0.5 without any); labels that disagree on a document count as bad; repeated rows score alike; an empty table gives an
@@ -16,6 +17,7 @@ empty result; other columns are never read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -26,7 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 4000
-MAX_LINES = 2000
+#: Runs of lines that fitting takes from a document, and lines in a run.
+RUNS, RUN = 4, 32
+#: Lines whose features are held at once, at most about twice as many.
+MANY = 8192
 
 _PUNCT = [c for c in range(33, 127) if not chr(c).isalnum()]
 #: Class of each byte: 0 lower letter, 1 upper letter, 2 digit, 3 space, 4 other control, 5 byte of a longer character, then a class for each punctuation mark.
@@ -74,19 +79,24 @@ def _block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return f, length
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """features of all lines in order, their lengths, and the number of lines of each text."""
+def line_repeats(lines: list[str]) -> np.ndarray:
+    """How many other lines of the text are equal to each."""
+    seen: dict[str, int] = {}
+    for x in lines:
+        seen[x] = seen.get(x, 0) + 1
+    return np.array([seen[x] - 1 for x in lines], dtype=np.float64)
+
+
+def line_features(texts: list[str], repeats: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """features of all lines in order, their lengths, and the number of lines of each text.  ``repeats`` is given for parts of a text."""
     n_lines = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
     f, length = _block("\n".join(texts).encode())
-    repeat, told = np.zeros(len(f)), []
+    repeat, told = np.zeros(len(f)) if repeats is None else repeats, []
     at = 0
     for t, n in zip(texts, n_lines, strict=True):
         lines = t.split("\n")
-        if n > 1:
-            seen: dict[str, int] = {}
-            for x in lines:
-                seen[x] = seen.get(x, 0) + 1
-            repeat[at : at + n] = [seen[x] - 1 for x in lines]
+        if n > 1 and repeats is None:
+            repeat[at : at + n] = line_repeats(lines)
         for x in lines:
             w = x.split(" ")
             told.append((len(w), len(set(w)), sum(map(eq, w, w[1:]))))
@@ -108,7 +118,8 @@ def with_neighbours(f: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
     last[ends - 1] = True
     prev, nxt = np.roll(f, 1, axis=0), np.roll(f, -1, axis=0)
     prev[first], nxt[last] = 0, 0
-    return np.concatenate([f, prev, nxt, first[:, None], last[:, None], np.ones((len(f), 1))], axis=1)
+    flags = np.stack([first, last, np.ones(len(f), dtype=bool)], axis=1).astype(f.dtype)
+    return np.concatenate([f, prev, nxt, flags], axis=1)
 
 
 @dataclass
@@ -130,16 +141,16 @@ def marginals(e: np.ndarray, n_lines: np.ndarray, moves: np.ndarray) -> tuple[np
     order = np.argsort(-n_lines, kind="stable")
     n = n_lines[order]
     at0 = (np.cumsum(n_lines) - n_lines)[order]
-    alive = [int(np.searchsorted(-n, -t, side="left")) for t in range(1, int(n[0]) + 1)] if len(n) else []
+    longest = int(n[0]) if len(n) else 0
     alpha = np.zeros((len(e), 2))
     beta = np.zeros((len(e), 2))
     alpha[at0, 1] = e[at0]
-    for t in range(1, len(alive)):
+    for t in range(1, longest):
         i = at0[: np.searchsorted(-n, -t, side="left")] + t
         p = alpha[i - 1]
         alpha[i] = np.logaddexp(p[:, :1] + moves[0], p[:, 1:] + moves[1])
         alpha[i, 1] += e[i]
-    for t in range(len(alive) - 1, 0, -1):
+    for t in range(longest - 1, 0, -1):
         i = at0[: np.searchsorted(-n, -t, side="left")] + t
         q = beta[i].copy()
         q[:, 1] += e[i]
@@ -160,16 +171,21 @@ def marginals(e: np.ndarray, n_lines: np.ndarray, moves: np.ndarray) -> tuple[np
     return good, pair, zs
 
 
-def train(f: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, steps: int = 150, ridge: float = 1e-3) -> Chain:
-    """Adam on the mean negative log-likelihood per text; every line of a text has the text's label."""
+def train(f: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, steps: int = 150, ridge: float = 1e-3, inner: np.ndarray | None = None) -> Chain:
+    """Adam on the mean negative log-likelihood per run; every line of a run has its text's label.
+
+    Rows that are not ``inner`` are lines beside a run, there as neighbours only.
+    """
     base = float(labels.mean()) if len(labels) else 0.5
     chain = Chain(np.zeros(OWN), np.ones(OWN), np.zeros(3 * OWN + 3), np.zeros((2, 2)), base)
     if len(set(labels.tolist())) < 2:
         return chain
     chain.constant = None
-    chain.mean, std = f.mean(axis=0), f.std(axis=0)
+    inner = np.ones(len(f), dtype=bool) if inner is None else inner
+    chain.mean, std = f[inner].mean(axis=0, dtype=np.float64), f[inner].std(axis=0, dtype=np.float64)
     chain.std = np.where(std < 1e-9, 1.0, std)
-    x = with_neighbours((f - chain.mean) / chain.std, n_lines)
+    x = with_neighbours(((f - chain.mean) / chain.std).astype(np.float32), n_lines)[inner]
+    n_lines = np.add.reduceat(inner.astype(np.int64), np.cumsum(n_lines) - n_lines)
     y = np.repeat(labels, n_lines).astype(np.float64)
     n = len(labels)
     stays = np.zeros((2, 2))
@@ -178,43 +194,86 @@ def train(f: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, steps: int = 1
     p = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, steps + 1):
-        good, pair, _ = marginals(x @ p[:-4], n_lines, p[-4:].reshape(2, 2))
-        g = np.concatenate([x.T @ (good - y), (pair - stays).ravel()]) / n + ridge * p
+        good, pair, _ = marginals(x @ p[:-4].astype(np.float32), n_lines, p[-4:].reshape(2, 2))
+        g = np.concatenate([x.T @ (good - y).astype(np.float32), (pair - stays).ravel()]) / n + ridge * p
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     chain.weights, chain.moves = p[:-4], p[-4:].reshape(2, 2)
     return chain
 
 
+def long_emissions(chain: Chain, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Emissions and lengths of the lines of one text, made ``MANY`` lines at a time."""
+    lines = text.split("\n")
+    repeats = line_repeats(lines)
+    e, length = [], []
+    for i in range(0, len(lines), MANY):
+        low, high = max(0, i - 1), min(len(lines), i + MANY + 1)
+        part = "\n".join(lines[low:high])
+        f, size, n = line_features([part], repeats[low:high].copy())
+        x = with_neighbours((f - chain.mean) / chain.std, n)
+        if low:  # the first line of a part is not the text's
+            x[0, 3 * OWN] = 0
+        if high < len(lines):
+            x[-1, 3 * OWN + 1] = 0
+        to = slice(i - low, min(i + MANY, len(lines)) - low)
+        e.append(x[to] @ chain.weights)
+        length.append(size[to])
+    return np.concatenate(e), np.concatenate(length)
+
+
 def score_texts(chain: Chain, texts: list[str]) -> np.ndarray:
     if chain.constant is not None:
         return np.full(len(texts), chain.constant)
-    f, length, n_lines = line_features(texts)
-    good, _, _ = marginals(chain.emissions(f, n_lines), n_lines, chain.moves)
+    if len(texts) == 1 and texts[0].count("\n") >= MANY:
+        e, length = long_emissions(chain, texts[0])
+        n_lines = np.array([len(e)], dtype=np.int64)
+    else:
+        f, length, n_lines = line_features(texts)
+        e = chain.emissions(f, n_lines)
+    good, _, _ = marginals(e, n_lines, chain.moves)
     starts = np.cumsum(n_lines) - n_lines
     w = length + 1
     return np.clip(np.add.reduceat(good * w, starts) / np.add.reduceat(w, starts), 0, 1)
 
 
+def runs_of(n: int, seed: str) -> list[tuple[int, int]]:
+    """Which lines of a text of n lines are learned from, as (from, to)."""
+    if n <= RUNS * RUN:
+        return [(0, n)]
+    starts = range(0, n, RUN)
+    picked = sorted(starts, key=lambda i: zlib.crc32(f"{seed} {i}".encode()))[:RUNS]
+    return [(i, min(n, i + RUN)) for i in sorted(picked)]
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Chain:
     """``labels`` has key and label (0 or 1) of the rows that may be learned from."""
-    few = labels.where(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).cast("int").alias("__y"))
-    few = few.orderBy(F.xxhash64(key), key).limit(sample)
-    rows = docs.select(key, text).join(F.broadcast(few), key)  # ``sample`` rows of two numbers
+    few = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("__k")).agg(F.min(label).cast("int").alias("__y"))
+    few = few.orderBy(F.xxhash64("__k"), "__k").limit(sample)
+    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(few), "__k")  # ``sample`` rows of two numbers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b[text]]
-            ok = [i for i, t in enumerate(texts) if t.count("\n") < MAX_LINES]
-            if ok:
-                f, _, n = line_features([texts[i] for i in ok])
-                parts = np.split(f.astype(np.float32), np.cumsum(n)[:-1])
-                yield pd.DataFrame({"k": b[key].iloc[ok], "y": b["__y"].iloc[ok], "f": [p.tobytes() for p in parts]})
-
-    got = sorted(rows.mapInPandas(run, "k long, y int, f binary").collect(), key=lambda r: (r[0], bytes(r[2])))  # bounded by ``sample``
-    f = [np.frombuffer(r[2], dtype=np.float32).reshape(-1, OWN) for r in got]
+            out = []
+            for k, y, t in zip(b["__k"], b["__y"], b["__t"], strict=True):
+                lines = (t if isinstance(t, str) else "").split("\n")
+                repeats = line_repeats(lines)
+                for i, j in runs_of(len(lines), str(k)):
+                    low, high = max(0, i - 1), min(len(lines), j + 1)
+                    f, _, _ = line_features(["\n".join(lines[low:high])], repeats[low:high].copy())
+                    out.append((k, y, i, i - low, high - j, f.astype(np.float32).tobytes()))
+            yield pd.DataFrame(out, columns=["k", "y", "at", "before", "after", "f"])
+
+    # rows that repeat an id are bounded too: a run list of ``sample`` documents, in a hash order
+    made = rows.mapInPandas(run, "k long, y int, at int, before int, after int, f binary").distinct()
+    got = made.orderBy(F.xxhash64("k", "at", "f")).limit(sample * RUNS).collect()
+    got = sorted(got, key=lambda r: (r[0], r[2], bytes(r[5])))
+    f = [np.frombuffer(r[5], dtype=np.float32).reshape(-1, OWN) for r in got]
     n_lines = np.array([len(x) for x in f], dtype=np.int64)
-    return train(np.concatenate(f).astype(np.float64) if f else np.zeros((0, OWN)), n_lines, np.array([r[1] for r in got], dtype=np.int64))
+    inner = np.concatenate([np.arange(len(x)) >= r[3] for x, r in zip(f, got, strict=True)]) if f else np.zeros(0, dtype=bool)
+    ends = np.cumsum(n_lines)
+    inner[ends[np.array([r[4] == 1 for r in got], dtype=bool)] - 1] = False
+    return train(np.concatenate(f) if f else np.zeros((0, OWN)), n_lines, np.array([r[1] for r in got], dtype=np.int64), inner=inner)
 
 
 def score(chain: Chain, text: Column) -> Column:
@@ -225,8 +284,11 @@ def score(chain: Chain, text: Column) -> Column:
             texts = [t if isinstance(t, str) else "" for t in b]
             got, i = np.zeros(len(texts)), 0
             while i < len(texts):  # slices of bounded size, a text at least
-                j, size = i + 1, len(texts[i])
+                j, size, lines = i + 1, len(texts[i]), texts[i].count("\n")
                 while j < len(texts) and j < i + 256 and size + len(texts[j]) < _CHUNK:
+                    lines += texts[j].count("\n") + 1
+                    if lines >= MANY:
+                        break
                     size += len(texts[j])
                     j += 1
                 got[i:j] = score_texts(chain, texts[i:j])
