@@ -359,6 +359,62 @@ def test_url_words_decide_where_rules_do_not(spark):
     assert url_filter.viterbi("cheappills", {"cheap": -3.0, "pills": -3.0}, lambda k: -10.0 * k) == ["cheap", "pills"]
 
 
+def plain_split(label: str, logp: dict, unknown) -> float:
+    """The best score of any split, by trying all."""
+    if not label:
+        return 0.0
+    return max((logp[label[:k]] if label[:k] in logp else unknown(k)) + plain_split(label[k:], logp, unknown) for k in range(1, len(label) + 1))
+
+
+def test_viterbi_against_every_split():
+    rng = random.Random(14)
+    logp = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))): -rng.random() * 5 for _ in range(12)}
+    unknown = lambda k: -3.0 - 2.0 * k
+    for _ in range(40):
+        label = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
+        got = url_filter.viterbi(label, logp, unknown)
+        assert "".join(got) == label
+        assert sum(logp[w] if w in logp else unknown(len(w)) for w in got) == pytest.approx(plain_split(label, logp, unknown))
+
+
+def test_url_scores_against_plain_python(spark):
+    """Every host and path of a small table, with rules, segmentation and naive Bayes worked out by hand."""
+    rng = random.Random(15)
+    vocabulary = ["cheap", "pills", "daily", "news", "shop", "a", "x", "telecommunicationsinfrastructure"]
+    rows = []
+    for i in range(120):
+        host = "".join(rng.sample(vocabulary, 2)) + rng.choice([".com", ".net", ".org"])
+        rows.append((i, f"http://{host}/{rng.choice(['en', 'es', 'fr'])}/{rng.choice(vocabulary)}/{i}", "<p>" + " ".join(rng.choices(vocabulary, k=30)) + "</p>"))
+    rows += [(900, "http://" + "cheap" * 40_000 + ".org/en/x", None), (901, "http://" + "q" * 70 + ".org/", "")]
+    df = spark.createDataFrame(rows, PAGES).withColumns({c: F.lit("x") for c in ("host", "path", "rule", "label", "word", "n", "shape", "salt")})
+    got = {r.page_id: r for r in url_filter.judge(df, URL_RULES).collect()}
+    counts = Counter(w for _, _, h in rows for w in re.findall(r"[^\W\d_]+", re.sub("<[^>]*>", " ", h or "").lower()))
+    total = sum(counts.values()) + 1.0
+    logp, unknown = {w: math.log(n / total) for w, n in counts.items()}, lambda k: math.log(10.0 / total) - k * math.log(10.0)
+
+    def tokens(url: str) -> Counter:
+        host, _, path = url.split("://")[1].partition("/")
+        labels = [x[i : i + 63] for x in host.split(".") for i in range(0, len(x), 63)]
+        words_ = [f"h:{w}" for x in labels for w in url_filter.viterbi(x, logp, unknown)]
+        return Counter(words_ + [f"p:{w}" for w in re.sub(r"\d+", "0", path.lower()).split("/") if w])
+
+    seen = {"block": Counter(), "allow": Counter()}
+    pages = Counter()
+    for k, url, _ in rows:
+        if got[k].rule:
+            seen[got[k].verdict] += tokens(url)
+            pages[got[k].verdict] += 1
+    size = len(set(seen["block"]) | set(seen["allow"])) + 1
+    weight = lambda c, w: math.log((seen[c][w] + 1) / (sum(seen[c].values()) + size))
+    checked = 0
+    for k, url, _ in rows:
+        if got[k].rule is None:
+            odds = math.log(pages["block"] / pages["allow"]) + sum(n * (weight("block", w) - weight("allow", w)) for w, n in tokens(url).items())
+            assert got[k].score == pytest.approx(odds, abs=1e-6) and got[k].verdict == ("block" if odds > 0 else "allow"), url[:60]
+            checked += 1
+    assert checked > 30
+
+
 def test_url_filter_of_nothing_and_without_classes(spark):
     none = spark.createDataFrame([], PAGES)
     assert url_filter.judge(none, URL_RULES).count() == 0

@@ -7,6 +7,10 @@ trained on the URLs that rules decide, scores host words and path tokens.
 Everything is keyed by distinct hosts, distinct path shapes and tokens, so a host with a third of all pages is segmented and scored once.
 Scores join back to pages under a salt, which spreads a hot host over tasks.  Word counts come from all pages' text; the word table is joined on substrings and never broadcast.
 
+Host names are held to the limit of their standard: a label has 63 characters at most.  A longer run without a dot, which no resolvable host
+has, is cut every 63 characters before it is split into words; so a URL of megabytes makes rows of bounded size.  Words of up to that length
+count, single letters too.
+
 Defined cases: a null URL or one without ``://`` has empty host and path; repeated rows are judged alike; an empty table gives an empty
 result; if the rules decide no page, or pages of one class only, the model has no second class and says ``allow`` (resp. that class).
 Other columns of the input are not read.
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize
 
-#: Longest word that the segmenter looks for; longer unbroken runs are split or kept as unknown words of at most this length.
-MAX_WORD = 20
+#: Characters of a host label (a fixed value of the domain name standard); no word of one can be longer.
+LABEL = 63
 #: Copies of a host's or path shape's score, so that the pages of a hot one meet it in several tasks.
 SALTS = 16
 
@@ -53,7 +57,7 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     """word, n over the visible text of all pages."""
     text = F.lower(F.regexp_replace(F.col(html), "<[^>]*>", " "))
     words = pages.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word"))
-    return words.where((F.length("word") >= 2) & (F.length("word") <= MAX_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.where(F.length("word").between(1, LABEL)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def viterbi(label: str, logp: dict[str, float], unknown) -> list[str]:
@@ -61,7 +65,7 @@ def viterbi(label: str, logp: dict[str, float], unknown) -> list[str]:
     best, back = [0.0], [0]
     for i in range(1, len(label) + 1):
         top, length = -math.inf, 1
-        for k in range(min(i, MAX_WORD), 0, -1):
+        for k in range(min(i, LABEL), 0, -1):
             w = label[i - k : i]
             s = best[i - k] + (logp[w] if w in logp else unknown(k))
             if s > top:
@@ -76,13 +80,14 @@ def viterbi(label: str, logp: dict[str, float], unknown) -> list[str]:
 
 
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """label -> words (array).  Substrings of distinct labels meet the word table in an equi-join; Viterbi then sees only its own label's."""
+    """label -> words (array).  Labels have ``LABEL`` characters at most.  Their substrings meet the word table in an equi-join; Viterbi then
+    sees only its own label's."""
     total = float(counts.agg(F.sum("n")).first()[0] or 0) + 1.0
     n = F.length("label")
     subs = F.flatten(
         F.transform(
             F.sequence(F.lit(1), n),
-            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), n - i + 1)), lambda k: F.substring(F.col("label"), i, k)),
+            lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("label"), i, k)),
         )
     )
     named = labels.where(n > 0).select("label", F.explode(F.array_distinct(subs)).alias("word"))
@@ -104,6 +109,8 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
 def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """host, token, tf: words of every label of every distinct host."""
     parts = hosts.select("host", F.explode(F.split("host", r"[^\p{L}\p{N}]+")).alias("label")).where("label <> ''")
+    cuts = F.sequence(F.lit(0), F.floor((F.length("label") - 1) / LABEL).cast("int"))
+    parts = parts.select("host", F.explode(F.transform(cuts, lambda i: F.substring(F.col("label"), i * LABEL + 1, F.lit(LABEL)))).alias("label"))
     words = segment(parts.select("label").distinct(), counts)
     return parts.join(words, "label").select("host", F.explode("words").alias("w")).groupBy("host", F.concat(F.lit("h:"), "w").alias("token")).agg(F.count(F.lit(1)).alias("tf"))
 
