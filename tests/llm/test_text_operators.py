@@ -59,38 +59,91 @@ def test_digest_separates_edits_from_others():
     assert fingerprint.likeness(own, own).min() == 1.0
 
 
-def test_token_counts_against_unshared_search(docs, rows, empty):
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    scores = token_counts.load_scores(path)
-
-    def tokens(w: bytes) -> int:
-        best = [(0.0, 0)]
-        for i in range(1, len(w) + 1):
-            best.append(max((best[j][0] + scores[w[j:i]], best[j][1] - 1) for j in range(max(0, i - token_counts.MAX_PIECE), i) if w[j:i] in scores))
-        return -best[-1][1]
-
-    want = sorted((r[0], len(ws := (r[1] or "").encode().split()), sum(tokens(b" " + w) for w in ws)) for r in rows)
-    assert sorted(map(tuple, token_counts.token_counts(docs, path).collect())) == want
-    assert token_counts.token_counts(empty, path).count() == 0
+def read_vocabulary() -> list[bytes]:
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:  # read here, without the operator's help
+        ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    return [ranks[i] for i in range(len(ranks))]
+
+
+def pre_tokens(text: str | None) -> list[bytes]:
+    """Words with the one space before them, and the rest of white-space runs, character by character."""
+    white, data, out, i = b"\t\n\x0b\x0c\r ", (text or "").encode(), [], 0
+    while i < len(data):
+        j = i
+        while j < len(data) and data[j] in white:
+            j += 1
+        k = j
+        while k < len(data) and data[k] not in white:
+            k += 1
+        if k == j:
+            out.append(data[i:j])
+        else:
+            lead = j - 1 if j > i and data[j - 1] == 32 else j
+            if j - 1 > i:
+                out.append(data[i : j - 1])
+            if lead == j and j > i:
+                out.append(data[j - 1 : j])
+            out.append(data[lead:k])
+        i = k
+    return out
+
+
+def split_word(w: bytes, scores: dict[bytes, float], longest: int) -> list[bytes]:
+    """The best split without any sharing; ties to fewer tokens, then to the shorter last piece."""
+    best: list[tuple[float, int, int]] = [(0.0, 0, 0)]
+    for i in range(1, len(w) + 1):
+        best.append(max((best[j][0] + scores[w[j:i]], best[j][1] - 1, j) for j in range(max(0, i - longest), i) if w[j:i] in scores))
+    out, i = [], len(w)
+    while i:
+        out.append(w[best[i][2] : i])
+        i = best[i][2]
+    return out[::-1]
+
+
+def plain_scores(texts, pieces: list[bytes], rounds: int) -> dict[bytes, float]:
+    scores, longest = {p: -math.log(i + 1.0) for i, p in enumerate(pieces)}, max(map(len, pieces))
+    for _ in range(rounds):
+        n = Counter()
+        for w, k in Counter(w for t in texts for w in pre_tokens(t)).items():
+            for p in split_word(w, scores, longest):
+                n[p] += k
+        scores = {p: math.log((n[p] + 1) / (sum(n.values()) + len(pieces))) for p in pieces}
+    return scores
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_token_counts_against_unshared_search(docs, rows, empty, rounds):
+    path, pieces = public_tokenizers.path("byte_bpe_50k.tiktoken"), read_vocabulary()
+    scores, longest = plain_scores([r[1] for r in rows], pieces, rounds), max(map(len, pieces))
+    told = {w: len(split_word(w, scores, longest)) for w in {w for r in rows for w in pre_tokens(r[1])}}
+    want = sorted((r[0], len((r[1] or "").encode().split()), sum(told[w] for w in pre_tokens(r[1]))) for r in rows)
+    assert sorted(map(tuple, token_counts.token_counts(docs, path, rounds=rounds).collect())) == want
+    assert token_counts.token_counts(empty, path, rounds=rounds).count() == 0
+
+
+def test_token_counts_cover_every_byte(rows):
+    odd = ["a  b", " a", "a ", "\n\na\n b\t c", "  ", "\r\n", "x\t y", "\x1c z", "é\u00a0ü \u2003 b"]
+    for t in [r[1] or "" for r in rows] + odd:
+        found = token_counts.PRE_TOKEN.findall(t.encode())
+        assert b"".join(found) == t.encode() and found == pre_tokens(t), t[:40]
 
 
 def test_token_counts_know_the_whole_vocabulary(spark):
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with open(path, "rb") as f:  # read here, without the operator's help
-        scores = {base64.b64decode(a): -math.log(int(b) + 1.0) for a, b in map(bytes.split, f)}
-    longest = max(map(len, scores))
-
-    def tokens(w: bytes) -> int:
-        best = [(0.0, 0)]
-        for i in range(1, len(w) + 1):
-            best.append(max((best[j][0] + scores[w[j:i]], best[j][1] - 1) for j in range(max(0, i - longest), i) if w[j:i] in scores))
-        return -best[-1][1]
-
+    path, pieces = public_tokenizers.path("byte_bpe_50k.tiktoken"), read_vocabulary()
+    scores, longest = {p: -math.log(i + 1.0) for i, p in enumerate(pieces)}, max(map(len, pieces))
     one = ["responsibilities", "telecommunications", "misunderstanding", "characterization", "disproportionately", "entrepreneurship"]
-    texts = [*one, "-" * 64, "=" * 64, "_" * 64, "-" * 63 + " " + "-" * 200, "responsibilitiesX xresponsibilities", *(p.decode() for p in scores if len(p) > 16 and p.isascii() and not p.strip().count(b" "))]
-    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA), path).collect()}
+    texts = [*(" " + w for w in one), "-" * 64, "=" * 64, "_" * 64, "-" * 63 + " " + "-" * 200, "responsibilitiesX xresponsibilities", *(p.decode() for p in pieces if len(p) > 16 and p.isascii() and not p.strip().count(b" "))]
+    got = {r.doc_id: r.n_tokens for r in token_counts.token_counts(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA), path, rounds=0).collect()}
     assert [got[i] for i in range(len(one))] == [1] * len(one)
-    assert got == {i: sum(tokens(b" " + w) for w in t.encode().split()) for i, t in enumerate(texts)}
+    assert got == {i: sum(len(split_word(w, scores, longest)) for w in pre_tokens(t)) for i, t in enumerate(texts)}
+
+
+def test_token_counts_with_a_small_store(docs, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    want = sorted(map(tuple, token_counts.token_counts(docs, path).collect()))
+    for name, value in (("STORE", 40), ("STORE_BYTES", 3)):
+        monkeypatch.setattr(token_counts, name, value)
+    assert sorted(map(tuple, token_counts.token_counts(docs, path).collect())) == want
 
 
 def shingle_set(text):
