@@ -185,6 +185,7 @@ def test_near_dedup_against_brute_force(docs, rows, percent):
 
 def test_near_dedup_of_a_group_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "MOST", 16)
     rng = random.Random(9)
     base = words(rng, 90)
     rows = []
@@ -240,6 +241,7 @@ def test_near_dedup_at_every_size_round_the_border(spark, percent):
 def test_near_dedup_of_a_cluster_of_groups_that_do_not_link(spark, monkeypatch):
     """Versions of one long text: neighbours link, others share bands but do not; large and small groups in one cluster."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "MOST", 8)
     rng = random.Random(34)
     base, rows = words(rng, 400), []
     for i in range(160):

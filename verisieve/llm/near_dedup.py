@@ -7,11 +7,12 @@
    so a bucket of any size makes as many rows as it has members.  Connected ties give candidate clusters; every pair that shares a band
    is inside one cluster.
 3. Within a cluster, pairs pass a size filter and the collision-corrected Jaccard estimate of their sketches, less a margin of six
-   deviations; what passes is confirmed on the full sets.  First each class meets the smallest class that it is tied to; those linked to
-   the same one are a group already.  Then classes of different groups meet, as pairs of blocks of ``BLOCK`` units (a unit is a class, or
-   ``UNIT`` shingles of a larger one), so no task holds a cluster and nothing is capped.  Blocks of one group do not meet, so a large
-   cluster of true copies costs its size times the classes that are not of its main groups; only a cluster that falls into many groups is
-   quadratic, which is what it takes to lose no link.  A task returns a spanning forest of its links, not pairs.
+   deviations; what passes is confirmed on the full sets.  A cluster of up to ``BLOCK`` units (a unit is a class, or ``UNIT`` shingles of a
+   larger one) is one task's work.  In a larger one each class first meets the smallest class that it is tied to; those linked to the same
+   one are a group already.  Then classes of different groups meet, as pairs of blocks, so no task holds a cluster and nothing is capped.
+   Blocks of one group do not meet, so a large cluster of true copies costs its size times the classes that are not of its main groups;
+   only a cluster that falls into many groups is quadratic, which is what it takes to lose no link.  A task returns a spanning forest of
+   its links, not pairs.
 4. Connected components of confirmed links, and of classes that share an id.
 
 A pair at the threshold of 0.85 shares no band with probability 1e-9, at 0.8 with 8e-6 (64 bands of 8 registers); lower thresholds are
@@ -45,8 +46,8 @@ ROWS, BANDS = 8, 64
 REGISTERS = ROWS * BANDS
 MANTISSA = 10
 SMALL = 75
-#: Units in a block, and shingles in a unit.
-BLOCK = 128
+#: Units in a block, at least and at most (between them the root of the cluster's units), and shingles in a unit.
+BLOCK, MOST = 64, 2048
 UNIT = 2048
 #: Words whose hashes a task keeps, and the longest word kept: together they bound the store in bytes.
 STORE = 1_000_000
@@ -267,9 +268,13 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return m.mapInPandas(run, "u long, v long")
 
 
-def stars(ties: DataFrame, sets: DataFrame) -> DataFrame:
-    """Each node beside the smallest node that it is tied to, in chunks of about ``BLOCK`` nodes with a copy of that hub in each."""
-    near = materialize(ties.groupBy("u").agg(F.min("v").alias("hub")))
+def stars(ties: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Nodes of large clusters, each beside the smallest node that it is tied to, in chunks of about ``BLOCK`` nodes with a copy of that
+    hub in each."""
+    large = members.groupBy("cluster").agg(F.sum("weight").alias("w")).where(F.col("w") > BLOCK).select("cluster")
+    large = materialize(members.join(large, "cluster").select("node"))
+    near = materialize(ties.join(large, F.col("u") == F.col("node"), "left_semi").groupBy("u").agg(F.min("v").alias("hub")))
+    sets = sets.join(large, "node", "left_semi").dropDuplicates(["node"])
     hubs = near.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("chunks"))
     own = near.join(hubs, "hub").select(F.col("hub").alias("cluster"), F.pmod(F.xxhash64("u"), "chunks").alias("b"), F.col("u").alias("node"), F.lit(False).alias("left"))
     head = hubs.select(F.col("hub").alias("cluster"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("b"), F.col("hub").alias("node"), F.lit(True).alias("left"))
@@ -283,20 +288,21 @@ def block_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     cluster are numbered pool by pool, so the blocks that a member must meet are one or two runs of numbers.
     """
     size = members.groupBy("cluster", "grp").agg(F.sum("weight").alias("w"))
-    several = size.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cluster")
-    pool = size.join(several, "cluster").select("cluster", "grp", F.when(F.col("w") >= BLOCK, F.col("grp")).otherwise(-1).alias("pool"), "w")
+    width = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST), F.ceil(F.sqrt(F.sum("w"))))).cast("long").alias("width")
+    several = size.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), width).where("n > 1").select("cluster", "width")
+    pool = size.join(several, "cluster").select("cluster", "grp", F.when(F.col("w") >= F.col("width"), F.col("grp")).otherwise(-1).alias("pool"), "w", "width")
     m = materialize(members.join(pool.select("cluster", "grp", "pool"), ["cluster", "grp"]))
-    by = pool.groupBy("cluster", "pool").agg(F.ceil(F.sum("w") / BLOCK).cast("long").alias("n"))
+    by = pool.groupBy("cluster", "pool", "width").agg(F.ceil(F.sum("w") / F.col("width")).cast("long").alias("n"))
     up = Window.partitionBy("cluster").orderBy("pool").rowsBetween(Window.unboundedPreceding, -1)  # a row per pool
     by = by.withColumns({"first": F.coalesce(F.sum("n").over(up), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("cluster"))})
     m = salted_offsets(m, ["cluster", "pool"], ["node"], "rank", "weight", "start").join(by, ["cluster", "pool"])
     run = lambda x, y: F.when(y >= x, F.sequence(x, y)).otherwise(F.array().cast("array<bigint>"))
     zero = F.lit(0).cast("long")
     apart = F.concat(run(zero, F.col("first") - 1), run(F.col("first") + F.col("n"), F.col("all") - 1))
-    m = m.withColumn("block", F.col("first") + F.floor(F.col("start") / BLOCK).cast("long"))
+    m = m.withColumn("block", F.col("first") + F.floor(F.col("start") / F.col("width")).cast("long"))
     m = m.withColumn("o", F.explode(F.when(F.col("pool") == -1, run(zero, F.col("all") - 1)).otherwise(apart)))
     m = m.select("cluster", F.least("block", "o").alias("a"), F.greatest("block", "o").alias("b"), (F.col("block") <= F.col("o")).alias("left"), "node", "grp")
-    return m.join(sets, "node")
+    return m.join(sets.dropDuplicates(["node"]), "node")
 
 
 def shared_ids(d: DataFrame, classes: DataFrame) -> DataFrame:
@@ -327,9 +333,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     members = materialize(members)
     asked = members.select("rep").distinct()
     texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = sketches(texts, "doc_id", "text", bands=False, sets=True).where("digest is not null").groupBy("digest").agg(F.first("shingles").alias("shingles"))
-    sets = materialize(sets.join(members.select("digest", "node"), "digest").select("node", "shingles"))
-    near = materialize(confirmed(stars(ties, sets), percent))
+    sets = sketches(texts, "doc_id", "text", bands=False, sets=True)
+    sets = materialize(sets.join(members.select("digest", "node"), "digest").select("node", "shingles"))  # rows that repeat a text come again
+    near = materialize(confirmed(stars(ties, members, sets), percent))
     # a star's link joins its hub and a node: the smaller of the two is the hub
     hub = near.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("grp"))
     grouped = materialize(members.select("cluster", "node", "weight").join(hub, "node", "left").withColumn("grp", F.coalesce("grp", "node")))
