@@ -29,8 +29,8 @@ from .common import materialize, salted_offsets
 
 #: How the tokenizer's file splits text before merging (a fixed value of that vocabulary).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Distinct words whose ids a worker keeps; the store is cleared when full.
-STORE = 400_000
+#: Distinct words whose ids a worker keeps, and their characters; the store is cleared when either is full.
+STORE, STORE_CHARS = 400_000, 1 << 25
 #: Share of the fitted repeats that is used, rounded down.  The rest leaves best fit a mixture of lengths that it packs almost without gaps.
 KEEP = 0.8
 
@@ -64,6 +64,7 @@ class WordTokenizer:
         self.starts = np.zeros(max(ranks.values(), default=0) + 1, dtype=bool)  # ids that begin a word's key
         self.starts[[i for w, i in ranks.items() if w[:1] == b" " or w == b"\n"]] = True
         self.store: dict[str, bytes | None] = {}
+        self.chars = 0
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -71,6 +72,7 @@ class WordTokenizer:
     def learn(self, words: list[str]) -> None:
         """Encodes new keys in one call.  Keys are words; one that begins with a newline follows that newline, any other a space."""
         keys = []
+        self.chars += sum(map(len, words))
         for w in dict.fromkeys(words):
             rest = w[1:] if w[:1] == "\n" else w
             if not rest or rest[0].isspace() or "\x1c" <= rest[0] <= "\x1f" or rest[-1].isspace():
@@ -90,8 +92,9 @@ class WordTokenizer:
         if not text or any(x in text for x in self.special):
             return self.whole(text)
         store = self.store
-        if len(store) > STORE:
+        if len(store) > STORE or self.chars > STORE_CHARS:
             store.clear()
+            self.chars = 0
         # the newline put in front makes the first word a line's first; its id is taken off again
         words = ("\n" + text).replace("\n", " \n").split(" ")
         del words[0]
