@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions
@@ -78,6 +78,17 @@ def fingerprint_texts(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, fingerprint string")
 
 
+def at_or_below(starts: list[int], k: Column) -> tuple[Column, Column]:
+    """(index of the last of the sorted ``starts`` that is at or below ``k``, whether it equals it), in two steps of about a square root."""
+    literal = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    width = max(1, math.isqrt(len(starts)))
+    rows = [starts[i : i + width] for i in range(0, len(starts), width)]
+    coarse, fine = literal([r[0] for r in rows]), F.array(*(literal(r) for r in rows))
+    at = F.greatest(F.size(F.filter(coarse, lambda x: x <= k)), F.lit(1))
+    row = F.element_at(fine, at)
+    return (at - 1) * width + F.size(F.filter(row, lambda x: x <= k)) - 1, F.array_contains(row, k)
+
+
 def with_next_bucket(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows dealt into key ranges, with the first row of each range copied to the end of the range before it (``__copy``), and the very
     first row to the end of the last.  Each range can then find every row's successor by itself.  Partitions come back sorted.
@@ -88,17 +99,11 @@ def with_next_bucket(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     k = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
     d = df.withColumn("__k", k)
     cuts = sorted(set(d.agg(F.percentile_approx("__k", [i / n for i in range(n)], 10_000 * max(1, n // 500))).first()[0] or [0]))
-    literal = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
     # approximate quantiles need not be keys: each range starts at its own smallest key (a row per range)
-    near = F.size(F.filter(literal(cuts), lambda x: x <= F.col("__k")))
+    near, _ = at_or_below(cuts, F.col("__k"))
     starts = sorted(r[1] for r in d.select(near.alias("r"), "__k").groupBy("r").agg(F.min("__k")).collect()) or [0]
-    width = max(1, math.isqrt(len(starts)))
-    rows = [starts[i : i + width] for i in range(0, len(starts), width)]
-    coarse, fine = literal([r[0] for r in rows]), F.array(*(literal(r) for r in rows))
-    at = F.size(F.filter(coarse, lambda x: x <= F.col("__k")))
-    within = F.size(F.filter(F.element_at(fine, at), lambda x: x <= F.col("__k")))
-    d = d.withColumn("__range", (at - 1) * width + within - 1)
-    first = F.array_contains(F.element_at(fine, at), F.col("__k"))
+    place, first = at_or_below(starts, F.col("__k"))
+    d = d.withColumn("__range", place)
     own = F.struct(F.col("__range").alias("r"), F.lit(0).alias("c"))
     other = F.struct(F.when(F.col("__range") == 0, len(starts) - 1).otherwise(F.col("__range") - 1).alias("r"), F.lit(1).alias("c"))
     d = d.withColumn("__to", F.explode(F.when(first, F.array(own, other)).otherwise(F.array(own))))
