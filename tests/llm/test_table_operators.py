@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -157,13 +158,56 @@ def test_mixed_documents_hold_the_taken_words(docs, rows):
     out = mixing.mixed_documents(docs, block=8)
     assert out.columns == docs.columns
     words_of = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
-    taken = {r.doc_id: r.taken for r in mixing.mix(docs, block=8).collect() if r.doc_id != 5000}
-    got = defaultdict(int)
+    tell = F.xxhash64(*docs.columns)
+    taken, got = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(docs, block=8, tell=tell).collect():
+        taken[r.doc_id] += r.taken
     texts = {r[0]: Counter(words_of(r[1])) for r in rows}
     for r in out.collect():
         got[r.doc_id] += len(words_of(r.text))
         assert not Counter(words_of(r.text)) - texts[r.doc_id] and r.n_chars == len(r.text)
-    assert {k: v for k, v in got.items() if k != 5000} == {k: v for k, v in taken.items() if v}
+    assert got == {k: v for k, v in taken.items() if v}
+
+
+def test_mixed_documents_take_of_repeated_rows_what_the_mix_reports(spark):
+    rng = random.Random(16)
+    text = " ".join(words(rng, 50))
+    rows = [(7, text, "en", "a", 0)] * 12 + [(7, text, "en", "b", 0), (None, text, "en", "a", 0), (8, " ".join(words(rng, 300)), "en", "b", 0), (9, "", "en", "empty", 0), (9, None, "en", "empty", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    tell = F.xxhash64(*docs.columns)
+    want, got = Counter(), Counter()
+    for r in mixing.mix(docs, block=8, tell=tell).collect():
+        want[r.doc_id, r.source] += r.taken
+    for r in mixing.mixed_documents(docs, block=8).collect():
+        got[r.doc_id, r.source] += len(r.text.split())
+    assert +want == got and want[9, "empty"] == 0 and want[7, "a"] > 600
+
+
+def test_mix_against_plain_python(spark, docs):
+    """Every document's taken words from its place in its source, the slots' permutation and the blocks, worked out one by one."""
+    block, seed = 8, 17
+    sized = common.materialize(mixing.sizes(docs))
+    sources = mixing.targets(sized)
+    at = [r for r in mixing.placed(sized.where("size > 0"), sources).collect()]
+    passes = Counter()
+    for s in sources.collect():
+        n = -(-s.source_size // block)
+        if not n:
+            continue
+        slots = min(2 * n, math.floor(s.target / s.source_size * n + 0.5))
+        d = spark.range(slots).select((F.col("id") % n).alias("x"), F.floor(F.col("id") / n).alias("p"))
+        for r in d.select(mixing.permuted(F.col("x"), F.lit(n), F.lit(seed), F.lit(s.sid), F.col("p")).alias("i")).collect():
+            passes[s.sid, r.i] += 1
+    want = Counter()
+    for sid, ds in itertools.groupby(sorted(at, key=lambda r: (r.sid, r.start)), key=lambda r: r.sid):
+        line = [r for r in ds for _ in range(r["size"])]
+        assert [r.start for r in line[:1]] == [0]
+        for i, r in enumerate(line):
+            want[r.doc_id, r.h] += passes[sid, i // block]
+    got = Counter()
+    for r in mixing.mix(docs, block=block, seed=seed).collect():
+        got[r.doc_id, r.h] += r.taken
+    assert +got == +want and sum(got.values()) > 1000
 
 
 def test_permutation_is_one(spark):

@@ -27,10 +27,11 @@ SHARD_SLOTS = 4096
 CHUNK = 1024
 
 
-def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One narrow row per document: doc_id, source, size in words, a hash of the text."""
+def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", tell: Column | None = None) -> DataFrame:
+    """One narrow row per document: doc_id, source, size in words, a hash of the text (or ``tell``) that tells rows of one id apart."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(t).alias("h"))
+    h = F.xxhash64(t) if tell is None else tell
+    return docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"), h.alias("h"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -92,35 +93,45 @@ def placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return salted_offsets(materialize(d), ["sid"], ["doc_id", "h"], "rank", "size", "start")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, seed: int = 17) -> DataFrame:
+def mix(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = 64, seed: int = 17, tell: Column | None = None,
+) -> DataFrame:
     """doc_id, source, size, source_size, target, h, taken (words), runs: array of (pass_no, from, to) of word ranges that the mix takes."""
-    sized = materialize(sizes(docs, key, text, source))
+    sized = materialize(sizes(docs, key, text, source, tell))
     sources = materialize(targets(sized, weights, share, most))
     slots = plan(sources, block, seed).select("sid", "idx", "pass_no")
     by_block = slots.groupBy("sid", "idx").agg(F.collect_list("pass_no").alias("passes"))  # two at most
-    d = placed(sized, sources)
+    named = ["doc_id", "source", "size", "source_size", "target", "h"]
+    none = F.array().cast("array<struct<pass_no:bigint,low:bigint,high:bigint>>")
+    d = placed(sized.where("size > 0"), sources)
     end = F.col("start") + F.col("size")
     first = F.floor(F.col("start") / block).cast("long")
-    pieces = d.withColumn("idx", F.explode(F.when(F.col("size") > 0, F.sequence(first, F.floor((end - 1) / block).cast("long"))).otherwise(F.array(first))))
+    pieces = d.withColumn("idx", F.explode(F.sequence(first, F.floor((end - 1) / block).cast("long"))))
     low = F.greatest(F.col("start"), F.col("idx") * block) - F.col("start")
     high = F.least(end, (F.col("idx") + 1) * block) - F.col("start")
     pieces = pieces.withColumns({"low": low, "high": F.greatest(high, low)})
     met = pieces.join(by_block.hint("merge"), ["sid", "idx"], "left")  # its size is that of the slots, which the planner cannot see
     runs = F.transform("passes", lambda p: F.struct(p.alias("pass_no"), F.col("low").alias("low"), F.col("high").alias("high")))
-    met = met.withColumns({"words": (F.col("high") - F.col("low")) * F.greatest(F.size("passes"), F.lit(0)), "runs": F.coalesce(runs, F.array().cast("array<struct<pass_no:bigint,low:bigint,high:bigint>>"))})
-    by = ["sid", "rank", "doc_id", "source", "size", "source_size", "target", "h"]
-    return met.groupBy(*by).agg(F.sum("words").alias("taken"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs")).drop("sid", "rank")
+    met = met.withColumns({"words": (F.col("high") - F.col("low")) * F.greatest(F.size("passes"), F.lit(0)), "runs": F.coalesce(runs, none)})
+    out = met.groupBy("sid", "rank", *named).agg(F.sum("words").alias("taken"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs")).drop("sid", "rank")
+    # documents without words have no place in the row of words
+    rest = sized.where("size = 0").join(sources.withColumnRenamed("source", "__src"), F.col("source").eqNullSafe(F.col("__src")))
+    return out.unionByName(rest.select(*named, F.lit(0).cast("long").alias("taken"), none.alias("runs")))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus, with the columns of ``docs``: a row for each document and pass that takes any of it, its text the words taken in
-    that pass, its ``n_chars`` the new length.  A pass that takes the whole document keeps its text unchanged."""
-    m = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "size", F.explode(F.array(F.lit(0), F.lit(1))).alias("p"), "runs")
+    that pass, its ``n_chars`` the new length.  A pass that takes the whole document keeps its text unchanged.
+
+    Rows that are equal in every column have a run list each, and each list makes its own rows of the one text they share.
+    """
+    tell = F.xxhash64(*docs.columns)
+    m = mix(docs, tell=tell, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "size", F.explode(F.array(F.lit(0), F.lit(1))).alias("p"), "runs")
     m = m.withColumn("runs", F.filter("runs", lambda r: r.pass_no == F.col("p"))).where(F.size("runs") > 0)
-    m = m.groupBy("__id", "__h", "size", "p").agg(F.min("runs").alias("runs"))  # rows that repeat an id and text share one run list
     whole = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r.high - r.low) == F.col("size")
     m = m.select("__id", "__h", F.when(whole, F.array()).otherwise(F.col("runs")).alias("__runs"))
-    d = docs.withColumn("__h0", F.xxhash64(F.coalesce("text", F.lit(""))))
+    d = docs.withColumn("__h0", tell).dropDuplicates(["doc_id", "__h0"])
     j = d.join(m, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h0") == F.col("__h")))
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
     j = j.withColumn("__words", F.when(F.size("__runs") > 0, words))
