@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -347,9 +348,9 @@ def test_licences(spark, empty):
 def test_licences_with_extra_words_at_any_table_size(spark, size):
     asked = {
         "Acme is released under the MIT License.": "MIT", "This project is licensed under the Apache License, Version 2.0.": "Apache-2.0", "Copyright 2024 Acme Inc, all rights reserved.": "Proprietary",
-        "Acme is released under the ISC License.": None, "We at Acme asked for a license to fish.": None,
+        "Acme is released under the ISC License.": "ISC", "We at Acme asked for a license to fish.": None, "Acme is released under the Frob License.": None,
     }
-    usual = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "All rights reserved.", "Released under the ISC License.", "Copyright Acme Inc"]
+    usual = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "All rights reserved.", "Released under the Frob License.", "Copyright Acme Inc"]
     many = spark.range(size).select("id", F.element_at(F.array(*(F.lit(x) for x in usual)), (F.col("id") % 5 + 1).cast("int")).alias("text"))
     few = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(asked)], "id long, text string")
     files = many.unionByName(few).select(F.col("id").alias("doc_id"), F.concat(F.lit("p"), "id", F.lit("/x")).alias("path"), "text")
@@ -364,19 +365,62 @@ def test_licences_of_rows_without_an_id_and_of_repeated_ones(spark):
     assert Counter((r.doc_id, r.path, r.own_licence) for r in got) == Counter((k, p, "MIT" if mit in t else None) for k, p, t in rows)
 
 
+def plain_fit(sentence, sentences):
+    """(fit, name) of the best window of a sentence, and the cosine of the whole: every template, mark and place tried in turn."""
+    tok = lambda t: re.findall(r"[^\W_]+(?:\.[0-9]+)*", t.lower())
+    seen = [set(tok(s)) for s in sentences]
+    ts: dict = {}
+    for name, i, _, _, w, mark in licences.template_words(licences.TEMPLATES):
+        ts.setdefault((name, i), []).append((w, mark))
+    vocabulary = {w for x in ts.values() for w, _ in x}
+    df = lambda w: sum(w in x for x in seen)
+    idf = lambda w: math.log((len(seen) + 1) / (df(w) + 1)) + 1
+    rare = lambda w: idf(w) if w in vocabulary else math.log(len(seen) + 1) + 1
+    cos = lambda a, b, g: sum(a[w] * g(w) * b[w] * idf(w) for w in a) / math.sqrt(sum((a[w] * g(w)) ** 2 for w in a)) / math.sqrt(sum((b[w] * idf(w)) ** 2 for w in b))
+    ws, best, whole = tok(sentence), (0.0, ""), 0.0
+    for (name, _), x in ts.items():
+        long, b = len(x), Counter(w for w, _ in x)
+        whole = max(whole, cos(Counter(ws), b, rare))
+        for at, (w, mark) in enumerate(x):
+            for pos in (p for p, v in enumerate(ws) if mark and v == w):
+                for d in range(-licences.SLACK, licences.SLACK + 1):
+                    start = min(max(pos - at + d, 0), max(len(ws) - long, 0))
+                    fit = cos(Counter(ws[start : start + long]), b, idf)
+                    best = min(best, (-round(fit, 9), name))
+    return -best[0], best[1], whole
+
+
 def test_licence_cosines_against_plain_python(spark):
-    texts = ["Licensed under the Apache License, Version 2.0.", "licensed to all of you under version 2.0", "Copyright and license", "Released under the MIT License."] * 2
-    got = {r.doc_id: (r.own_licence, r.score) for r in licences.scan(spark.createDataFrame([(i, f"p/{i}", t) for i, t in enumerate(texts)], "doc_id long, path string, text string"), least=0.0).collect()}
-    tok = lambda t: Counter(re.findall(r"[^\W_]+(?:\.[0-9]+)*", t.lower()))
-    # a sentence each; some hold two, split at the full stop
-    heads = [[s for s in re.split(r"(?<=[.!?])[ \t]+", t) if re.search(licences.CUE, s)] for t in texts]
-    docs = [tok(s) for h in heads for s in h]
-    vocabulary = {w for xs in licences.TEMPLATES.values() for x in xs for w in tok(x)}
-    idf = lambda w: math.log((len(docs) + 1) / (1 + (sum(w in d for d in docs) if w in vocabulary else 0))) + 1
-    cos = lambda a, b: sum(a[w] * b[w] * idf(w) ** 2 for w in a) / math.sqrt(sum((a[w] * idf(w)) ** 2 for w in a)) / math.sqrt(sum((b[w] * idf(w)) ** 2 for w in b))
-    for i, h in enumerate(heads):
-        best = max((cos(tok(s), tok(x)) for s in h for xs in licences.TEMPLATES.values() for x in xs), default=None)
-        assert (got[i][1] is None) == (best is None) and (best is None or got[i][1] == pytest.approx(best, abs=1e-6)), texts[i]
+    texts = ["Licensed under the Apache License, Version 2.0.", "licensed to all of you under version 2.0", "Copyright and license", "Released under the MIT License.", "An apache of sorts flew over.", "we charge a fee, all rights reserved", "All rights of the gnu reserved, by the GNU General Public License in some version, 2 or 3"] * 2
+    d = spark.createDataFrame([(i, f"p/{i}", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: (r.own_licence, r.score) for r in licences.scan(d, least=0.0).collect()}
+    marks = {w for ws in licences.MARKS.values() for w in ws}
+    said = [s for t in texts for s in re.split(licences.BREAK, t) if set(re.findall(r"[^\W_]+", s.lower())) & marks]
+    sure = {r.doc_id: r.own_licence for r in licences.scan(d, least=0.6).collect()}
+    for i, t in enumerate(texts):
+        of = [plain_fit(s, said) for s in re.split(licences.BREAK, t) if s in said]
+        if not of:
+            assert got[i] == (None, None), t
+            continue
+        best = min((-f, name) for f, name, _ in of)
+        assert got[i][0] == best[1] and got[i][1] == pytest.approx(max(w for *_, w in of), abs=1e-6), t
+        assert sure[i] == (best[1] if -best[0] >= 0.6 else None), t
+
+
+def test_licence_files_of_whole_texts(spark):
+    """Whole licence texts, wrapped and behind comment signs, among other words; and a sentence of very many words."""
+    rows = []
+    for i, (name, text) in enumerate(sorted(licences.TEXTS.items())):
+        wrapped = "\n\n".join("\n".join(textwrap.wrap(p, 70)) for p in text.split("\n\n"))
+        rows += [(10 * i, f"d{i}/LICENSE", "Copyright (c) 2024 Some Body\n\n" + wrapped, name), (10 * i + 1, f"d{i}/src/a.c", "int main() { return 0; }", None)]
+        rows += [(10 * i + 2, f"e{i}/x.py", "# " + wrapped.replace("\n", "\n# ") + "\n\n" + "import this\n" * 400, name)]
+    rows += [(5000, "f/long", "word of no licence " * 9000 + "under the MIT License " + "and more " * 9000, "MIT"), (5001, "f/none", "the mit of all " * 5000, None)]
+    d = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string").withColumns({c: F.lit("x") for c in ("s", "w", "n", "name", "row", "dir", "score", "licence")})
+    got = {r.doc_id: r for r in licences.scan(d).collect()}
+    assert {k: got[k].own_licence for k, *_ in rows if k != 5001} == {r[0]: r[3] for r in rows if r[0] != 5001}
+    for k, _, _, name in rows:
+        if k < 5000 and k % 10 == 1:
+            assert got[k].licence == got[k - 1].own_licence
 
 
 PAGES = "page_id long, url string, html string"
