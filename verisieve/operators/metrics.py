@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.durable import materialize
 from .ordered import prefix_sums, quantiles
 
 
@@ -48,10 +48,12 @@ def ece(curve: DataFrame) -> DataFrame:
 
 def ece_grid(df: DataFrame, y: str, p: str, bins: tuple[int, ...] = (10, 15, 20), strategies: tuple[str, ...] = ("uniform", "quantile")) -> DataFrame:
     """strategy, n_bins, ece for every cell of the grid, in one pass over the rows."""
+    asked = sorted({i / n for n in bins for i in range(1, n)}) if "quantile" in strategies else []
+    at_q = dict(zip(asked, quantiles(df, p, asked), strict=True)) if asked else {}
     cells = []
     for s in strategies:
         for n in bins:
-            edges = bin_edges(df, p, n, s)
+            edges = sorted({float(at_q[i / n]) for i in range(1, n) if at_q[i / n] is not None}) if s == "quantile" else bin_edges(df, p, n, s)
             at = F.size(F.filter(F.array(*(F.lit(e) for e in edges)), lambda e: e <= F.col(p))) if edges else F.lit(0)
             cells.append(F.struct(F.lit(s).alias("strategy"), F.lit(n).alias("n_bins"), at.alias("bin")))
     long = df.select(F.col(p).alias("__p"), F.col(y).cast("double").alias("__y"), F.array(*cells).alias("__c")).select("__p", "__y", F.explode("__c").alias("c"))
@@ -66,46 +68,82 @@ def calibration_gain(df: DataFrame, y: str, before: str, after: str, n_bins: int
     return a.join(b).withColumn("gain", F.try_divide(F.col("ece_before") - F.col("ece_after"), F.col("ece_before")))  # one row each
 
 
-def _auc(y: np.ndarray, s: np.ndarray, w: np.ndarray) -> float:
-    order = np.argsort(s, kind="stable")
-    y, s, w = y[order], s[order], w[order]
-    start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    pos, neg = np.add.reduceat(w * (y == 1), start), np.add.reduceat(w * (y == 0), start)
-    total = pos.sum() * neg.sum()
-    return float((pos * (np.cumsum(neg) - neg / 2)).sum() / total) if total else float("nan")
+#: Images in a block whose draws share one generator, and rows that a task of the bootstrap holds at most on average.
+BLOCK, TASK_ROWS = 1024, 1_000_000
+
 
+def _draws(seed: int, replicate: int, images: int, blocks: np.ndarray) -> np.ndarray:
+    """How often a replicate draws each image of the given blocks, one after another; all images' draws add up to their number.
 
-#: Rows up to which the exact bootstrap may hold the table in each task.
-BOOTSTRAP_ROWS = 2_000_000
+    Draws are made in two steps, of totals per block and of images within a block, each by its own seed.  So any task can make those of the
+    blocks it needs, and the counts are multinomial as a whole.
+    """
+    size = np.full(-(-images // BLOCK), BLOCK)
+    size[-1] = images - BLOCK * (len(size) - 1)
+    totals = np.random.default_rng([seed, replicate]).multinomial(images, size / images)
+    each = [np.random.default_rng([seed, replicate, int(b) + 1]).multinomial(totals[b], np.full(size[b], 1 / size[b])) for b in blocks]
+    return np.concatenate([np.pad(x, (0, BLOCK - len(x))) for x in each]) if each else np.zeros(0, dtype=np.int64)
 
 
 def paired_bootstrap(df: DataFrame, y: str, a: str, b: str, image: str, replicates: int = 5000, seed: int = 20260920) -> DataFrame:
     """delta (AUROC of a minus that of b), low, high (2.5 and 97.5 %), p_not_better, n_replicates.
 
-    Whole images are resampled with replacement.  Replicates are spread over tasks; each draws its own counts from (seed, replicate), so
-    the result does not depend on partitions.  The table goes to every task, after a check of its size; a larger one takes the mean over
-    images first or a smaller sample of images.
+    Whole images are resampled with replacement, as many as there are.  Rows are counted per (image, score) and dealt into ranges of
+    scores; a task goes through all replicates for its range and returns, for each, weighted positives, negatives and pairs won inside the
+    range.  Ranges are then put together by a running sum per replicate.  Nothing is held whole, and draws depend on (seed, replicate,
+    image) only.  Replicates with one class are left out; if none is left, or there are no rows, that is an error.
     """
-    rows = df.select(F.col(y).cast("int").alias("y"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.col(image).cast("string").alias("i"))
-    n = rows.count()
-    if n > BOOTSTRAP_ROWS:
-        raise ValueError(f"{n} rows; the paired bootstrap holds at most {BOOTSTRAP_ROWS}")
-    pdf = rows.toPandas().sort_values(["i", "y", "a", "b"])  # bounded just above
-    ys, xs, zs = pdf["y"].to_numpy(), pdf["a"].to_numpy(), pdf["b"].to_numpy()
-    at = pd.factorize(pdf["i"])[0]
-    images = int(at.max()) + 1 if n else 0
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch["id"]:
-                w = np.bincount(np.random.default_rng([seed, int(r)]).integers(0, images, images), minlength=images)[at].astype(float)
-                out.append(_auc(ys, xs, w) - _auc(ys, zs, w))
-            yield pd.DataFrame({"replicate": batch["id"], "delta": out})
-
-    spark = df.sparkSession
-    if not images:
+    rows = df.select(F.col(y).cast("int").alias("y"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.coalesce(F.col(image).cast("string"), F.lit("\0")).alias("i"))
+    images = rows.select("i").distinct()
+    images = materialize(images.withColumn("h", F.xxhash64("i")))
+    n = images.count()
+    if not n:
         raise ValueError("no rows to resample")
-    draws = spark.range(0, replicates, 1, min(replicates, 64)).mapInPandas(run, "replicate long, delta double").where(~F.isnan("delta"))
-    point = _auc(ys, xs, np.ones(n)) - _auc(ys, zs, np.ones(n))
-    return draws.agg(F.lit(point).alias("delta"), F.percentile("delta", 0.025).alias("low"), F.percentile("delta", 0.975).alias("high"), F.avg((F.col("delta") <= 0).cast("double")).alias("p_not_better"), F.count(F.lit(1)).alias("n_replicates"))
+    # numbers 0..n-1: a rank by hash, and among equal hashes by name
+    place = prefix_sums(images.groupBy("h").agg(F.count(F.lit(1)).alias("k")), "h", ["k"]).select("h", (F.col("k_upto") - F.col("k")).alias("base"))
+    inside = Window.partitionBy("h").orderBy("i")
+    numbered = images.join(place, "h").select("i", (F.col("base") + F.row_number().over(inside) - 1).alias("at"))
+    pair = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("s")), F.struct(F.lit("b").alias("side"), F.col("b").alias("s"))))
+    long = rows.select("i", "y", pair.alias("x")).groupBy("i", "x.side", "x.s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    long = materialize(long.where("s is not null").join(numbered, "i"))
+    total = long.count()
+    ranges = max(1, -(-total // (2 * TASK_ROWS)), min(32, -(-total // 4096)))
+    cuts = long.groupBy("side").agg(F.array_distinct(F.percentile_approx("s", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).alias("cuts"))  # two rows
+    part = F.size(F.filter("cuts", lambda c: c <= F.col("s"))) if ranges > 1 else F.lit(0)
+    dealt = long.join(F.broadcast(cuts), "side").select("side", part.alias("part"), "s", "at", "pos", "neg")
+    # replicates are shared out too, so that few ranges still fill a cluster
+    shares = max(1, min(replicates, 64 // ranges))
+    dealt = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    groups = ["side", "part", "share"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        side, part, share = key
+        pdf = pdf.sort_values(["s", "at"], kind="stable")
+        s, at = pdf["s"].to_numpy(), pdf["at"].to_numpy()
+        pos, neg = pdf["pos"].to_numpy(dtype=np.float64), pdf["neg"].to_numpy(dtype=np.float64)
+        start = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        blocks, where = np.unique(at // BLOCK, return_inverse=True)
+        where = where * BLOCK + at % BLOCK
+        out = []
+        for r in [*([-1] if share == 0 else []), *range(int(share), replicates, shares)]:
+            if r < 0:
+                w = np.ones(len(at))  # replicate -1 is the table itself
+            else:
+                w = _draws(seed, r, n, blocks)[where].astype(np.float64)
+            p, q = np.add.reduceat(w * pos, start), np.add.reduceat(w * neg, start)
+            out.append((side, int(part), r, p.sum(), q.sum(), float((p * (np.cumsum(q) - q / 2)).sum())))
+        return pd.DataFrame(out, columns=["side", "part", "r", "pos", "neg", "won"])
+
+    told = dealt.groupBy(*groups).applyInPandas(run, "side string, part int, r int, pos double, neg double, won double")
+    below = Window.partitionBy("side", "r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    told = told.withColumn("won", F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    auc = told.groupBy("side", "r").agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
+    sign = F.when(F.col("side") == "a", F.col("auc")).otherwise(-F.col("auc"))
+    deltas = auc.groupBy("r").agg(F.when(F.count("auc") == 2, F.sum(sign)).alias("delta"))
+    drawn = lambda x: F.when(F.col("r") >= 0, x)
+    out = deltas.agg(
+        F.max(F.when(F.col("r") < 0, F.col("delta"))).alias("delta"), F.percentile(drawn(F.col("delta")), 0.025).alias("low"), F.percentile(drawn(F.col("delta")), 0.975).alias("high"),
+        F.avg(drawn((F.col("delta") <= 0).cast("double"))).alias("p_not_better"), F.count(drawn(F.col("delta"))).alias("n_replicates"),
+    )
+    none = F.raise_error(F.lit("no replicate holds both classes"))
+    return out.withColumn("n_replicates", F.when(F.col("n_replicates") > 0, F.col("n_replicates")).otherwise(none.cast("bigint")))

@@ -10,43 +10,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.durable import materialize
+
 RANGES = 64
 
 
-def prefix_sums(df: DataFrame, order: str, sums: list[str], descending: bool = False) -> DataFrame:
-    """Adds ``<c>_upto`` for each column of ``sums``: its sum over all rows up to and with this one.  ``order`` is unique and not null."""
-    got = df.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0]
-    cuts = sorted(set(got or []))
-    part = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    part = -part if descending else part
+def _ranges(df: DataFrame) -> int:
+    """Ranges that a table is cut into: more on a cluster that is set up for more partitions."""
+    return max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def prefix_sums(df: DataFrame, order: str, sums: list[str], descending: bool = False, by: str | None = None) -> DataFrame:
+    """Adds ``<c>_upto`` for each column of ``sums``: its sum over all rows up to and with this one, within ``by`` if given.
+
+    ``order`` is unique (within ``by``) and not null.  ``df`` is read several times.
+    """
+    n = _ranges(df)
     key = F.col(order).desc() if descending else F.col(order).asc()
-    d = df.withColumn("__part", part)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    totals = d.groupBy("__part").agg(*(F.sum(c).alias(c) for c in sums))
-    totals = totals.select("__part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__b_{c}") for c in sums))
-    inside = Window.partitionBy("__part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumns({f"{c}_upto": F.sum(c).over(inside) for c in sums}).join(F.broadcast(totals), "__part")
+    cuts = F.percentile_approx(order, [i / n for i in range(1, n)], 10_000)
+    if by is None:
+        got = sorted(set(df.agg(cuts).first()[0] or []))
+        d = df.withColumn("__cuts", F.array(*(F.lit(x) for x in got)) if got else F.array().cast("array<double>"))
+    else:
+        d = df.join(df.groupBy(by).agg(F.array_sort(F.array_distinct(cuts)).alias("__cuts")), by)  # a row per ``by``
+    part = F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col(order))), F.lit(0))
+    d = d.withColumn("__part", -part if descending else part).drop("__cuts")
+    groups = [*([by] if by else []), "__part"]
+    before = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    totals = d.groupBy(*groups).agg(*(F.sum(c).alias(c) for c in sums))
+    totals = totals.select(*groups, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__b_{c}") for c in sums))
+    inside = Window.partitionBy(*groups).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumns({f"{c}_upto": F.sum(c).over(inside) for c in sums}).join(totals, groups)
     return d.withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"__b_{c}") for c in sums}).drop("__part", *(f"__b_{c}" for c in sums))
 
 
 def quantiles(df: DataFrame, value: str, qs: list[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation, for a handful of ``qs``; NULL values are skipped."""
-    c = prefix_sums(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")), "v", ["n"])
-    total = c.agg(F.sum("n")).first()[0] or 0
+    """Exact quantiles with linear interpolation, for a handful of ``qs``; NULL values are skipped.  One pass over ``df``."""
+    held = materialize(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    total = held.agg(F.sum("n")).first()[0] or 0
     if not total:
         return [None] * len(qs)
+    c = prefix_sums(held, "v", ["n"])
     ranks = [((total - 1) * q) for q in qs]
-    at = lambda r: F.min(F.when(F.col("n_upto") > r, F.col("v")))
-    row = c.agg(*(x for r in ranks for x in (at(int(r)), at(min(int(r) + 1, total - 1))))).first()
-    return [row[2 * i] + (row[2 * i + 1] - row[2 * i]) * (r - int(r)) for i, r in enumerate(ranks)]
+    wanted = sorted({int(r) for r in ranks} | {min(int(r) + 1, total - 1) for r in ranks})
+    # each wanted rank falls to one value: the first with more rows up to it
+    hit = F.filter(F.lit(wanted), lambda r: (r < F.col("n_upto")) & (r >= F.col("n_upto") - F.col("n")))
+    at = {r[0]: r[1] for r in c.select(F.explode(hit).alias("rank"), "v").collect()}  # two rows per quantile
+    return [at[int(r)] + (at[min(int(r) + 1, total - 1)] - at[int(r)]) * (r - int(r)) for r in ranks]
 
 
 def medians(df: DataFrame, names: list[str]) -> DataFrame:
-    """name, median of the non-null values of each column, exact.  One unpivoted pass; a window runs over one column's distinct values."""
+    """name, median of the non-null values of each column, exact.  One unpivoted pass; columns are cut into ranges of values."""
     long = df.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").cast("double").alias("v")) for n in names))).alias("x")).select("x.name", "x.v")
-    c = long.where(F.col("v").isNotNull()).groupBy("name", "v").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("name")
-    c = c.withColumns({"upto": F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(w)})
+    held = materialize(long.where(F.col("v").isNotNull()).groupBy("name", "v").agg(F.count(F.lit(1)).alias("n")))
+    c = prefix_sums(held, "v", ["n"], by="name").join(held.groupBy("name").agg(F.sum("n").alias("total")), "name")
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    pick = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
+    pick = lambda r: F.min(F.when(F.col("n_upto") > r, F.col("v")))
     return c.groupBy("name").agg(((pick(low) + pick(high)) / 2).alias("median"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scalars import hash01
-from ..operators import aggregate, calibrate, conformal, decompose, evidence, features, metrics, ordered
+from ..operators import aggregate, calibrate, conformal, decompose, evidence, features, metrics, ordered, reports
 from ..sources.providers import MockProvider
+from . import evidence_scorer, scoring
 from . import fixtures as fx
-from . import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,7 +121,7 @@ def calibration_gain(spark, d):
 @query()
 def bootstrap_delta(spark, d):
     t = fx.probabilities(spark, d).withColumn("b", F.col("w") / 50.0)
-    return metrics.paired_bootstrap(t, "y", "p", "b", "image", replicates=200)
+    return metrics.paired_bootstrap(t, "y", "p", "b", "image")
 
 
 # -- selection --------------------------------------------------------------
@@ -284,8 +284,8 @@ _DIRECT_SQL = _direct_sql()
 
 @query(_DIRECT_SQL)
 def direct_layer(spark, d):
-    names = [x.split(")")[-1].strip() for x in _DIRECT_SQL.split(" as ") if x.startswith("direct_verifier_")]
-    names = [n for n in evidence.DIRECT if f" as {n}," in _DIRECT_SQL or f" as {n} from q" in _DIRECT_SQL]
+    own = _DIRECT_SQL[len(_LAYERS) :]
+    names = [n for n in evidence.DIRECT if f" as {n}," in own or f" as {n} from q" in own]
     return rounded(evidence.all_layers(fx.evidence_rows(spark, d), "direct").select("unit_id", *names))
 
 
@@ -320,6 +320,64 @@ def field_match_rates(spark, d):
     return rounded(x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("equal"), F.max(F.abs(F.col("a") - F.col("b"))).alias("max_abs_diff")))
 
 
+_DIFFER = "with e as (" + fx.SQL_EVIDENCE + "), u as (select unit_id, any_value(bcm_multiview_support_mean) as a1, any_value(bcm_multiview_disagreement) as a2, any_value(claim_bcm_direct_verify_support) as a3, count(*) as k from e group by 1 having count(*) = 1), t as (select unit_id, a1, case when unit_id like '%1' then a1 else coalesce(a1, 0) + 0.25::double end as b1, a2, case when unit_id like '%7' then a2 + length(unit_id) / 8.0::double else a2 end as b2, a3, a3 as b3 from u)"
+
+
+def _two_tables(spark, d):
+    """Evidence rows of unique keys, and the same with some values changed."""
+    e = fx.evidence_rows(spark, d)
+    e = e.join(e.groupBy("unit_id").count().where("count = 1"), "unit_id")
+    x, y, z = (F.col(c) for c in ("bcm_multiview_support_mean", "bcm_multiview_disagreement", "claim_bcm_direct_verify_support"))
+    a = e.select("unit_id", x.alias("x1"), y.alias("x2"), z.alias("x3"))
+    end = lambda c: F.col("unit_id").like(f"%{c}")
+    b = e.select("unit_id", F.when(end(1), x).otherwise(F.coalesce(x, F.lit(0.0)) + 0.25).alias("x1"), F.when(end(7), y + F.length("unit_id") / 8.0).otherwise(y).alias("x2"), z.alias("x3"))
+    return a, b
+
+
+def _diff_sql(i: int) -> str:
+    g = f"abs(a{i} - b{i})"
+    return f"select 'x{i}' as name, count({g}) as n, count(*) filter ((a{i} is null) <> (b{i} is null)) as n_one_sided, round(max({g}), 9) as max_abs_diff, (select min(unit_id) from t where {g} = (select max({g}) from t)) as key from t"
+
+
+@query(_DIFFER + " " + " union all ".join(_diff_sql(i) for i in (1, 2, 3)))
+def max_abs_diff(spark, d):
+    return rounded(reports.max_abs_difference(*_two_tables(spark, d), "unit_id", ["x1", "x2", "x3"]))
+
+
+@query(_DIFFER + " " + " union all ".join(f"select 'x{i}' as name, count(*) as n, count(*) filter (coalesce(abs(a{i} - b{i}) <= 1e-12, false) or a{i} is not distinct from b{i}) as n_equal, 0::bigint as only_a, 0::bigint as only_b, round(count(*) filter (coalesce(abs(a{i} - b{i}) <= 1e-12, false) or a{i} is not distinct from b{i}) / count(*)::double, 9) as rate from t" for i in (1, 2, 3)))
+def field_matches(spark, d):
+    return rounded(reports.field_matches(*_two_tables(spark, d), ["unit_id"], ["x1", "x2", "x3"]))
+
+
+@query("select o_orderpriority as method, round(m, 9) as measured, round(s, 9) as stored, round(m - s, 9) as delta, coalesce(abs(m - s) <= 1e-5, false) as reproduced from (select o_orderpriority, avg(o_totalprice) / 1e5 as m from orders group by 1) full join (select o_orderpriority, avg(o_totalprice) / 1e5 + case when o_orderpriority like '1%' then 0.5::double else 0 end as s from orders where o_orderpriority not like '5%' group by 1) using (o_orderpriority)")
+def reproduction_check(spark, d):
+    o = fx.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("method")).agg((F.avg("o_totalprice") / 1e5).alias("value"))
+    stored = o.where(~F.col("method").like("5%")).withColumn("value", F.col("value") + F.when(F.col("method").like("1%"), 0.5).otherwise(0.0))
+    return rounded(reports.reproduction(o, stored, ["method"], "value"))
+
+
+@query("with t as (select count(*) as n_rows, sum(case l_returnflag when 'R' then 1 else 0 end)::bigint as n_failed, count(distinct l_suppkey) as n_groups from lineitem) select n_rows, n_failed, n_groups, round(n_failed / n_rows::double, 9) as share_failed, array_to_string(list_filter([case when n_rows < 300 then 'fewer than 300 rows: too few to fit on' end, case when n_rows >= 300 and n_rows < 1200 then 'fewer than 1200 rows: more would still help' end, case when n_failed in (0, n_rows) then 'one class only' end, case when n_groups * 2 < n_rows then 'groups repeat: rows are not independent' end], lambda x: x is not null), '|') as warnings from t")
+def labelled_summary(spark, d):
+    return rounded(reports.labelled_summary(fx.claims(spark, d), "label", "image"))
+
+
+@query("select distinct event_type as method from events union select distinct o_orderstatus from orders")
+def method_union(spark, d):
+    return reports.methods_of(fx.table(spark, d, "events").select(F.col("event_type").alias("method")), fx.table(spark, d, "orders").select(F.col("o_orderstatus").alias("method")))
+
+
+@query("select event_id, event_type from events order by event_id limit 8")
+def first_rows(spark, d):
+    """A report's examples: the limit is the feature."""
+    return reports.first_rows(fx.table(spark, d, "events").select("event_id", "event_type"), ["event_id"], 8)
+
+
+@query("select o_orderkey, o_custkey in (select c_custkey from customer where c_custkey % 3 = 0) as is_score_train from orders")
+def member_mask(spark, d):
+    members = fx.table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    return evidence.member_mask(fx.table(spark, d, "orders").select("o_orderkey", "o_custkey"), members, "o_custkey", "is_score_train").select("o_orderkey", "is_score_train")
+
+
 # -- text -------------------------------------------------------------------
 
 _CLEAN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -347,7 +405,13 @@ def content_coverage(spark, d):
     return rounded(fx.pairs(spark, d).select("response_id", decompose.coverage(F.col("answer"), q).alias("coverage"), F.array_join(decompose.uncovered(F.col("answer"), q), "|").alias("uncovered")))
 
 
-@query()
+def _sql_norm(x: str) -> str:
+    """Lower case, articles out, what is not a-z or 0-9 to spaces.  Runs of word characters are looked at one by one: no look-behind is needed."""
+    runs = rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_]+')"
+    return f"trim(regexp_replace(array_to_string(list_transform({runs}, lambda w: case when w in ('a', 'an', 'the') then ' ' else w end), ''), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query(f"with n as (select item_id, {_sql_norm('text')} as norm from benchmark) select item_id, norm, (case when norm = '' then 0 else len(string_split(norm, ' ')) end)::integer as n_tokens from n")
 def ocr_normalize(spark, d):
     return fx.table(spark, d, "benchmark").select("item_id", T.normalize(F.col("text")).alias("norm"), F.size(T.tokens(T.normalize(F.col("text")))).alias("n_tokens"))
 
@@ -436,13 +500,13 @@ def claim_types_v2(spark, d):
 _COND = "case when s = '' then '[EMPTY_RESPONSE]' when n <= 5 and q <> '' and (starts_with(l, 'what ') or starts_with(l, 'which ') or starts_with(l, 'who ') or starts_with(l, 'where ')) then 'The answer to the question ''' || q || ''' is ' || s || '.' when n <= 5 and q <> '' and starts_with(l, 'how many') then 'The answer count for the question ''' || q || ''' is ' || s || '.' when n <= 5 and q <> '' and (starts_with(l, 'is ') or starts_with(l, 'are ') or starts_with(l, 'does ')) then 'The answer to the yes/no question ''' || q || ''' is ' || s || '.' when ends_with(s, '.') then s else s || '.' end"
 
 
-@query(f"with p as ({fx.SQL_PAIRS}){_TURNS}, z as (select response_id, case response_id[-1:] when '0' then 'What ' || q when '2' then 'How many ' || q when '4' then 'Is ' || q else q end as q, array_to_string(string_split(c, ' ')[1:4], ' ') as s from b), y as (select *, regexp_replace(lower(q), '\\?+$', '') as l, {_sql_words('s')} as n from z) select response_id, {_COND} as claim from y")
+@query(f"with p as ({fx.SQL_PAIRS}){_TURNS}, z as (select response_id, case response_id[-1:] when '0' then 'What ' || q when '2' then 'How many ' || q when '4' then 'Is ' || q else q end as q, unnest([c, response_id]) as s from b), y as (select *, regexp_replace(lower(q), '\\?+$', '') as l, {_sql_words('s')} as n from z) select response_id, {_COND} as claim from y")
 def question_conditioning(spark, d):
     end = F.substring("response_id", -1, 1)
     q = T.clean(F.col("question"))
     q = F.when(end == "0", F.concat(F.lit("What "), q)).when(end == "2", F.concat(F.lit("How many "), q)).when(end == "4", F.concat(F.lit("Is "), q)).otherwise(q)
-    s = F.array_join(F.slice(F.split(T.clean(F.col("answer")), " "), 1, 4), " ")
-    return fx.pairs(spark, d).select("response_id", decompose.conditioned(q, s).alias("claim"))
+    both = fx.pairs(spark, d).select("response_id", q.alias("q"), F.explode(F.array("answer", "response_id")).alias("s"))  # a long answer and a short one
+    return both.select("response_id", decompose.conditioned(F.col("q"), F.col("s")).alias("claim"))
 
 
 @query(rf"with p as ({fx.SQL_PAIRS}){_TURNS}, t as (select response_id, lower(q) as q, lower(c) as c, list_filter(regexp_extract_all(lower(q), '[a-z0-9]+'), lambda w: length(w) > 2) as ws, regexp_extract_all(lower(c), '[a-z0-9]+') as have from b) select response_id, case when q = '' then 0.0::double when len(ws) = 0 then 0.5::double else round(len(list_filter(ws, lambda w: list_contains(have, w))) / len(ws)::double, 9) end as faithfulness from t")
@@ -466,7 +530,23 @@ def atomicity_v1(spark, d):
     return rounded(fx.pairs(spark, d).select("response_id", decompose.atomicity_v1(F.col("answer")).alias("atomicity")))
 
 
-@query()
+def _sql_plain(c: str) -> str:
+    """What atomicity looks at: a claim without quoted text, or without the question that it quotes."""
+    has = f"(instr({c}, 'question ''') > 0 and instr(reverse({c}), ' si ''') > 0 and length({c}) - instr(reverse({c}), ' si ''') - 3 > instr({c}, 'question '''))"
+    outside = f"substr({c}, 1, instr({c}, 'question ''') + 8) || substr({c}, length({c}) - instr(reverse({c}), ' si ''') - 3)"
+    return f"(case when {has} then {outside} else regexp_replace({c}, '''[^'']*''|\"[^\"]*\"', '', 'g') end)"
+
+
+def _sql_clean(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def _sql_atom_v2(c: str) -> str:
+    u = _sql_plain(f"lower({c})")
+    return f"(case when {c} = '' then 0.0::double else {_penalty(u, _sql_words(_sql_clean(u)))} end)"
+
+
+@query(f"with p as ({fx.SQL_PAIRS}){_TURNS} select response_id, round({_sql_atom_v2('c')}, 9) as atomicity from b")
 def atomicity_v2(spark, d):
     return rounded(fx.pairs(spark, d).select("response_id", decompose.atomicity_v2(F.col("answer")).alias("atomicity")))
 
@@ -476,14 +556,42 @@ def fallback_decompose(spark, d):
     return decompose.rule_claims(fx.pairs(spark, d)).select("response_id", "claim_pos", "source_span", "fallback_truncated")
 
 
-@query()
+def _sql_conditioned(q: str, s: str) -> str:
+    return _COND.replace("starts_with(l,", f"starts_with(regexp_replace(lower({q}), '\\?+$', ''),").replace("n <= 5", f"{_sql_words(s)} <= 5").replace("|| q ||", f"|| {q} ||").replace("and q <> ''", f"and {q} <> ''").replace("s = ''", f"{s} = ''").replace("|| s ||", f"|| {s} ||").replace("ends_with(s, '.') then s else s ||", f"ends_with({s}, '.') then {s} else {s} ||")
+
+
+def _sql_faith(a: str, s: str, c: str) -> str:
+    ws = f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda w: length(w) > 2)"
+    return f"(case when {c} = '' or lower({c}) = lower('{decompose.EMPTY}') then 0.0::double when {s} <> '' and contains(lower({a}), lower({s})) then 1.0::double when len({ws}) = 0 then 0.5::double else len(list_filter({ws}, lambda w: list_contains(regexp_extract_all(lower({a}), '[a-z0-9]+'), w))) / len({ws})::double end)"
+
+
+_RULES_V1 = (
+    _V1 + r", e as (select response_id, trim(regexp_replace(question, '\s+', ' ', 'g')) as q, a, unnest(spans) as s, unnest(range(1, len(spans) + 1)) as claim_pos from v1)"
+    f", k as (select *, {_sql_conditioned('q', 's')} as c from e), b as (select *, q || ' ' || c as b from k)"
+    f", r as (select *, {_sql_type(1)} as claim_type, (case when c = '' then 0.0::double else {_penalty('lower(c)', _sql_words('c'))} end) as atom, {_sql_faith('a', 's', 'c')} as faith from b)"
+)
+
+
+@query(_RULES_V1 + " select response_id, claim_pos::integer as claim_pos, c as claim_text, claim_type, atom >= 0.75 as is_atomic, round(least(atom, faith), 9) as decomposition_confidence from r")
 def fallback_decompose_v1(spark, d):
-    return decompose.rule_claims(fx.pairs(spark, d), version=1).select("response_id", "claim_pos", "claim_text", "claim_type", "is_atomic", "decomposition_confidence")
+    return rounded(decompose.rule_claims(fx.pairs(spark, d), version=1)).select("response_id", "claim_pos", "claim_text", "claim_type", "is_atomic", "decomposition_confidence")
+
+
+# a sharp s has no capital letter of its own: its upper case is two
+_CAPITAL = "(case when s[1] = 'ß' then 'SS' || s[2:] when upper(s[1]) <> s[1] and lower(s[1]) = s[1] then upper(s[1]) || s[2:] else s end)"
+_VALIDATED = (
+    _V2 + r", e as (select response_id, trim(regexp_replace(question, '\s+', ' ', 'g')) as q, a, len(spans) > 8 as cut, least(len(spans), 8) as n_spans, unnest(spans[1:8]) as s, unnest(range(1, least(len(spans), 8) + 1)) as claim_pos from v2)"
+    f", k as (select *, case when n_spans = 1 then {_sql_conditioned('q', 's')} when regexp_matches({_CAPITAL}, '[.!?]$') then {_CAPITAL} else {_CAPITAL} || '.' end as c0 from e)"
+    f", t as (select * exclude (c0), c0 as claim_text, s as c, q || ' ' || s as b, {_sql_atom_v2(_sql_clean('c0'))} >= 0.9 as atomic from k), ty as (select *, {_sql_type(2)} as claim_type from t)"
+    f", w as (select response_id, any_value(a) as a, count(*) as n, count(distinct lower({_sql_clean('claim_text')})) as n_distinct, bool_or(not atomic) as compound, bool_or(cut) as cut, list_distinct(flatten(list({_sql_tokens('claim_text')}))) as covered from ty group by 1)"
+    f", x as (select *, {_sql_tokens('a')} as own from w), y as (select *, case when len(own) = 0 then 1.0::double else 1 - len(list_filter(own, lambda z: not list_contains(covered, z))) / len(own)::double end as coverage from x)"
+    ", z as (select *, array_to_string(list_filter([case when n > 8 then 'too_many_claims' end, case when n <> n_distinct then 'duplicate_claims' end, case when compound then 'non_atomic_claim' end, case when cut then 'fallback_truncated' end, case when coverage < 0.8 then 'incomplete_response_coverage' end], lambda e: e is not null), '|') as errors from y)"
+)
 
 
-@query()
+@query(_VALIDATED + " select ty.response_id, claim_pos::integer as claim_pos, claim_text, claim_type, n as claim_set_size, round(coverage, 9) as response_coverage_score, errors = '' as claim_set_validated, errors as claim_set_validation_errors, coverage >= 0.8 as coverage_complete from ty join z using (response_id)")
 def claim_set_validation(spark, d):
-    v = decompose.validated(decompose.rule_claims(fx.pairs(spark, d)))
+    v = rounded(decompose.validated(decompose.rule_claims(fx.pairs(spark, d))))
     return v.select("response_id", "claim_pos", "claim_text", "claim_type", "claim_set_size", "response_coverage_score", "claim_set_validated", "claim_set_validation_errors", "coverage_complete")
 
 
@@ -491,7 +599,7 @@ def claim_set_validation(spark, d):
 def json_claim_parse(spark, d):
     """Answers written as a model's completion, fenced every other time, through the checked model path."""
     p = fx.pairs(spark, d)
-    body = F.to_json(F.struct(F.transform(F.slice(F.split("answer", r"\. "), 1, 3), lambda s: F.struct(s.alias("claim_text"), s.alias("source_span"))).alias("claims")))
+    body = F.to_json(F.struct(F.transform(F.split("answer", r"\. "), lambda s: F.struct(s.alias("claim_text"), s.alias("source_span"))).alias("claims")))
     p = p.withColumn("completion", F.when(F.length("answer") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body))
     return decompose.hybrid_claims(p, "completion").select("response_id", "claim_pos", "claim_text", "method", "claim_set_validated")
 
@@ -542,13 +650,13 @@ def mechanical_ocr(spark, d):
 
 @query()
 def alignment(spark, d):
-    p = fx.pairs(spark, d).select("response_id", F.substring("answer", 1, 160).alias("claim_text"), F.substring("question", 1, 160).alias("evidence"))
+    p = fx.pairs(spark, d).select("response_id", F.col("answer").alias("claim_text"), F.col("question").alias("evidence"))
     return features.alignment(p).select("response_id", *features.ALIGN)
 
 
 @query()
 def mvr_stats(spark, d):
-    p = fx.pairs(spark, d).select("response_id", F.slice(decompose.split_v2(F.col("answer")), 1, 5).alias("samples"), F.slice(decompose.split_v2(F.col("question")), 1, 5).alias("box_texts"))
+    p = fx.pairs(spark, d).select("response_id", F.slice(decompose.split_v2(F.col("answer")), 1, 5).alias("samples"), decompose.split_v2(F.col("question")).alias("box_texts"))
     return features.resampled(p, k=5).select("response_id", *features.RESAMPLED)
 
 
@@ -559,25 +667,32 @@ def vqa_labels(spark, d):
     return rounded(fx.table(spark, d, "events").select("event_id", s.alias("score"), f.alias("failed")))
 
 
-def _embedding_frame(spark, d, n: int = 16):
+def _embedding_frame(spark, d, n: int = 64):
     e = fx.table(spark, d, "embeddings")
     return e.select("vec_id", (F.col("label") == 0).cast("int").alias("y"), *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(n)))
 
 
 @query()
 def ridge_fit(spark, d):
-    c = calibrate.fit(_embedding_frame(spark, d), [f"x{i}" for i in range(16)], "y")
+    c = calibrate.fit(_embedding_frame(spark, d), [f"x{i}" for i in range(64)], "y")
     rows = [("intercept", c.intercept), *c.ranked_weights()]
     return spark.createDataFrame([(n, round(float(v), 6)) for n, v in rows], "feature string, weight double")
 
 
 #: A calibrator with fixed numbers, so that prediction can be held against SQL.
-FIXED = calibrate.Calibrator([f"x{i}" for i in range(4)], [0.01, -0.02, 0.0, 0.03], [0.1, 0.2, 0.15, 0.12], -1.5, [0.8, -0.4, 0.3, 1.1], status="converged")
+FIXED = calibrate.Calibrator(
+    [f"x{i}" for i in range(64)], [(i % 7 - 3) / 100 for i in range(64)], [0.1 + i % 5 / 100 for i in range(64)], -1.5, [(i * 37 % 21 - 10) / 40 for i in range(64)], status="converged"
+)
+
+
+def _risk_sql(c: calibrate.Calibrator, value: Callable[[int, str], str]) -> str:
+    terms = "".join(f" + ({value(i, f)} - ({m!r})::double) * ({w!r}::double / {s!r}::double)" for i, (f, m, s, w) in enumerate(zip(c.features, c.mean, c.std, c.weights, strict=True)))
+    return f"least(greatest(1 / (1 + exp(-(({c.intercept!r})::double{terms}))), 1e-6), 1 - 1e-6)"
 
 
-@query("select vec_id, round(least(greatest(1 / (1 + exp(-(-1.5::double + (embedding[1]::double - 0.01::double) * (0.8::double / 0.1::double) + (embedding[2]::double + 0.02::double) * (-0.4::double / 0.2::double) + embedding[3]::double * (0.3::double / 0.15::double) + (embedding[4]::double - 0.03::double) * (1.1::double / 0.12::double)))), 1e-6), 1 - 1e-6), 9) as risk from embeddings")
+@query(f"select vec_id, round({_risk_sql(FIXED, lambda i, f: f'embedding[{i + 1}]::double')}, 9) as risk from embeddings")
 def ridge_predict(spark, d):
-    e = _embedding_frame(spark, d, 4)
+    e = _embedding_frame(spark, d)
     return e.select("vec_id", F.round(FIXED.predict(e), 9).alias("risk"))
 
 
@@ -602,3 +717,27 @@ def score_evidence(spark, d):
     rows = evidence.impute(s, fill).withColumn("y", (F.col("is_visual_verifiable") == "HARD").cast("int"))
     c = calibrate.fit(rows.where("is_score_train"), names, "y")
     return rows.select("unit_id", F.round(c.predict(rows), 6).alias("risk"), "is_score_train")
+
+
+#: Features of the evidence path and a calibrator with fixed numbers for them.
+_SCORED = ["risk_bcm_multiview_support_mean", "risk_claim_bcm_direct_verify_support", "ix_support_disagreement", "v2_contradiction_pressure_mean", "v2_direct_counterfactual_conflict", "quality_x_contradiction", "type_counting"]
+FIXED_EVIDENCE = calibrate.Calibrator(_SCORED, [0.5, 0.5, 0.2, 0.5, 0.5, 0.2, 0.5], [0.3, 0.25, 0.2, 0.2, 0.3, 0.1, 0.5], -0.4, [0.7, 0.3, -0.2, 0.9, 0.4, -0.1, 0.2], status="converged")
+
+
+@query(f"{_LAYERS}, filled as (select unit_id, " + ", ".join(f"coalesce({n}, (select median({n}) from q)) as {n}" for n in _SCORED) + f" from q) select unit_id, round({_risk_sql(FIXED_EVIDENCE, lambda i, f: f)}, 9) as risk from filled")
+def evidence_risk(spark, d):
+    """The evidence path with given coefficients: layers, exact medians of all rows, linear score."""
+    e = fx.evidence_rows(spark, d)
+    layers = evidence.all_layers(e, "direct")
+    fitted = evidence_scorer.Assembler(_SCORED, evidence.fit_imputer(layers, _SCORED), "direct")
+    return rounded(evidence_scorer.EvidenceScorer(fitted, FIXED_EVIDENCE).score(e))
+
+
+@query()
+def ablation_arms(spark, d):
+    """Arms with and without the instrument's features, fitted on one image half and scored on the other."""
+    e = fx.evidence_rows(spark, d).withColumn("mech_discount", F.col("faithfulness_score"))
+    fitted, train, _, test = evidence_scorer.matrices(e, e)
+    y = e.groupBy("unit_id").agg(F.max((F.col("is_visual_verifiable") == "HARD").cast("int")).alias("y"))
+    rows = lambda x: x.join(y, "unit_id").withColumn("response_id", F.element_at(F.split("unit_id", "-"), 1))
+    return rounded(evidence_scorer.arm_report(evidence_scorer.arms(rows(train), rows(test), fitted.names)), 6)

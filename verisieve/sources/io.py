@@ -8,8 +8,11 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.durable import materialize
 from ..operators.evidence import TARGETS, left_join_first, lookup_last
+from ..operators.features import gold_label, vqa_label
 
 DEV_SCHEMA = "question string, answer string, image string, failed int, `group` string"
 SOURCE_SCHEMA = "question string, answer string, image string, gold string, answers array<string>"
@@ -42,27 +45,79 @@ def missing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
 def read_lines(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """(good rows, quarantined lines) of JSON lines.  A byte-order mark and blank lines are dropped; a line is quarantined if it is no
     JSON object or lacks a required field."""
-    text = spark.read.text(require_path(spark, path, "JSON lines")).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    text = text.where(F.trim("value") != "")
+    text = spark.read.text(require_path(spark, path, "JSON lines")).select(F.input_file_name().alias("file"), "value")
+    good, bad = _parsed(text, schema, required)
+    return good.select("r.*"), bad.select("file", "value")
+
+
+def _parsed(text: DataFrame, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Lines with the record in ``r``, and lines that hold none."""
+    text = text.withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where(F.trim("value") != "")
     d = text.withColumn("r", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("object", F.from_json("value", "map<string,string>"))
     ok = F.col("object").isNotNull()
     for c in required:
         ok = ok & F.col(f"r.`{c}`").isNotNull()
     ok = F.coalesce(ok, F.lit(False))
-    return d.where(ok).select("r.*"), d.where(~ok).select("file", "value")
+    return d.where(ok), d.where(~ok)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of text files.  A line's number is its partition's first number plus its place there, counted once."""
+    held = materialize(spark.read.text(path).select(F.input_file_name().alias("file"), "value").withColumn("m", F.monotonically_increasing_id()))
+    part = F.shiftright("m", 33)
+    # a partition may hold several files, and a file several partitions: count per (file, partition)
+    counts = held.groupBy("file", part.alias("part")).agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    d = held.withColumn("part", part).join(counts, ["file", "part"])
+    return d.select("file", (F.col("m") - F.col("first") + F.col("base") + 1).alias("line"), "value")
 
 
 def read_dev(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """The labelled set.  With ``strict`` a malformed line, or no row at all, is an error that names the first bad line."""
-    good, bad = read_lines(spark, path, DEV_SCHEMA, ["question", "answer", "image", "failed"])
+    """The labelled set; ``response_id`` is made of file and line, so it does not depend on partitions.
+
+    With ``strict`` a malformed line, or no row at all, is an error that names the first bad line.
+    """
+    lines = numbered_lines(spark, require_path(spark, path, "JSON lines"))
+    good, bad = _parsed(lines, DEV_SCHEMA, ["question", "answer", "image", "failed"])
     if strict:
-        row = bad.first()
+        row = bad.orderBy("file", "line").first()
         if row is not None:
-            lines = [i for i, x in enumerate(spark.read.text(path).toLocalIterator(), 1) if x[0].lstrip("﻿") == row["value"]]
-            raise InputError(f"{path}, line {lines[0] if lines else '?'}: not a usable record: {row['value'][:80]}")
+            raise InputError(f"{path}, line {row['line']}: not a usable record: {row['value'][:80]}")
         if good.isEmpty():
             raise InputError(f"{path}: no records")
-    return good.withColumn("response_id", F.monotonically_increasing_id())
+    return good.select("r.*", F.concat_ws("#", F.regexp_extract("file", "[^/]*$", 0), "line").alias("response_id"))
+
+
+def read_labelled(spark: SparkSession, path: str, threshold: float = 0.5) -> DataFrame:
+    """question, answer, image, failed, score of a labelling source: ``gold`` is a string or a list, or ``answers`` lists annotators' answers.
+
+    A record with neither, or without question, answer and image, is refused.
+    """
+    lines = numbered_lines(spark, require_path(spark, path, "JSON lines"))
+    good, bad = _parsed(lines, "question string, answer string, image string, answers array<string>", ["question", "answer", "image"])
+    raw = F.get_json_object("value", "$.gold")
+    listed = F.from_json(raw, "array<string>")
+    gold = F.when(raw.isNotNull(), F.when(raw.startswith("[") & listed.isNotNull(), listed).otherwise(F.array(raw)))
+    d = good.withColumn("gold", gold)
+    lost = bad.select("file", "line", "value").unionByName(d.where("gold is null and r.answers is null").select("file", "line", "value")).orderBy("file", "line").first()
+    if lost is not None:
+        raise InputError(f"{path}, line {lost['line']}: not a usable record: {lost['value'][:80]}")
+    d = d.select("r.*", "gold")
+    by_vote, by_gold = vqa_label(F.col("answer"), F.col("answers"), threshold), gold_label(F.col("answer"), F.col("gold"), threshold)
+    pick = lambda i: F.when(F.col("gold").isNotNull(), by_gold[i]).otherwise(by_vote[i])
+    return d.select("question", "answer", "image", pick(0).alias("failed"), pick(1).alias("score"))
+
+
+def read_provider_dev(spark: SparkSession, path: str) -> DataFrame:
+    """The labelled set for a real provider: the first record must have every key; later ones may lack some (they are NULL)."""
+    lines = numbered_lines(spark, require_path(spark, path, "JSON lines")).where(F.trim("value") != "")
+    first = lines.orderBy("file", "line").first()
+    keys = spark.createDataFrame([(first["value"] if first else "{}",)], "v string").select(F.json_object_keys("v")).first()[0] or []
+    lacking = [k for k in ("question", "answer", "image", "failed") if k not in keys]
+    if lacking:
+        raise InputError(f"{path}: the first record lacks {', '.join(lacking)}")
+    return lines.select(F.from_json("value", DEV_SCHEMA).alias("r")).select("r.*")
 
 
 def write_lines(df: DataFrame, path: str) -> None:
@@ -160,6 +215,35 @@ def export_without_targets(df: DataFrame, path: str) -> list[str]:
     return dropped
 
 
+def describe_bundle(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, split, n_rows, n_columns of a bundle's tables: a row per table and split."""
+    out = None
+    for name, df in sorted(tables.items()):
+        by = F.col("split") if "split" in df.columns else F.lit(None).cast("string")
+        part = df.groupBy(by.alias("split")).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table"), "split", "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def bundle_of(claims: DataFrame, responses: DataFrame, baselines: DataFrame, features: list[str]) -> dict[str, DataFrame]:
+    """Tables of a bundle from scored evidence: claims with their features, responses with labels, baselines of known responses only."""
+    known = responses.select("split", "response_id").distinct()
+    return {
+        "claims": claims.select("split", "response_idx", *features, "label", "is_score_train"),
+        "responses": responses,
+        "baselines": baselines.join(known, ["split", "response_id"], "left_semi").select("split", "method", "response_id", "score"),
+    }
+
+
+def write_reports(tables: dict[str, DataFrame], folder: str) -> None:
+    """Small result tables, each as one CSV file, and a manifest of their columns, rows and digests."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        write_report(df, f"{folder}/{name}")
+    rows = [(name, ",".join(df.columns), *_digest(spark.read.option("header", True).csv(f"{folder}/{name}"))) for name, df in tables.items()]
+    spark.createDataFrame(rows, "name string, columns string, n long, digest string").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A small result table as one CSV file."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
