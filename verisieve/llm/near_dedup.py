@@ -321,10 +321,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     d = materialize(sketches(docs, percent=percent).withColumn("row", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k")
-    classes = d.where("digest is not null").groupBy("digest").agg(first, F.first("n_shingles").alias("size"))
-    classes = materialize(classes.select("digest", F.col("k.row").alias("node"), F.col("k.doc_id").alias("rep"), "size"))
-    rows = d.select("row", "bands").join(classes.select("node"), F.col("row") == F.col("node"))
-    rows = materialize(rows.select("node", F.explode("bands").alias("band")))
+    some = d.where("digest is not null")
+    classes = some.groupBy("digest").agg(first, F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(classes.select("digest", F.col("k.row").alias("node"), F.col("k.doc_id").alias("rep"), "size", "n"))
+    # the few rows that are copies leave, so that bands of the many others need not move
+    copies = some.select("digest", "row").join(classes.where("n > 1").select("digest", "node"), "digest").where("row <> node").select("row")
+    rows = some.select("row", "bands").join(copies, "row", "left_anti")
+    rows = materialize(rows.select(F.col("row").alias("node"), F.explode("bands").alias("band")))
     hubs = rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("far > hub").select("band", "hub")
     ties = materialize(rows.join(hubs, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
     discard(rows)
