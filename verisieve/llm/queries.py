@@ -81,9 +81,48 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op2_fingerprints`` that SQL can express."""
+    return op2_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op10_url_filter`` that SQL can express."""
+    return op10_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWERED = f"translate({{x}}, '{_UPPER}', '{_UPPER.lower()}')"
+SQL = {
+    "op9_near_dedup": rf"""
+        with recursive w as (select doc_id, list_filter(string_split_regex({_LOWERED.format(x="coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+        s as (select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) end as sh from w),
+        e as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+        p as (select a.doc_id as x, b.doc_id as y from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        l as (select x, y from p union all select y, x from p),
+        r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x),
+        m as (select x, min(y) as y from r group by x)
+        select doc_id, len(sh)::bigint as n_shingles, least(doc_id, coalesce(y, doc_id)) as component_id, doc_id <= coalesce(y, doc_id) as kept from s left join m on x = doc_id""",
+    "edited_texts": """
+        with d as (select doc_id, coalesce(text, '') as t from documents),
+        n as (select doc_id, t, coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) as nxt from d)
+        select doc_id, length(t) as n_chars, sha256(left(t, length(t) - length(t) // 4) || left(nxt, length(t) // 4)) as edited_sha256 from n""",
+    "url_parts": f"""
+        with u as (select page_id, case when instr(coalesce(url, ''), '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+        h as (select page_id, {_LOWERED.format(x="regexp_extract(rest, '^([^/?#]*)', 1)")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u)
+        select page_id, host, path, case
+            when (host = 'www.example.com' or host like '%.www.example.com') and starts_with(path, '/en/') then 'www.example.com/en/'
+            when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/en/') then 'example.com/en/'
+            when (host = 'net' or host like '%.net') and starts_with(path, '/es/') then 'net/es/'
+            when (host = 'net' or host like '%.net') and starts_with(path, '/fr/') then 'net/fr/'
+            when (host = 'com' or host like '%.com') and starts_with(path, '/') then 'com/' end as rule
+        from h""",
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_fingerprints, op3_token_counts, op4_mixing, op5_sharding, op6_quality, op7_licences, op8_packing, op9_near_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_neighbours, op2_fingerprints, op3_token_counts, op4_mixing, op5_sharding, op6_quality, op7_licences, op8_packing, op9_near_dedup, op10_url_filter, edited_texts, url_parts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
