@@ -1,6 +1,7 @@
 """The corpus pipeline: quality classifier, near-dedup, mixing to target weights, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.  Part of the ``llm``
+Every stage takes nulls in any column, empty and very long texts, repeated rows and an empty table; other columns than those of
+``documents`` pass through unread.  Each takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.  Part of the ``llm``
 subpackage in all but place.
 """
 
@@ -15,7 +16,7 @@ from verisieve.llm.queries import QUALITY_FROM, quality_chain, tokenizer_file
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the line classifier rejects."""
+    """Drops the documents that the line classifier rejects.  Rows are judged by their texts alone, null texts as empty ones."""
     chain = quality_chain(spark, docs, sf_dir)
     return docs.withColumn("__score", quality.score(chain, F.col("text"))).where(F.col("__score") >= QUALITY_FROM).select(*docs.columns)
 
@@ -35,12 +36,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes, as documents; a document taken twice comes twice."""
+    """The words that the mix takes, as documents; a document taken twice comes twice, one without words does not come."""
     return mixing.mixed_documents(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents and their places in sequences."""
+    """Pieces of the mixed documents and their places in sequences.  A null text is the end token alone; equal rows are separate."""
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
 
 

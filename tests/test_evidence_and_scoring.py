@@ -36,8 +36,8 @@ def test_cardinalities():
 
 def test_layers_stay_in_range(spark):
     d = evidence.all_layers(table(spark))
-    names = [c for c in (*evidence.CONTRADICTION, *evidence.QUALITY, *evidence.DIRECT) if c in d.columns]
-    assert len(names) >= 13 + 10 + 30
+    names = [c for c in (*evidence.CONTRADICTION, *evidence.QUALITY, *evidence.DIRECT) if c in d.columns and c not in table(spark).columns]
+    assert len(names) == 13 + 10 + 35
     r = d.agg(*(x for n in names for x in (F.min(n).alias("a" + n), F.max(n).alias("b" + n), F.count_if(F.col(n).isNull()).alias("n" + n)))).first()
     for n in names:
         assert 0 <= r["a" + n] <= r["b" + n] <= 1 and r["n" + n] == 0, n
@@ -231,3 +231,76 @@ def test_entry_imports_and_registers():
 
     q, sql = e.queries(), e.oracle_sql()
     assert set(sql) <= set(q) and "risk_selection" in q
+
+
+DIRECT_ORDER = [  # fixed values: the order binds coefficients
+    "risk", "low_support_mean", "low_support_min", "contradict_mean", "low_match_mean", "low_evidence_presence", "confidence_mean", "confidence_weighted_risk", "support_uncertainty",
+    "support_spread", "direct_support_risk", "visual_evidence_risk", "ocr_read_risk", "number_check_risk", "ocr_requested", "number_requested", "ocr_or_number_risk",
+]
+
+
+def test_features_keep_their_declared_order():
+    names = evidence.candidates()
+    at = names.index("direct_verifier_risk")
+    assert names[at : at + len(DIRECT_ORDER)] == [f"direct_verifier_{x}" for x in DIRECT_ORDER]
+    assert len(names) == len(set(names)) == 12 + 5 + 13 + 10 + 11 + 51 and names[-1] == "direct_verifier_prob_low_support_x_quality"
+
+
+def test_selection_refuses_a_test_table_that_lacks_a_feature(spark):
+    d = evidence.all_layers(table(spark)).withColumn("mech_a", F.rand(3))
+    names = evidence.select_features(d, d, "true")
+    assert names[-1] == "mech_a" and "ix_support_disagreement" in names
+    with pytest.raises(ValueError, match="lacks selected features: ix_support_disagreement"):
+        evidence.select_features(d, d.drop("ix_support_disagreement"), "true")
+    with pytest.raises(ValueError, match="one family"):
+        evidence.select_features(d.drop("mech_a"), d, "true")
+
+
+def test_evidence_scorer_scores_rows_alone_as_together(spark):
+    from verisieve.plans import evidence_scorer as es
+
+    raw = table(spark).withColumn("mech_a", F.rand(5))
+    labels = raw.select("unit_id", (F.xxhash64("unit_id") % 2 == 0).cast("int").alias("y"))
+    s = es.EvidenceScorer(es.Assembler.fit(raw)).fit(raw, labels)
+    every = {r.unit_id: r.risk for r in s.score(raw).collect()}
+    few = s.score(raw.limit(3)).collect()
+    assert len(every) == raw.count() and all(r.risk == pytest.approx(every[r.unit_id], abs=1e-12) for r in few)
+    with pytest.raises(ValueError, match="target columns"):
+        s.score(raw.withColumn("label", F.lit(1)))
+    with pytest.raises(ValueError, match="no rows"):
+        es.Assembler.fit(raw.where("false"))
+
+
+def test_splits_that_share_an_image_are_refused(spark):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "image string") for xs in (["p", "q"], ["r", None]))
+    evidence.require_apart(a, b, "image", "halves")
+    evidence.require_partition([a, b], a.union(b), "image")
+    with pytest.raises(ValueError, match="share image 'q'"):
+        evidence.require_apart(a, spark.createDataFrame([("q",)], "image string"), "image", "halves")
+    with pytest.raises(ValueError, match="make up the whole"):
+        evidence.require_partition([a], a.union(b), "image")
+    d = evidence.image_split(a.union(b).union(b), "image")
+    assert d.where("is_score_train is null").count() == 0 and d.where("image is null").select("is_score_train").distinct().count() == 1
+
+
+def test_labelled_sources_and_dev_sets(spark, tmp_path):
+    from verisieve.operators import reports
+    from verisieve.sources import io
+
+    p = tmp_path / "a.jsonl"
+    p.write_text('﻿{"question": "q", "answer": "Red", "image": "i", "gold": "red"}\n\n{"question": "q", "answer": "blue", "image": "j", "gold": ["red", "blue!"]}\n{"question": "q", "answer": "x", "image": "k", "answers": ["x", "y", "z"]}\n')
+    got = {r.image: (r.failed, round(r.score, 6)) for r in io.read_labelled(spark, str(p)).collect()}
+    assert got == {"i": (0, 1.0), "j": (0, 1.0), "k": (1, 0.333333)}
+    r = reports.labelled_summary(io.read_labelled(spark, str(p))).first()
+    assert (r.n_rows, r.n_failed, r.n_groups, r.warnings) == (3, 1, 3, "fewer than 300 rows: too few to fit on")
+    bad = tmp_path / "b.jsonl"
+    bad.write_text('{"question": "q", "answer": "a", "image": "i", "failed": 1}\nnot json\n')
+    with pytest.raises(io.InputError, match="line 2"):
+        io.read_dev(spark, str(bad))
+    with pytest.raises(io.InputError, match="line 1"):
+        io.read_labelled(spark, str(bad))
+    ok = io.read_dev(spark, str(bad), strict=False).collect()
+    assert [x.response_id for x in ok] == ["b.jsonl#1"]
+    with pytest.raises(io.InputError, match="lacks image, failed"):
+        (tmp_path / "c.jsonl").write_text('{"question": "q", "answer": "a"}\n')
+        io.read_provider_dev(spark, str(tmp_path / "c.jsonl"))
