@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, licences, mixing, near_dedup, neighbours, packing, quality, sharding, token_counts, url_filter
+from . import fingerprint, lexical, licences, mixing, near_dedup, neighbours, packing, quality, sharding, token_counts, token_files, url_filter, whitening
 
 URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
@@ -81,6 +81,29 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the token files of all documents, then reads them back."""
+    folder = token_files.new_folder(spark)
+    token_files.write_ids(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), folder)
+    return token_files.read_ids(spark, folder).select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(_table(spark, sf_dir, "documents"))
+    found = lexical.search(index, _table(spark, sf_dir, "benchmark"), k=10)
+    index.discard()
+    return found
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), k=4)
+
+
+def whitening_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op13_whitening`` that SQL can express."""
+    return op13_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of ``op2_fingerprints`` that SQL can express."""
     return op2_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -117,11 +140,33 @@ SQL = {
             when (host = 'net' or host like '%.net') and starts_with(path, '/fr/') then 'net/fr/'
             when (host = 'com' or host like '%.com') and starts_with(path, '/') then 'com/' end as rule
         from h""",
+    "op12_lexical_search": rf"""
+        with t as (select row_number() over () as d, doc_id, regexp_extract_all({_LOWERED.format(x="coalesce(text, '')")}, '{lexical.TERM}') as ts from documents),
+        s as (select count(*)::bigint as docs, sum(len(ts))::bigint as total from t where len(ts) > 0),
+        p as (select d, doc_id, n, term, count(*)::bigint as tf from (select d, doc_id, len(ts)::bigint as n, unnest(ts) as term from t) group by all),
+        w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from p, s group by term, docs),
+        q as (select i, item_id, unnest(list_distinct(ts)) as term from (
+            select row_number() over () as i, item_id, regexp_extract_all({_LOWERED.format(x="coalesce(text, '')")}, '{lexical.TERM}') as ts from benchmark)),
+        c as (select i, item_id, d, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::bigint as score
+            from q join p using (term) join w using (term), s group by all),
+        r as (select item_id, row_number() over (partition by i order by score desc, doc_id, d)::int as rank, doc_id, score from c where score > 0)
+        select item_id, rank, doc_id, score from r where rank <= 10""",
+    "whitening_distances": """
+        with v as (select vec_id, list_transform(embedding, lambda c: floor(256 * c::double)) as f from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda c: c is null or isnan(c) or isinf(c))) = 0),
+        x as (select vec_id, list_transform(f, lambda c: c::bigint) as x from v),
+        u as (select distinct x from x),
+        n as (select len(x) as k, count(*)::bigint as n from u group by len(x)),
+        e as (select len(x) as k, unnest(range(1, len(x) + 1)) as j, unnest(x) as c from u),
+        s as (select k, list(total order by j) as sums from (select k, j, sum(c) as total from e group by k, j) group by k)
+        select vec_id, component::int as component, n,
+            list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i]::hugeint - sums[i]) * (n * x[i]::hugeint - sums[i])))::bigint as deviation
+        from x join n on len(x) = n.k join s on s.k = n.k, range(1, 5) as c(component) where component <= len(x)""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_neighbours, op2_fingerprints, op3_token_counts, op4_mixing, op5_sharding, op6_quality, op7_licences, op8_packing, op9_near_dedup, op10_url_filter, edited_texts, url_parts)}
+    return {f.__name__: f for f in (op1_neighbours, op2_fingerprints, op3_token_counts, op4_mixing, op5_sharding, op6_quality, op7_licences, op8_packing, op9_near_dedup, op10_url_filter, op11_token_files, op12_lexical_search, op13_whitening, edited_texts, url_parts, whitening_distances)}
 
 
 def oracle_sql() -> dict[str, str]:
