@@ -1,0 +1,134 @@
+"""Ranked search against a plain scorer: ties, repeats, nulls, long texts, several shards, pruning."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from verisieve.llm import lexical
+
+from .conftest import SCHEMA, words
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def plain(docs, items, k=10):
+    have = [(d[0], Counter(terms(d[1]))) for d in docs if terms(d[1])]
+    N, L = len(have), sum(sum(c.values()) for _, c in have)
+    df = Counter(t for _, c in have for t in c)
+    out = []
+    for item, text in items:
+        found = []
+        for key, c in have:
+            n = sum(c.values())
+            m = 100 - 90 + (90 * n * N) // L
+            s = 0
+            for t in set(terms(text)):
+                if t in c:
+                    w = math.floor(1000 * math.log((2 * N + 2) / (2 * df[t] + 1)))
+                    s += w * ((1000000000 * c[t]) // (1000 * c[t] + 8 * m))
+            if s > 0:
+                found.append((s, key))
+        found.sort(key=lambda f: (-f[0], f[1] is None, f[1]))
+        out += [(item, i + 1, key, s) for i, (s, key) in enumerate(found[:k])]
+    return sorted(out, key=repr)
+
+
+def searched(spark, docs, items, k=10):
+    index = lexical.build(docs)
+    got = lexical.search(index, spark.createDataFrame(items, "item_id long, text string"), k)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    return sorted(map(tuple, got.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def items(rows):
+    rng = random.Random(5)
+    some = [r[1] for r in rows if r[1] and 30 < len(r[1]) < 2000]
+    out = [(i, " ".join(rng.choice(some).split()[:40]) + " " + " ".join(words(rng, 5))) for i in range(25)]
+    return [*out, (100, None), (101, ""), (102, " .,;"), (103, "the very same text of seven words"), (104, "nowhereatall"), (105, "ÄÖ É two"), (106, "Twice TWICE twice")]
+
+
+@pytest.mark.parametrize("documents", [1 << 16, 7])
+def test_against_a_plain_scorer(spark, docs, rows, items, documents, monkeypatch):
+    monkeypatch.setattr(lexical, "DOCUMENTS", documents)
+    assert searched(spark, docs, items) == plain(rows, items)
+
+
+def test_ties_go_by_key_across_shards_and_nodes(spark, monkeypatch):
+    rows = [(i * 7 % 1009, "same words in each", None, None, 0) for i in range(1009)] + [(None, "same words in each", None, None, 0)] * 3 + [(5000, "other", None, None, 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    items = [(1, "same words"), (1, "same words"), (2, "each other")]
+    assert searched(spark, docs, items) == plain(rows, items)
+
+
+def test_fewer_documents_than_k_and_none(spark, empty):
+    docs = spark.createDataFrame([(4, "a b", None, None, 0), (2, "b c", None, None, 0)], SCHEMA)
+    assert searched(spark, docs, [(1, "b")]) == plain([(4, "a b"), (2, "b c")], [(1, "b")])
+    assert searched(spark, empty, [(1, "b")]) == []
+    index = lexical.build(docs)
+    assert lexical.search(index, spark.createDataFrame([], "item_id long, text string")).collect() == []
+
+
+def test_clashing_columns_of_both_tables(spark, rows, items):
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("x") for c in ("q", "term", "term_no", "shard", "keys", "w", "top")})
+    queries = spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit("x") for c in ("q", "key", "term", "t", "rank")})
+    got = lexical.search(lexical.build(docs), queries)
+    assert sorted(map(tuple, got.collect()), key=repr) == plain(rows, items)
+
+
+def test_a_range_is_opened_only_if_its_bound_reaches(monkeypatch):
+    """In one shard of 5,000 documents of which one holds all rare words, a small part of the nodes is opened."""
+    rng = random.Random(2)
+    shard, have = lexical.Shard(), []
+    for i in range(5000):
+        c = Counter([b"common", b"w%d" % rng.randrange(40), *([b"rare", b"words"] if i in (17, 4321) else [])])
+        have.append(c)
+        shard.add(i, c)
+    length = sum(sum(c.values()) for c in have)
+    import pyarrow as pa
+
+    rows = [r for b in shard.rows(0, 5000, length) for r in b.to_pylist()]
+    trees = [r for r in rows if r["term"]]
+    number = {r["term"]: i for i, r in enumerate(trees)}
+    table = pa.table({"term_no": pa.array(range(len(trees)), pa.int64()), **{c: pa.array([r[c] for r in trees], pa.list_(pa.int32())) for c in ("sizes", "nodes", "maxima")}})
+    forest, opened = lexical.Forest(table), []
+    inner = forest.children
+    monkeypatch.setattr(forest, "children", lambda level, node, w: opened.append((level, node)) or inner(level, node, w))
+    asked = np.array(sorted(number[t] for t in ("common", "rare", "words")))
+    found = forest.best(asked, np.array([3] * 3), np.arange(5000), np.zeros(5000, dtype=bool), 2, 0)
+    assert [f[0] for f in found] == [17, 4321]
+    assert len(opened) <= 6 and len(forest.levels[0][0]) > 70
+
+
+def test_levels_hold_the_maxima(rows):
+    shard = lexical.Shard()
+    used = [r for r in rows if terms(r[1])]
+    for r in used:
+        shard.add(r[0], lexical.terms_of(r[1]))
+    out = [r for b in shard.rows(3, len(used), 10_000) for r in b.to_pylist()]
+    tops = defaultdict(int)
+    for r in out[:-1]:
+        s, node, value = r["sizes"], r["nodes"], r["maxima"]
+        levels, at = [], 0
+        for n in s:
+            levels.append(dict(zip(node[at : at + n], value[at : at + n], strict=True)))
+            at += n
+        assert at == len(node) and r["df"] == s[0] and r["top"] == max(levels[0].values())
+        for low, high in zip(levels, levels[1:], strict=False):
+            want = defaultdict(int)
+            for k, v in low.items():
+                want[k >> lexical.BITS] = max(want[k >> lexical.BITS], v)
+            assert high == dict(want)
+        tops[r["term"]] += 1
+    assert out[-1]["keys"] == [r[0] for r in used] and max(tops.values()) == 1

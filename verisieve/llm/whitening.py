@@ -108,9 +108,9 @@ def jacobi(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             do = np.abs(gamma) > 1e-16 * np.sqrt(alpha * beta)
             if do.any():
                 turned |= bool((np.abs(gamma[do]) > 1e-15 * np.sqrt(alpha[do] * beta[do])).any())
-                safe = np.where(do, gamma, 1.0)
-                zeta = (beta - alpha) / (2 * safe)
-                t = np.where(do, np.where(zeta >= 0, 1.0, -1.0) / (np.abs(zeta) + np.hypot(1.0, zeta)), 0.0)
+                with np.errstate(over="ignore"):  # columns of very different lengths turn by next to nothing
+                    zeta = (beta - alpha) / (2 * np.where(do, gamma, 1.0))
+                    t = np.where(do, np.where(zeta >= 0, 1.0, -1.0) / (np.abs(zeta) + np.hypot(1.0, zeta)), 0.0)
                 c = 1 / np.hypot(1.0, t)
                 s = c * t
                 for w in (a, v):
