@@ -22,14 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     The lineage ends there, so a lost executor costs the tasks it ran and not the whole chain, and the reread table has true size
     statistics, by which Spark chooses (and bounds) broadcasts.
     """
     path = f"{shared_dir(df.sparkSession)}/verisieve/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._verisieve_path = path  # for discard()
     return back
