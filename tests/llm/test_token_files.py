@@ -17,14 +17,19 @@ from verisieve.llm.queries import tokenizer_file
 FILE = "byte_bpe_50k.json"
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.one_of(st.integers(0, 300), st.integers(65530, 65540), st.integers(2**24 - 2, 2**24 + 2), st.integers(0, 2**32 - 1)), max_size=70))
-def test_coding_round_trip(numbers):
-    a = np.array(numbers, dtype="<u4")
-    coded = tf.encode(a)
-    size = sum(1 + (x > 0xFF) + (x > 0xFFFF) + (x > 0xFFFFFF) for x in numbers)
-    assert len(coded) == -(-len(numbers) // 4) + size
-    assert tf.decode(coded, len(a)).tolist() == numbers
+NUMBER = st.one_of(st.integers(0, 300), st.integers(65530, 65540), st.integers(2**24 - 2, 2**24 + 2), st.integers(0, 2**32 - 1))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(NUMBER, max_size=20), max_size=9), st.integers(0, 5))
+def test_coding_round_trip(documents, junk):
+    counts = np.array([len(d) for d in documents], dtype=np.int64)
+    coded = tf.encode(np.array([x for d in documents for x in d], dtype="<u4"), counts)
+    for d, c in zip(documents, coded, strict=True):
+        assert len(c) == -(-len(d) // 4) + sum(1 + (x > 0xFF) + (x > 0xFFFF) + (x > 0xFFFFFF) for x in d)
+    raw = b"\xff" * junk + b"".join(coded)
+    begins = junk + np.cumsum([0, *(len(c) for c in coded)], dtype=np.int64)[:-1]
+    assert tf.decode(raw, begins, counts).tolist() == [x for d in documents for x in d]
 
 
 def plain(rows):

@@ -39,7 +39,9 @@ from .packing import WordTokenizer
 
 MAGIC = b"VSTOKEN1"
 #: Bytes of documents that a task reads at a time, and that a read partition holds (a longer document is read whole).
-SLICE, SPLIT = 4 << 20, 64 << 20
+SLICE, SPLIT = 1 << 20, 64 << 20
+#: Documents that are coded together.
+ROWS = 256
 
 # tables by control byte: the lengths of its four numbers, where each starts, and all of them together
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -48,27 +50,38 @@ TOTAL = LENGTHS.sum(axis=1)
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], dtype=np.uint32)
 
 
-def encode(ranks: np.ndarray) -> bytes:
-    """Control bytes, then data bytes."""
+def encode(ranks: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Each document's control bytes and data bytes; ``ranks`` holds the documents' numbers one behind the other, ``counts`` how many each has."""
     ranks = np.ascontiguousarray(ranks, dtype="<u4")
     codes = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    quads = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    quads[: len(ranks)] = codes
-    control = (quads.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= codes[:, None]]
-    return control.tobytes() + data.tobytes()
-
-
-def decode(coded: bytes | np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` numbers of ``encode``, as unsigned 32-bit."""
+    quads = -(-counts // 4)
+    ends = np.cumsum(quads)
+    padded = np.zeros(4 * int(quads.sum()), dtype=np.uint8)
+    padded[np.arange(len(ranks)) + np.repeat(4 * (ends - quads) - (np.cumsum(counts) - counts), counts)] = codes
+    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8).tobytes()
+    data = ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) <= codes[:, None]].tobytes()
+    sizes = np.concatenate([[0], np.cumsum(codes, dtype=np.int64) + np.arange(1, len(codes) + 1)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    begins = [0, *ends.tolist()]
+    return [control[begins[i] : begins[i + 1]] + data[sizes[i] : sizes[i + 1]] for i in range(len(counts))]
+
+
+def decode(coded: bytes, begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of the documents that begin at ``begins`` in ``coded``, one document behind the other, as unsigned 32-bit."""
     raw = np.frombuffer(coded, dtype=np.uint8)
-    m = -(-n // 4)
-    control = raw[:m]
+    quads = -(-counts // 4)
+    ends = np.cumsum(quads)
+    control = raw[np.arange(int(quads.sum())) + np.repeat(begins - (ends - quads), quads)]
     total = TOTAL[control]
-    at = ((np.cumsum(total) - total)[:, None] + STARTS[control]).reshape(-1)[:n] + m
-    padded = np.concatenate([raw, np.zeros(4, dtype=np.uint8)]).astype(np.uint32)
-    word = padded[at] | padded[at + 1] << np.uint32(8) | padded[at + 2] << np.uint32(16) | padded[at + 3] << np.uint32(24)
-    return word & MASKS[LENGTHS[control].reshape(-1)[:n]]
+    before = np.cumsum(total) - total
+    first = np.concatenate([before, [0]])[np.minimum(ends - quads, len(before))]  # of a document's first control byte
+    base = before + np.repeat(begins + quads - first, quads)
+    inside = np.arange(4 * len(control)) - np.repeat(4 * (ends - quads), 4 * quads) < np.repeat(counts, 4 * quads)
+    at = (base[:, None] + STARTS[control]).reshape(-1)[inside]
+    padded = np.concatenate([raw, np.zeros(4, dtype=np.uint8)])
+    word = padded[at].astype(np.uint32)
+    for i in (1, 2, 3):
+        word |= padded[at + i].astype(np.uint32) << np.uint32(8 * i)
+    return word & MASKS[LENGTHS[control].reshape(-1)[inside]]
 
 
 def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -98,7 +111,7 @@ class Part(WriterCommitMessage):
 
 
 class Writer(DataSourceArrowWriter):
-    """Rows (key long, n long, coded binary), already in order."""
+    """Rows (key long, wide boolean, ids binary), already in order; the folder's ``ranks.u32`` numbers the ids."""
 
     def __init__(self, path: str):
         self.path = path
@@ -113,21 +126,24 @@ class Writer(DataSourceArrowWriter):
             if b.num_rows == 0:
                 continue
             if out is None:
+                ranked = np.frombuffer(_read(f"{self.path}/ranks.u32"), dtype="<u4")
+                rank = np.zeros(int(ranked.max(initial=0)) + 1, dtype="<u4")
+                rank[ranked] = np.arange(len(ranked))
                 fs, p = _open(f"{self.path}/{name}")
                 fs.create_dir(p.rsplit("/", 1)[0], recursive=True)
                 out = fs.open_output_stream(p)
                 out.write(MAGIC)
-            key, n, coded = (b.column(b.schema.get_field_index(c)) for c in ("key", "n", "coded"))
+            key = b.column(b.schema.get_field_index("key"))
+            for i in range(0, b.num_rows, ROWS):
+                ids = list(_unpacked(b.slice(i, ROWS)))
+                n = np.array([len(a) for a in ids])
+                coded = encode(rank[np.concatenate(ids)], n)
+                out.write(b"".join(coded))
+                counts.append(n)
+                ends.append(at + np.cumsum([len(c) for c in coded]))
+                at = int(ends[-1][-1])
             keys.append(key.fill_null(0).to_numpy(zero_copy_only=False))
             nulls.append(key.is_null().to_numpy(zero_copy_only=False))
-            counts.append(n.to_numpy())
-            sizes = []
-            for c in coded:
-                c = c.as_buffer()
-                out.write(c)
-                sizes.append(c.size)
-            ends.append(at + np.cumsum(sizes))
-            at = int(ends[-1][-1])
         if out is None:
             return Part(task, None, 0, 0)
         counts_ = np.concatenate(counts)
@@ -206,9 +222,10 @@ class Reader(DataSourceReader):
                 stop = min(hi, max(lo + 1, int(np.searchsorted(ends, begins[lo] + SLICE, side="right"))))
                 f.seek(len(MAGIC) + int(begins[lo]))
                 raw = f.read(int(ends[stop - 1] - begins[lo]))
-                base = begins[lo]
-                ids = [ids_of[decode(raw[begins[i] - base : ends[i] - base], int(counts[i]))].tobytes() for i in range(lo, stop)]
                 at = slice(lo, stop)
+                flat = ids_of[decode(raw, begins[at] - begins[lo], counts[at])].tobytes()
+                cuts = [0, *(4 * np.cumsum(counts[at])).tolist()]
+                ids = [flat[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
                 columns = [pa.array(keys[at], pa.int64(), mask=nulls[at].astype(bool)), pa.array(starts[at], pa.int64()), pa.array(counts[at], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, schema=self.schema)
                 lo = stop
@@ -239,68 +256,57 @@ def tokens(ids):
     return pandas_udf(lambda s: s.map(lambda b: np.frombuffer(b, dtype="<u4").astype(np.int64)), "array<long>")(ids)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str) -> DataFrame:
-    """key, ids: two bytes an id while all ids fit them, else four; no shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokenizer(tokenizer)
-        kind = "<u2" if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        end = np.asarray([end_id], dtype="<u4").tobytes()
-        for b in batches:
-            ids = (np.frombuffer(coder.encode(t.as_py() or "") + end, dtype="<u4").astype(kind).tobytes() for t in b.column(1))
-            wide = pa.array([kind == "<u4"] * b.num_rows, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), wide, pa.array(ids, pa.binary())], ["key", "wide", "ids"])
-
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, wide boolean, ids binary")
-
-
 def _unpacked(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-    for wide, ids in zip(b.column("wide"), b.column("ids"), strict=True):
+    for wide, ids in zip(b.column(b.schema.get_field_index("wide")), b.column(b.schema.get_field_index("ids")), strict=True):
         yield np.frombuffer(ids.as_buffer(), dtype="<u4" if wide.as_py() else "<u2")
 
 
-def frequencies(ids: DataFrame) -> DataFrame:
-    """id, n: how often each id comes in the table, counted in each task first."""
+_IDS = "key long, wide boolean, ids binary, id long, n long"
+_ARROW = pa.schema([("key", pa.int64()), ("wide", pa.bool_()), ("ids", pa.binary()), ("id", pa.int64()), ("n", pa.int64())])
 
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, key: str, text: str) -> DataFrame:
+    """key, wide, ids of the documents (two bytes an id while all ids fit them, else four); and rows (id, n) with each task's counts of ids.
+
+    No shuffle.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = WordTokenizer(tokenizer)
+        kind = "<u2" if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        end = np.asarray([end_id], dtype="<u4").tobytes()
         n = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for a in _unpacked(b):
-                c = np.bincount(a, minlength=len(n))
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                coded = [coder.encode(t.as_py() or "") + end for t in part.column(1)]
+                flat = np.frombuffer(b"".join(coded), dtype="<u4")
+                c = np.bincount(flat, minlength=len(n))
                 c[: len(n)] += n
                 n = c
+                data, width = flat.astype(kind).tobytes(), 2 if kind == "<u2" else 4
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 * width for x in coded])]).tolist()
+                ids = pa.array([data[x:y] for x, y in zip(offsets, offsets[1:], strict=False)], pa.binary())
+                none = pa.nulls(part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([width == 4] * part.num_rows), ids, none, none], schema=_ARROW)
         used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], ["id", "n"])
-
-    return ids.select("wide", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def coded(ids: DataFrame, ranked: np.ndarray) -> DataFrame:
-    """key, n, coded."""
-    rank = np.zeros(int(ranked.max(initial=0)) + 1, dtype="<u4")
-    rank[ranked] = np.arange(len(ranked))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(len(a), encode(rank[a])) for a in _unpacked(b)]
-            columns = [b.column("key"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "n", "coded"])
+        none = [pa.nulls(len(used), t) for t in _ARROW.types[:3]]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], schema=_ARROW)
 
-    return ids.mapInArrow(run, "key long, n long, coded binary")
+    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, _IDS)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, key: str = "doc_id", text: str = "text") -> None:
     """Writes the documents' ids to ``folder``, a new one."""
     spark = docs.sparkSession
-    ids = materialize(tokenized(docs, tokenizer, end_id, key, text))
-    by_rank = frequencies(ids).orderBy(F.col("n").desc(), "id").collect()  # a row per id of the vocabulary at most
-    ranked = np.array([r.id for r in by_rank], dtype=np.int64)
-    _write(f"{folder}/ranks.u32", ranked.astype("<u4").tobytes())
-    order = ["key", F.xxhash64("coded"), "coded"]
-    out = coded(ids, ranked).repartitionByRange(partitions(spark) * 2, *order).sortWithinPartitions(*order)
+    held = materialize(tokenized(docs, tokenizer, end_id, key, text), compression="zstd")
+    by_rank = held.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "id").collect()  # the vocabulary at most
+    _write(f"{folder}/ranks.u32", np.array([r.id for r in by_rank], dtype="<u4").tobytes())
+    order = ["key", F.xxhash64("ids"), "ids"]
+    ids = held.where("id is null").select("key", "wide", "ids")
+    out = ids.repartitionByRange(partitions(spark) * 2, *order).sortWithinPartitions(*order)
     spark.dataSource.register(TokenFiles)
     out.write.format("token_files").mode("append").save(folder)
-    discard(ids)
+    discard(held)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
