@@ -550,3 +550,26 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
+
+
+@pytest.mark.parametrize("repeats", [1, 5, 6, 50])
+def test_neighbours_of_repeated_rows(spark, repeats):
+    """The asked id repeated, other ids repeated, and an asked id with several vectors hide no equal vector."""
+    rng = np.random.default_rng(repeats)
+    same = rng.normal(size=6).tolist()
+    rows = [(50, same)] * repeats + [(51, same), (52, same)] + [(60 + i, rng.normal(size=6).tolist()) for i in range(30)]
+    rows += [(100, rng.normal(size=6).tolist())] + [(101, rows[-1][1])] * repeats + [(102, [2 * x for x in rows[-1][1]])] * repeats
+    rows += [(150, [1.0, *(rng.normal(size=5) * 0.01).tolist()]) for _ in range(repeats)] + [(160 + i, [1.0, *(rng.normal(size=5) * 0.5).tolist()]) for i in range(7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = defaultdict(list)
+    for r in neighbours.search(df, "id % 50 = 0", least=1000).collect():
+        got[r.query_id].append((r.neighbour, round(r.score, 9)))
+    ids, x = np.array([r[0] for r in rows]), np.stack([r[1] for r in rows])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in (50, 100, 150):
+        want = []
+        for v in {tuple(r[1]) for r in rows if r[0] == q}:
+            s = np.round(unit @ (np.array(v) / np.linalg.norm(v)), 9)
+            s[ids == q] = -9
+            want += [(int(ids[j]), float(s[j])) for j in np.lexsort((ids, -s))[:5]]
+        assert sorted(got[q]) == sorted(want), q

@@ -8,8 +8,8 @@ blocks.  A query looks at the blocks around its own on every curve; what it find
 double precision, and the curves' lists are merged.
 
 Blocks have equal size whatever the keys, so equal or crowded vectors cannot make a large one.  Equal vectors are indexed once, with their
-smallest ids; the answer names each of them.  Queries, not vectors, are copied to neighbouring blocks, and each task returns ``k + 1``
-rows per query and block.
+smallest ids and how often each comes; the answer names each of them.  Queries, not vectors, are copied to neighbouring blocks, and each task returns ``k`` rows
+per query and block, and one more for each vector that an asked id has.
 
 The window is ``share`` of all rows, ``least`` rows if that is more: vectors without structure (cosines of near neighbours far below 1)
 need a share, and then work per query grows with the table.  Clustered vectors do with far less: set ``share`` to 0 and ``least`` to a
@@ -106,16 +106,21 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return d.where(F.col("id").isNotNull()).select("id", "v", F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"))
 
 
-def distinct_vectors(rows: DataFrame, query: str, k: int) -> DataFrame:
-    """kid (a number of its own), a, b (a 128-bit hash of the vector), ids (its k + 1 smallest), rep (the smallest), asks.
+def distinct_vectors(rows: DataFrame, query: str, k: int) -> tuple[DataFrame, int]:
+    """kid (a number of its own), a, b (a 128-bit hash of the vector), ids (its k + 1 smallest different ones, with how often each comes, ``k``
+    at most), rep (the smallest), asks; and the largest number of different vectors that share an asked id.
 
-    Lists are cut to ``k + 1`` within salts first, so a vector that a third of all rows have is no large group.
+    Repeats are counted first and lists cut within salts, so a vector or an id that a third of all rows have is no large group.
     """
+    few = materialize(rows.groupBy("a", "b", "id").agg(F.count(F.lit(1)).alias("n")).withColumn("q", F.expr(query)))
     part = Window.partitionBy("a", "b", F.pmod(F.xxhash64("id"), F.lit(64)))
-    few = rows.select("a", "b", "id", F.expr(query).alias("q"))
-    few = few.withColumns({"asks": F.max("q").over(part), "r": F.row_number().over(part.orderBy("id"))}).where(F.col("r") <= k + 1)
-    kinds = few.groupBy("a", "b").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"), F.coalesce(F.max("asks"), F.lit(False)).alias("asks"))
-    return kinds.withColumns({"kid": F.monotonically_increasing_id(), "rep": F.element_at("ids", 1)})
+    cut = few.withColumns({"asks": F.max("q").over(part), "r": F.row_number().over(part.orderBy("id"))}).where(F.col("r") <= k + 1)
+    named = F.slice(F.sort_array(F.collect_list(F.struct("id", F.least("n", F.lit(k)).cast("int").alias("n")))), 1, k + 1)
+    kinds = cut.groupBy("a", "b").agg(named.alias("ids"), F.coalesce(F.max("asks"), F.lit(False)).alias("asks"))
+    kinds = materialize(kinds.withColumns({"kid": F.monotonically_increasing_id(), "rep": F.element_at("ids", 1).id}))
+    most = few.where("q").groupBy("id").count().agg(F.max("count")).first()[0] or 1
+    discard(few)
+    return kinds, int(most)
 
 
 def positions(index: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,7 +145,8 @@ def search(
     """query_id, rank, neighbour, score: the k nearest found for each row whose id (``id`` in the predicate ``query``) is asked."""
     spark = vectors.sparkSession
     rows = usable(vectors, key, vector)
-    kinds = materialize(distinct_vectors(rows, query, k))
+    kinds, most = distinct_vectors(rows, query, k)
+    best_kinds = k + most  # vectors that only the asked id has are no candidates: so many more are kept
     reps = kinds.select(F.col("rep").alias("id"), "a", "b", "kid", "rep", "asks")
     one = materialize(rows.join(reps, ["id", "a", "b"]).select("kid", "rep", "asks", "v").dropDuplicates(["kid"]))
 
@@ -186,25 +192,26 @@ def search(
                 for start in range(0, len(part), 256):
                     q, qid = unit_rows(list(part["v"].iloc[start : start + 256])), part["kid"].iloc[start : start + 256].to_numpy()
                     rough = q @ base.T
-                    m = min(k + 1, len(kid))
+                    m = min(best_kinds, len(kid))
                     floor = -np.partition(-rough, m - 1, axis=1)[:, m - 1] - 1e-9  # all ties stay
                     for i in range(len(q)):
                         js = np.flatnonzero(rough[i] >= floor[i])
                         s = (base[js] * q[i]).sum(axis=1)
-                        first = np.lexsort((name[js], -s))[: k + 1]
+                        first = np.lexsort((name[js], -s))[:best_kinds]
                         out += [(int(qid[i]), int(kid[js[f]]), int(name[js[f]]), float(s[f])) for f in first]
             yield pd.DataFrame(out, columns=["query", "kid", "rep", "score"]).astype({"query": "int64", "kid": "int64", "rep": "int64", "score": "float64"})
 
     found = met.mapInPandas(ranked, "query long, kid long, rep long, score double")
     found = found.groupBy("query", "kid").agg(F.max("score").alias("score"), F.first("rep").alias("rep"))
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "rep")
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    named = found.join(kinds.select("kid", "ids"), "kid").groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("f"))  # k + 1 at most
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= best_kinds)
+    named = found.join(kinds.select("kid", "ids"), "kid").groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("f"))  # k and a few at most
     lists = kinds.where("asks").join(named, F.col("kid") == F.col("query")).select("a", "b", "f")
     lists = lists.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
     asked = rows.where(query).select(F.col("id").alias("query_id"), "a", "b").distinct().withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)).cast("int"))
     pairs = asked.join(lists, ["a", "b", "salt"]).select("query_id", "a", "b", F.explode("f").alias("f"))
-    pairs = pairs.select("query_id", "a", "b", "f.score", F.explode("f.ids").alias("neighbour")).where("neighbour <> query_id")
+    pairs = pairs.select("query_id", "a", "b", "f.score", F.explode("f.ids").alias("c")).where("c.id <> query_id")
+    pairs = pairs.select("query_id", "a", "b", "score", F.explode(F.array_repeat("c.id", F.col("c.n"))).alias("neighbour"))
     final = Window.partitionBy("query_id", "a", "b").orderBy(F.col("score").desc(), "neighbour")
     out = pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "neighbour", "score")
     out = materialize(out)
