@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -140,9 +141,14 @@ class Shard:
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     """The index of all rows.  Two readings of the texts: one for the counts over the table, one for the trees; no shuffle of either."""
-    n = F.regexp_count(F.col(text), F.lit(TERM))
-    total = docs.select(n.alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum(F.col("n").cast("long")), F.lit(0)).alias("l")).first()
-    documents, length = int(total["d"]), int(total["l"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = pc.count_substring_regex(pc.fill_null(b.column(0), ""), TERM)
+            yield pa.RecordBatch.from_arrays([pa.array([pc.sum(pc.greater(n, 0)).as_py() or 0], pa.int64()), pa.array([pc.sum(n).as_py() or 0], pa.int64())], ["d", "l"])
+
+    total = docs.select(F.col(text).alias("text")).mapInArrow(counted, "d long, l long").agg(F.sum("d").alias("d"), F.sum("l").alias("l")).first()
+    documents, length = int(total["d"] or 0), int(total["l"] or 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -237,7 +243,7 @@ def _searched(trees: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
             keys_ = trees_.filter(isdocs).column("keys")[0].values
             last = keys_.is_null().to_numpy(zero_copy_only=False)
             keys = keys_.fill_null(0).to_numpy(zero_copy_only=False)
-            forest = Forest(trees_.filter(pa.compute.invert(isdocs)))
+            forest = Forest(trees_.filter(pc.invert(isdocs)))
             for row in asked.select(["q", "floor", "terms", "weights"]).to_batches():
                 for qi, fl, ts, ws in zip(*row.columns, strict=True):
                     t, w = ts.values.to_numpy(), ws.values.to_numpy()
