@@ -26,7 +26,7 @@ def l2_of_c(c: float, n: int) -> float:
     return 1.0 / (2.0 * c * n)
 
 
-def _finite(name: str) -> Column:
+def finite(name: str) -> Column:
     x = F.col(f"`{name}`").try_cast("double")
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
@@ -49,11 +49,15 @@ class Calibrator:
             raise ValueError(f"features are missing: {', '.join(lacking[:5])}")
         if self.weights is None:
             return F.lit(self.fallback)
+        return clip(sigmoid(self.linear(df)), EPS, 1 - EPS)
+
+    def linear(self, df: DataFrame) -> Column:
+        """The log-odds before they are clipped."""
         z = F.lit(self.intercept)
-        for f, m, s, w in zip(self.features, self.mean, self.std, self.weights, strict=True):
+        for f, m, s, w in zip(self.features, self.mean, self.std, self.weights or [], strict=True):
             if w:
-                z = z + (F.coalesce(_finite(f), F.lit(0.0)) - m) * (w / s)
-        return clip(sigmoid(z), EPS, 1 - EPS)
+                z = z + (F.coalesce(finite(f), F.lit(0.0)) - m) * (w / s)
+        return z
 
     def ranked_weights(self) -> list[tuple[str, float]]:
         """Features by absolute weight, largest first, ties by name."""
@@ -69,15 +73,24 @@ class Calibrator:
         return cls(**{k: v for k, v in s.items() if k not in ("format", "format_version")})
 
 
+def statistics(df: DataFrame, features: list[str], label: str) -> tuple[float, int, list[float], list[float]]:
+    """Base rate, number of classes (2: more than one), means and deviations of the features: one aggregate."""
+    y = F.col(f"`{label}`").cast("double")
+    own = [F.avg(y).alias("y"), F.min(y.cast("int")).alias("a"), F.max(y.cast("int")).alias("b")]
+    r = df.agg(*own, *(x for i, f in enumerate(features) for x in (F.avg(finite(f)).alias(f"m{i}"), F.stddev_pop(finite(f)).alias(f"s{i}")))).first()
+    base = min(max(float(r["y"]), EPS), 1 - EPS) if r["y"] is not None else 0.5
+    known = lambda v: v is not None and math.isfinite(v)
+    mean = [float(r[f"m{i}"]) if known(r[f"m{i}"]) else 0.0 for i in range(len(features))]
+    std = [float(r[f"s{i}"]) if known(r[f"s{i}"]) and r[f"s{i}"] > 1e-8 else 1.0 for i in range(len(features))]
+    return base, 0 if r["a"] is None else 1 if r["a"] == r["b"] else 2, mean, std
+
+
 def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.05, max_iter: int = 200, tol: float = 1e-12) -> Calibrator:
-    """One class only gives a constant: the base rate."""
-    d = df.select(F.col(label).cast("double").alias("__y"), *(_finite(f).alias(f) for f in features))
-    stats = d.agg(F.avg("__y").alias("y"), F.countDistinct(F.col("__y").cast("int")).alias("k"), *(x for i, f in enumerate(features) for x in (F.avg(f"`{f}`").alias(f"m{i}"), F.stddev_pop(f"`{f}`").alias(f"s{i}")))).first()
-    base = min(max(float(stats["y"]), EPS), 1 - EPS) if stats["y"] is not None else 0.5
-    if (stats["k"] or 0) < 2:
+    """By Spark's own optimizer (``newton.fit`` takes Newton steps).  One class only gives a constant: the base rate."""
+    d = df.select(F.col(label).cast("double").alias("__y"), *(finite(f).alias(f) for f in features))
+    base, classes, mean, std = statistics(d, features, "__y")
+    if classes < 2:
         return Calibrator(features, fallback=base, l2=l2, status="single_class")
-    mean = [float(stats[f"m{i}"]) if stats[f"m{i}"] is not None and math.isfinite(stats[f"m{i}"]) else 0.0 for i in range(len(features))]
-    std = [float(stats[f"s{i}"]) if stats[f"s{i}"] is not None and math.isfinite(stats[f"s{i}"]) and stats[f"s{i}"] > 1e-8 else 1.0 for i in range(len(features))]
     z = d.select("__y", *(((F.coalesce(F.col(f"`{f}`"), F.lit(0.0)) - m) / s).alias(f"z{i}") for i, (f, m, s) in enumerate(zip(features, mean, std, strict=True))))
     rows = VectorAssembler(inputCols=[f"z{i}" for i in range(len(features))], outputCol="x").transform(z).select("__y", "x").persist()
     try:

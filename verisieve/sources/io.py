@@ -13,6 +13,10 @@ from pyspark.sql.window import Window
 from ..functions.durable import materialize
 from ..operators.evidence import TARGETS, left_join_first, lookup_last
 from ..operators.features import gold_label, vqa_label
+from . import bundles
+from .bundles import BundleError
+from .digests import sha256  # noqa: F401  (a reader's name for it)
+from .errors import InputError
 
 DEV_SCHEMA = "question string, answer string, image string, failed int, `group` string"
 SOURCE_SCHEMA = "question string, answer string, image string, gold string, answers array<string>"
@@ -20,10 +24,6 @@ REQUEST_SCHEMA = "question string, answer string, image string, threshold double
 EVIDENCE_TABLES = ("features", "claims", "direct", "mechanical")
 
 
-class InputError(ValueError):
-    """A file that cannot be used, with the line that shows why."""
-
-
 def require_path(spark: SparkSession, path: str, what: str) -> str:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
@@ -149,32 +149,18 @@ def read_evidence(spark: SparkSession, folder: str, split: str, suffix: str = ".
     return lookup_last(base, claims, "unit_id", "image", "row_pos") if "image" in claims.columns else base
 
 
-def sha256(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256 of each file under ``path``."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
-
-
-BUNDLE_COLUMNS = {"claims": ["split", "response_idx", "label", "is_score_train"], "responses": ["split", "response_id", "image", "y"], "baselines": ["split", "method", "response_id", "score"]}
-
-
 def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:
-    """One Parquet table per grain, and a manifest with the columns, row counts and a digest of each."""
+    """One Parquet table per grain, and a manifest with the columns, row counts and a digest of each; tables that break a rule are refused."""
     spark = next(iter(tables.values())).sparkSession
+    bundles.require_valid(tables)
     rows = []
     for name, df in tables.items():
-        _check_bundle(name, df)
         w = df.write.mode("overwrite")
         (w.partitionBy("split") if "split" in df.columns else w).parquet(f"{folder}/{name}")
         rows.append((name, ",".join(df.columns), *_digest(spark.read.parquet(f"{folder}/{name}"))))
     spark.createDataFrame(rows, "name string, columns string, n long, digest string").coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
 
 
-def _check_bundle(name: str, df: DataFrame) -> None:
-    lacking = [c for c in BUNDLE_COLUMNS.get(name, []) if c not in df.columns]
-    if lacking:
-        raise InputError(f"{name} lacks {', '.join(lacking)}")
-
-
 def _digest(df: DataFrame) -> tuple[int, str]:
     """Row count and an order-free digest."""
     r = df.select(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)").alias("h")).agg(F.count(F.lit(1)), F.coalesce(F.sum("h"), F.lit(0).cast("decimal(38,0)"))).first()
@@ -182,22 +168,16 @@ def _digest(df: DataFrame) -> tuple[int, str]:
 
 
 def read_bundle(spark: SparkSession, folder: str, verify: bool = True) -> dict[str, DataFrame]:
-    """The tables of a bundle.  With ``verify``, digests must match the manifest and numbers must be finite."""
+    """The tables of a bundle.  With ``verify``, digests must match the manifest and no rule of ``bundles`` may be broken."""
     require_path(spark, f"{folder}/manifest", "manifest")
     out = {}
     for m in spark.read.json(f"{folder}/manifest").collect():  # a row per table
         df = spark.read.parquet(f"{folder}/{m['name']}")
-        if verify:
-            _check_bundle(m["name"], df)
-            if _digest(df) != (m["n"], m["digest"]):
-                raise InputError(f"{m['name']} does not match its manifest")
-            nums = [c for c, t in df.dtypes if t in ("double", "float") and not (m["name"] == "baselines" and c == "score")]
-            if nums:
-                bad = df.agg(*(F.count_if(F.isnan(c) | (F.abs(c) == float("inf"))).alias(c) for c in nums)).first().asDict()
-                wrong = [c for c, n in bad.items() if n]
-                if wrong:
-                    raise InputError(f"{m['name']} has values that are not finite in {', '.join(wrong)}")
+        if verify and _digest(df) != (m["n"], m["digest"]):
+            raise BundleError(f"{m['name']} does not match its manifest")
         out[m["name"]] = df
+    if verify:
+        bundles.require_valid(out)
     return out
 
 
