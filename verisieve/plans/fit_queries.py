@@ -140,3 +140,17 @@ def best_of_boxes(spark, d):
     """Every span of the answers against all spans of its question: the most similar one, and how many had to be compared."""
     p = fx.pairs(spark, d).select("response_id", F.posexplode(decompose.split_v2(F.col("answer"))).alias("span", "t"), decompose.split_v2(F.col("question")).alias("boxes"))
     return rounded(similar_pairs.best_similarity(p, ["response_id", "span"], "t", "boxes"))
+
+
+# -- completions -------------------------------------------------------------
+
+
+@query(f"with p as ({fx.SQL_PAIRS}), s as (select response_id, string_split(coalesce(answer, ''), '. ') as ws from p) select response_id, unnest(range(1, len(ws) + 1))::int as position, unnest(ws) as claim_text from s")
+def json_claims(spark, d):
+    """Answers written as completions, by turns bare, in a fence, and with words before and behind: the claims that are read from them."""
+    items = F.transform(F.split(F.coalesce("answer", F.lit("")), r"\. "), lambda s: F.struct(s.alias("claim_text"), s.alias("source_span")))
+    kind = F.pmod(F.xxhash64("response_id"), F.lit(6))
+    body = F.when(kind % 2 == 0, F.to_json(F.struct(items.alias("claims")))).otherwise(F.to_json(items))
+    text = F.when(kind < 2, body).when(kind < 4, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Here they are: "), body, F.lit(" That is {all} [1].")))
+    p = fx.pairs(spark, d).select("response_id", F.posexplode(decompose.json_claims(text)).alias("at", "c"))
+    return p.select("response_id", (F.col("at") + 1).alias("position"), "c.claim_text")

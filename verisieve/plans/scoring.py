@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import discard, materialize
 from ..functions.scalars import bround6
 from ..operators import calibrate, decompose, features
 from ..operators.aggregate import claim_to_response_max
@@ -122,15 +123,19 @@ def fit(dev: DataFrame, provider: EvidenceProvider, config: Config | None = None
     """``dev``: response_id, question, answer, image, failed (1 = wrong).  A response's label goes to each of its claims."""
     config = config or Config()
     out = Scorer(config, provider_kind=provider.kind)
-    claims = claim_rows(dev.select("response_id", "question", "answer", "image"), provider, config).join(dev.select("response_id", "failed"), "response_id").persist()
+    rows = claim_rows(dev.select("response_id", "question", "answer", "image"), provider, config)
+    claims = materialize(rows.join(dev.select("response_id", "failed"), "response_id"))  # written: a lost executor repeats no evidence
     try:
+        n = dev.select("response_id").join(claims.select("response_id"), "response_id", "left_anti").count()
+        if n:
+            out.warnings.append(f"{n} responses have no claims: they take no part in the fit")
         out.calibrator = calibrate.fit(claims, features.LIVE, "failed", config.l2)
         if out.calibrator.weights is None:
             out.warnings.append("the labels have one class only: scores are its base rate")
         if config.k:
             risk = with_risk(claims, out if config.fuse_on == "calibrated" else Scorer(config))
             r = claim_to_response_max(dev.select("response_id", "failed"), risk.select(F.col("response_id").alias("rid"), "risk"), "response_id", "rid", "risk").withColumnRenamed("risk_score", "evidence_score")
-            r = r.join(resampling(dev, provider, config.k), "response_id").persist()
+            r = materialize(r.join(resampling(dev, provider, config.k), "response_id"))
             if calibrate.constant_columns(r, features.RESAMPLED):
                 out.warnings.append("resampling statistics are constant: no fusion head is fitted")
             else:
@@ -140,9 +145,9 @@ def fit(dev: DataFrame, provider: EvidenceProvider, config: Config | None = None
                     out.warnings.append("the fusion head would turn the evidence round: it is not used")
                 else:
                     out.fusion = head
-            r.unpersist()
+            discard(r)
     finally:
-        claims.unpersist()
+        discard(claims)
     if provider.kind == "mock":
         out.warnings.append("fitted on mock evidence")
     return out

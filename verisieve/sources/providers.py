@@ -1,22 +1,27 @@
 """Evidence providers: where views, direct checks, text boxes and resampled answers come from.
 
 A provider maps DataFrames to DataFrames.  ``MockProvider`` is deterministic and built of Column expressions.  ``ModelProvider`` runs a
-vision-language model through ``mapInPandas``: the model loads once per task, prompts of a claim are asked together.
+vision-language model through ``mapInPandas``: the model loads once per task, prompts of an image are asked together, and every reply is
+written once (``replies.Memo``), so no plan that is evaluated again and no lost executor asks a second time.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.resource import ResourceProfile
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.durable import shared_dir
 from ..functions.scalars import clip, hash01
 from ..functions.similarity import containment_similarity
 from ..functions.text import ALIGN_STOPWORDS, find_all, parse_support
 from ..operators.decompose import check_prompt
 from ..operators.features import BOX_TYPE, VIEWS
+from .replies import REPLY, Memo, Model, asked
 
 DIRECT_TYPE = "struct<support:double,contradiction:double,evidence_present:double,uncertainty:double,ocr_read_support:double,number_check_support:double,visual_evidence_support:double,evidence_phrase:string>"
 
@@ -87,45 +92,64 @@ class MockProvider(EvidenceProvider):
         return responses.withColumn("samples", F.array_repeat(F.coalesce(F.col("question"), F.lit("")), k))
 
 
-#: model(image, prompts, sample) -> [(text, mean token probability), ...]
-Model = Callable[[str, list[str], bool], list[tuple[str, float]]]
-
-
 class ModelProvider(EvidenceProvider):
-    """``load_model`` and ``load_reader`` are called once per task and return a ``Model`` and an image reader (image -> [(text, score)])."""
+    """``load_model`` and ``load_reader`` are called once per task and return a ``Model`` and an image reader (image -> [(text, score)]).
+
+    ``load_model`` may take a seed; it gets ``seed`` plus the number of its task.  Replies are kept below ``store`` (default: a folder in the shared
+    one, for this provider's life); with a ``store`` of one's own a run that died goes on where it was, after the last of ``rounds`` commits.
+    ``profile`` is the resource profile of the stages that ask.
+    """
 
     kind = "model"
 
-    def __init__(self, load_model: Callable[[], Model], load_reader: Callable[[], Callable[[str], list[tuple[str, float]]]] | None = None):
-        self.load_model, self.load_reader = load_model, load_reader
+    def __init__(
+        self, load_model: Callable[..., Model], load_reader: Callable[[], Callable[[str], list[tuple[str, float]]]] | None = None,
+        store: str | None = None, seed: int = 0, rounds: int = 1, profile: ResourceProfile | None = None,
+    ):
+        self.load_model, self.load_reader, self.store = load_model, load_reader, store
+        self.seed, self.rounds, self.profile = seed, rounds, profile
+
+    def memo(self, spark: SparkSession, name: str, schema: str) -> Memo:
+        if self.store is None:
+            self.store = f"{shared_dir(spark)}/verisieve/{uuid.uuid4().hex}.replies"
+        return Memo(f"{self.store}/{name}", schema, self.rounds)
 
     def boxes(self, responses: DataFrame) -> DataFrame:
+        """Each distinct image is read once."""
         if self.load_reader is None:
             return responses.withColumn("boxes", F.array().cast(BOX_TYPE))
         load = self.load_reader
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            read = load()
+            read = None
             for b in batches:
-                found = [[{"text": str(t), "score": float(s)} for t, s in read(i) if t is not None] for i in b["image"]]
-                yield pd.DataFrame({"image": b["image"], "boxes": found})
+                read = read or load()
+                found = [[{"text": str(t), "score": float(s)} for t, s in read(i) if t is not None] for i in b["key"]]
+                yield pd.DataFrame({"key": b["key"], "boxes": found})
 
-        seen = responses.select("image").where("image is not null").distinct().mapInPandas(run, f"image string, boxes {BOX_TYPE}")
-        return responses.join(seen, "image", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast(BOX_TYPE)))
+        schema = f"key string, boxes {BOX_TYPE}"
+        images = responses.select(F.col("image").alias("key")).where("key is not null")
+        seen = self.memo(responses.sparkSession, "images", schema).get(images, lambda d: d.mapInPandas(run, schema, profile=self.profile))
+        return responses.join(seen.withColumnRenamed("key", "image"), "image", "left").withColumn("boxes", F.coalesce("boxes", F.array().cast(BOX_TYPE)))
 
     def ask(self, df: DataFrame, prompts: Column, sample: bool = False) -> DataFrame:
-        """Adds ``replies``: array of (text, confidence) for an array of prompts."""
-        load = self.load_model
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = load()
-            for b in batches:
-                got = [model(i, list(p), sample) for i, p in zip(b["image"], b["__prompts"], strict=True)]
-                yield b.drop(columns="__prompts").assign(replies=[[{"text": str(t), "confidence": float(c)} for t, c in g] for g in got])
+        """Adds ``replies``: array of (text, confidence) for an array of prompts.
 
+        A prompt about an image is asked once, whatever rows have it; a sampled one once for each row's ids and place.
+        """
+        ids = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("response_id", "claim_pos") if c in df.columns] if sample else []
+        image = F.coalesce(F.col("image").cast("string"), F.lit("\0"))
         d = df.withColumn("__prompts", prompts)
-        schema = ", ".join(f"`{c}` {k}" for c, k in df.dtypes) + ", replies array<struct<text:string,confidence:double>>"
-        return d.mapInPandas(run, schema)
+        key = lambda p, n: F.sha2(F.concat_ws("\x1f", image, p, *([*ids, n.cast("string")] if sample else [])), 256)
+        d = d.withColumn("__keys", F.transform("__prompts", key))
+        one = F.explode(F.arrays_zip("__keys", "__prompts")).alias("x")
+        wanted = d.select("image", one).select(F.col("x.__keys").alias("key"), "image", F.col("x.__prompts").alias("prompt"), F.lit(sample).alias("sample"))
+        got = self.memo(df.sparkSession, "samples" if sample else "replies", REPLY).get(wanted, asked(self.load_model, self.seed, self.profile))
+        row = F.sha2(F.concat_ws("", "__keys"), 256)
+        long = d.select(row.alias("__row"), "__keys").dropDuplicates(["__row"]).select("__row", F.posexplode("__keys").alias("n", "key"))
+        told = long.join(got, "key").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("n", "text", "confidence"))).alias("r"))
+        told = told.select("__row", F.transform("r", lambda x: F.struct(x.text.alias("text"), x.confidence.alias("confidence"))).alias("replies"))
+        return d.withColumn("__row", row).join(told, "__row", "left").drop("__row", "__keys", "__prompts")
 
     def evidence(self, claims: DataFrame) -> DataFrame:
         q, c = F.col("question"), F.col("claim_text")
@@ -133,14 +157,13 @@ class ModelProvider(EvidenceProvider):
         prompts = F.array(
             about("Answer from the image in a short phrase. "),
             about("Say in a short phrase what the image shows that answers this. "),
-            F.concat(about("Without relying on any earlier answer, reply in a short phrase. "), F.lit("")),
+            about("Without relying on any earlier answer, reply in a short phrase. "),
             F.concat(F.lit("Does the image support this? Reply yes or no. "), c),
             check_prompt(c, F.col("claim_type")),
             F.lit("Write down all text that is visible in the image."),
             F.concat(F.lit("Are the numbers in this right for the image? Reply yes or no. "), c),
         )
-        keep = claims.columns
-        d = self.ask(claims.drop("boxes"), prompts).select("*") if "boxes" not in keep else self.ask(claims, prompts)
+        d = self.ask(claims, prompts)
         r = lambda i: F.element_at("replies", i)
         seen = lambda i, name: F.struct(F.lit(name).alias("view"), containment_similarity(r(i).text, c).alias("support"), r(i).confidence.alias("confidence"), r(i).text.alias("evidence"), (1.0 - containment_similarity(r(i).text, c)).alias("uncertainty"))
         m, s, number = parse_support(r(4).text), parse_support(r(5).text), parse_support(r(7).text)

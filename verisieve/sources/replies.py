@@ -5,7 +5,7 @@ them back.  Spark commits an append as a whole, so a run that dies leaves nothin
 computed and committed part by part, and a later run goes on behind the last part.  Whoever reads the result reads the table: a plan that is
 evaluated twice, or a lost executor, asks nothing again.
 
-Within a round the keys are dealt to tasks by a hash and sorted, so a task that is run again meets the same rows in the same order, with
+Within a round the keys are dealt to tasks by image and hash and sorted, so prompts of an image come together and a task that is run again meets the same rows in the same order, with
 the same number of its own: a model that is seeded by ``task_seed`` answers as before.
 """
 
@@ -19,11 +19,11 @@ from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.durable import shared_dir
-
 #: model(image, prompts, sample) -> [(text, mean token probability), ...]
 Model = Callable[[str, list[str], bool], list[tuple[str, float]]]
 
+#: Parts into which the prompts of an image that very many rows have are dealt.
+SALTS = 16
 REPLY = "key string, text string, confidence double"
 
 
@@ -48,7 +48,8 @@ class Memo:
         for i in range(self.rounds):
             part = wanted.where(F.pmod(F.xxhash64("key"), F.lit(self.rounds)) == i) if self.rounds > 1 else wanted
             missing = part.dropDuplicates(["key"]).join(self.known(spark).select("key"), "key", "left_anti")
-            dealt = missing.repartition(tasks, F.xxhash64(F.lit(i), "key")).sortWithinPartitions("key")
+            by = ["image"] if "image" in missing.columns else []
+            dealt = missing.repartition(tasks, *by, F.pmod(F.xxhash64("key"), F.lit(SALTS))).sortWithinPartitions(*by, "key")
             compute(dealt).write.mode("append").parquet(self.folder)
         return self.known(spark).join(wanted.select("key").distinct(), "key", "left_semi")
 
@@ -86,8 +87,3 @@ def asked(load_model: Callable[..., Model], seed: int = 0, profile: ResourceProf
             yield pd.DataFrame({"key": b["key"], "text": text, "confidence": sure})
 
     return lambda rows: rows.select("key", "image", "prompt", "sample").mapInPandas(run, REPLY, profile=profile)
-
-
-def reply_memo(spark: SparkSession, folder: str | None, name: str, rounds: int = 1) -> Memo:
-    """The memo of replies below ``folder`` (default: a folder of its own in the shared one)."""
-    return Memo(f"{folder or shared_dir(spark)}/verisieve/{name}", REPLY, rounds)
