@@ -68,6 +68,20 @@ def calibration_gain(df: DataFrame, y: str, before: str, after: str, n_bins: int
     return a.join(b).withColumn("gain", F.try_divide(F.col("ece_before") - F.col("ece_after"), F.col("ece_before")))  # one row each
 
 
+def gain_grid(df: DataFrame, y: str, before: str, control: str, after: str, bins: tuple[int, ...] = (5, 10, 15, 20), strategies: tuple[str, ...] = ("uniform", "quantile")) -> DataFrame:
+    """strategy, n_bins, ece_before, ece_control, ece_after, gain, gain_over_control for each cell of the grid.
+
+    ``control`` is the raw signal with a calibrator of its own: what is gained over it comes from the features, not from calibration.
+    A gain over an error of 0 is null.
+    """
+    cells = None
+    for name, p in (("before", before), ("control", control), ("after", after)):
+        part = ece_grid(df, y, p, bins, strategies).withColumnRenamed("ece", f"ece_{name}")
+        cells = part if cells is None else cells.join(part, ["strategy", "n_bins"])
+    gain = lambda base: F.try_divide(F.col(base) - F.col("ece_after"), F.col(base))
+    return cells.withColumns({"gain": gain("ece_before"), "gain_over_control": gain("ece_control")})
+
+
 #: Images in a block whose draws share one generator, and rows that a task of the bootstrap holds at most on average.
 BLOCK, TASK_ROWS = 1024, 1_000_000
 

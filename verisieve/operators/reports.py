@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _beside(a: DataFrame, b: DataFrame, keys: list[str], names: list[str], how: str) -> DataFrame:
@@ -82,3 +83,49 @@ def candidate_beside_baselines(candidate: DataFrame, baselines: DataFrame, key:
     good = baselines.groupBy(method).agg(F.bool_and(finite).alias("ok")).where("ok").select(method)
     b = baselines.join(good, method).select(method, key, F.col(score).alias("baseline"))
     return b.join(candidate.select(key, F.col(score).alias("candidate")), key).select(method, key, "candidate", "baseline")
+
+
+def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """n rows for a reader's eye, in a seeded hash order of keys that tell rows apart: the same whatever the partitions."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+
+
+def difference_examples(a: DataFrame, b: DataFrame, keys: list[str], names: list[str], n: int = 3, tolerance: float = 1e-12) -> DataFrame:
+    """name, n_compared, n_equal, rate, examples of each field: counters, and the n smallest keys whose values differ with both values as text.
+
+    Keys of one table only are left out.  Each task keeps n rows per field before the shuffle, so a field that differs everywhere is no
+    large group.
+    """
+    kinds = dict(a.dtypes)
+    at = F.struct(*(F.col(k).alias(k) for k in keys))
+    cell = lambda c: F.struct(F.lit(c).alias("name"), _same(F.col(f"__a.`{c}`"), F.col(f"__b.`{c}`"), kinds[c], tolerance).alias("equal"), F.col(f"__a.`{c}`").cast("string").alias("a"), F.col(f"__b.`{c}`").cast("string").alias("b"))
+    long = _beside(a, b, keys, names, "inner").select(at.alias("key"), F.explode(F.array(*(cell(c) for c in names))).alias("x")).select("key", "x.*")
+    counts = long.groupBy("name").agg(F.count(F.lit(1)).alias("n_compared"), F.count_if("equal").alias("n_equal"))
+    turn = F.row_number().over(Window.partitionBy("name").orderBy("key"))
+    few = long.where(~F.col("equal")).withColumn("turn", turn).where(F.col("turn") <= n)
+    few = few.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("key", "a", "b"))).alias("examples"))
+    out = counts.join(few, "name", "left").withColumn("rate", F.col("n_equal") / F.col("n_compared").cast("double"))
+    return out.select("name", "n_compared", "n_equal", "rate", "examples")
+
+
+def verify_decomposition(stored: DataFrame, mine: DataFrame, rules: str, model: str, fields: list[str], n: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(counts, fields): stored claims of the rules' path against recomputed ones.
+
+    ``stored``: sample_id, claim_id, decomposition_method and the fields; ``mine``: sample_id, claim_pos and the fields.  Responses whose claims all
+    come from the model are skipped and counted; mixed ones are counted, and their rules' claims compared.  Claims stand side by side in the
+    order of ``claim_id`` as text; responses with another number of claims are counted, with the n smallest as examples, and not compared.
+    """
+    own = F.col("decomposition_method") == rules
+    per = stored.groupBy("sample_id").agg(F.count_distinct("decomposition_method").alias("paths"), F.bool_and(F.col("decomposition_method") == model).alias("by_model"), F.count_if(own).alias("k"))
+    size = mine.groupBy("sample_id").agg(F.count(F.lit(1)).alias("have"))
+    per = per.join(size, "sample_id", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    compared, uneven = F.col("k") > 0, (F.col("k") > 0) & (F.col("k") != F.col("have"))
+    lost = per.where(uneven).orderBy("sample_id").limit(n).agg(F.array_sort(F.collect_list("sample_id")).alias("uneven_examples"))
+    counts = per.agg(
+        F.count(F.lit(1)).alias("n_responses"), F.count_if("by_model").alias("n_model_only"), F.count_if(F.col("paths") > 1).alias("n_mixed"),
+        F.count_if(compared).alias("n_compared"), F.count_if(uneven).alias("n_uneven"),
+    ).crossJoin(lost)  # fmt: skip  (one row each)
+    even = per.where(compared & ~uneven).select("sample_id")
+    order = F.row_number().over(Window.partitionBy("sample_id").orderBy("claim_id"))  # a response's claims: a handful
+    kept = stored.where(own).join(even, "sample_id").select("sample_id", order.alias("claim_pos"), *fields)
+    return counts, difference_examples(mine.select("sample_id", "claim_pos", *fields), kept, ["sample_id", "claim_pos"], fields, n)

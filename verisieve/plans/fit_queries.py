@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import decompose, newton, similar_pairs
+from ..functions.durable import shared_dir
+from ..operators import decompose, metrics, newton, reports, similar_pairs
 from ..sources import bundles
+from . import evidence_scorer
 from . import fixtures as fx
-from .catalog import FIXED, _embedding_frame, query, rounded
+from .catalog import _DIFFER, _LAYERS, _SCORED, _quantile, _risk_sql, _two_tables, _uniform, FIXED, FIXED_EVIDENCE, _embedding_frame, query, rounded
+from .evidence_model import EvidenceModel
 
 # -- the Newton fit ----------------------------------------------------------
 
@@ -154,3 +159,59 @@ def json_claims(spark, d):
     text = F.when(kind < 2, body).when(kind < 4, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(F.concat(F.lit("Here they are: "), body, F.lit(" That is {all} [1].")))
     p = fx.pairs(spark, d).select("response_id", F.posexplode(decompose.json_claims(text)).alias("at", "c"))
     return p.select("response_id", (F.col("at") + 1).alias("position"), "c.claim_text")
+
+
+# -- the saved evidence model, reports --------------------------------------
+
+
+@query(f"{_LAYERS}, filled as (select unit_id, image, " + ", ".join(f"coalesce({n}, (select median({n}) from q)) as {n}" for n in _SCORED) + f" from q) select unit_id, image, round({_risk_sql(FIXED_EVIDENCE, lambda i, f: f)}, 9) as risk from filled")
+def evidence_saved_risk(spark, d):
+    """Medians fitted on all rows, the model saved, loaded again, and all rows scored by what was loaded."""
+    from ..operators import evidence
+
+    e = fx.evidence_rows(spark, d)
+    fill = evidence.fit_imputer(evidence.all_layers(e, "direct"), _SCORED)
+    model = EvidenceModel(evidence_scorer.EvidenceScorer(evidence_scorer.Assembler(_SCORED, fill, "direct"), FIXED_EVIDENCE), dict(e.dtypes))
+    path = f"{shared_dir(spark)}/verisieve/{uuid.uuid4().hex}.model"
+    model.save(path)
+    return rounded(EvidenceModel.load(path).transform(e).select("unit_id", "image", "risk"))
+
+
+@query(_DIFFER + " " + " union all ".join(
+    f"select 'x{i}' as name, count(*) as n_compared, count(*) filter (coalesce(abs(a{i} - b{i}) <= 1e-12, false) or a{i} is not distinct from b{i}) as n_equal,"
+    f" (select string_agg(unit_id, '|' order by unit_id) from (select unit_id from t where not (coalesce(abs(a{i} - b{i}) <= 1e-12, false) or a{i} is not distinct from b{i}) order by unit_id limit 4)) as examples from t" for i in (1, 2, 3)
+))
+def reproduction_examples(spark, d):
+    """Counters of each field, and the first keys that differ."""
+    out = reports.difference_examples(*_two_tables(spark, d), ["unit_id"], ["x1", "x2", "x3"], n=4)
+    return out.select("name", "n_compared", "n_equal", F.array_join(F.transform("examples", lambda x: x.key.unit_id), "|").alias("examples"))
+
+
+@query()
+def decomposition_verified(spark, d):
+    """Claims of all answers by the first rules, held against a stored run that took another path for some answers and lost others' claims."""
+    mine = decompose.rule_claims(fx.pairs(spark, d), version=1).withColumnRenamed("response_id", "sample_id")
+    h = F.pmod(F.xxhash64("sample_id"), F.lit(10))
+    path = F.when(h == 0, "model").when((h == 1) & (F.col("claim_pos") == 1), "model").otherwise("rules")
+    stored = mine.where(~((h == 2) & (F.col("claim_pos") == 1))).withColumns({"decomposition_method": path, "claim_type": F.when(h == 3, "other").otherwise(F.col("claim_type"))})
+    fields = ["claim_text", "source_span", "claim_type", "is_atomic", "atomicity_score", "faithfulness_score"]
+    counts, found = reports.verify_decomposition(stored, mine, "rules", "model", fields)
+    return found.select("name", "n_compared", "n_equal", "rate", F.to_json("examples").alias("examples")).crossJoin(counts.drop("n_compared").withColumn("uneven_examples", F.array_join("uneven_examples", "|")))
+
+
+def _sql_gain_cell(strategy: str, n: int) -> str:
+    def one(c: str) -> str:
+        edges = _uniform(n) if strategy == "uniform" else _quantile(n).replace("quantile_cont(p,", f"quantile_cont({c},")
+        return f"(select sum(k * gap) / sum(k) from (select abs(avg(y) - avg({c})) as gap, count(*) as k from t group by len(list_filter({edges}, lambda e: e <= {c}))))"
+
+    return f"select '{strategy}' as strategy, {n} as n_bins, {one('p')} as a, {one('c')} as b, {one('q')} as z"
+
+
+@query(
+    f"with s as ({fx.SQL_PROB}), t as (select p, y, 0.1::double + 0.8::double * p as c, p / 2 + 0.16::double as q from s), g as (" + " union all ".join(_sql_gain_cell(s, n) for s in ("uniform", "quantile") for n in (5, 10, 15, 20))
+    + ") select strategy, n_bins, round(a, 9) as ece_before, round(b, 9) as ece_control, round(z, 9) as ece_after, round((a - z) / a, 9) as gain, round((b - z) / b, 9) as gain_over_control from g"
+)
+def calibration_gain_grid(spark, d):
+    """What calibration gains over the raw signal and over a control, for every binning."""
+    t = fx.probabilities(spark, d).withColumns({"c": F.lit(0.1) + 0.8 * F.col("p"), "q": F.col("p") / 2 + 0.16})
+    return rounded(metrics.gain_grid(t, "y", "p", "c", "q"))

@@ -136,12 +136,21 @@ def read_csv_without_targets(spark: SparkSession, path: str, schema: str | None
 
 
 def read_evidence(spark: SparkSession, folder: str, split: str, suffix: str = ".csv.gz") -> DataFrame:
-    """The four evidence tables of a split, joined on unit_id: first row of each key on the right, clashing names suffixed, image looked up (last row wins)."""
+    """The four evidence tables of a split, joined on unit_id: first row of each key on the right, clashing names suffixed, image looked up (last row wins).
+
+    First and last are by file name, then by record within the file.  A file whose records may hold line ends is never split, so a
+    record's number in its task rises in the file's order, and the result depends neither on partitions nor on the order of listing.
+    """
     paths = {t: f"{folder}/{split}_{t}{suffix}" for t in EVIDENCE_TABLES}
     gone = missing_paths(spark, list(paths.values()))
     if gone:
         raise InputError(f"evidence tables are absent: {', '.join(gone)}")
-    at = lambda t, **kw: read_csv_without_targets(spark, paths[t], **kw).withColumn("row_pos", F.monotonically_increasing_id())
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record"))
+
+    def at(t: str, **kw) -> DataFrame:
+        d = read_csv_without_targets(spark, paths[t], **kw)
+        return d.select("*", place.alias("row_pos"))
+
     claims = at("claims")
     base = left_join_first(at("features"), claims.drop("image") if "image" in claims.columns else claims, "unit_id", "row_pos", "_claims")
     base = left_join_first(base, at("direct"), "unit_id", "row_pos", "_direct")
