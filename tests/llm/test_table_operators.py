@@ -573,3 +573,16 @@ def test_neighbours_of_repeated_rows(spark, repeats):
             s[ids == q] = -9
             want += [(int(ids[j]), float(s[j])) for j in np.lexsort((ids, -s))[:5]]
         assert sorted(got[q]) == sorted(want), q
+
+
+def test_a_licence_that_the_file_does_not_know_matches_by_its_own_template(spark):
+    own = {
+        "EUPL-1.2": ["Licensed under the European Union Public Licence version 1.2."],
+        "House": ["Use within the warehouse only; carriage elsewhere needs a docket."],
+        "MIT": ["Released under the MIT License."],
+    }
+    rows = [(1, "a/x", own["EUPL-1.2"][0]), (2, "a/y", own["House"][0] + " Prose follows here."), (3, "a/z", own["MIT"][0]), (4, "b/x", "Nothing of that kind."), (5, "c/x", None)]
+    got = {r.doc_id: (r.own_licence, r.licence) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), templates=own).collect()}
+    assert got == {1: ("EUPL-1.2", "EUPL-1.2"), 2: ("House", "House"), 3: ("MIT", "MIT"), 4: (None, None), 5: (None, None)}
+    assert licences.marks_of(licences.TEMPLATES) == {f: set(ws) for f, ws in licences.MARKS.items()}  # all known families have marks of their own
+    assert {"european", "union"} <= licences.marks_of(own)["EUPL"] and "licensed" not in licences.marks_of(own)["EUPL"]

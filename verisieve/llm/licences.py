@@ -118,11 +118,30 @@ def family(name: str) -> str:
     return re.split(r"\d|-", name)[0]
 
 
+def _words(texts: list[str]) -> set[str]:
+    return {w for t in texts for w in re.findall(r"[^\W_]+(?:\.[0-9]+)*", t.lower())}
+
+
+def marks_of(templates: dict[str, list[str]]) -> dict[str, set[str]]:
+    """family -> words that tell it apart: those of ``MARKS``, else the words of its templates that no other family's have, known ones included.
+
+    A family without such a word is told by all its words.
+    """
+    own: dict[str, set[str]] = {}
+    for name, texts in [*TEMPLATES.items(), *templates.items()]:
+        own.setdefault(family(name), set()).update(_words(texts))
+    out = {}
+    for f in {family(n) for n in templates}:
+        others = set().union(*(ws for g, ws in own.items() if g != f))
+        out[f] = set(MARKS.get(f, ())) or own[f] - others or own[f]
+    return out
+
+
 def template_words(templates: dict[str, list[str]]) -> list[tuple[str, int, int, int, str, bool]]:
     """name, sentence, its length, position, word, whether it is a mark: of template sentences that have a mark."""
-    out = []
+    out, told = [], marks_of(templates)
     for name, texts in sorted(templates.items()):
-        marks = set(MARKS.get(family(name), []))
+        marks = told[family(name)]
         for i, x in enumerate(x for t in texts for x in re.split(BREAK, t)):
             ws = re.findall(r"[^\W_]+(?:\.[0-9]+)*", x.lower())
             if marks & set(ws):
@@ -157,7 +176,7 @@ def scan(
     known_words = template_words(templates or TEMPLATES)
     marks = sorted({w for *_, w, mark in known_words if mark})
     lines = F.split(F.coalesce(F.col(text), F.lit("")), BREAK)
-    head = F.filter(lines, lambda s: s.rlike(rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(marks)})(?![\p{{L}}\p{{N}}])"))
+    head = F.filter(lines, lambda s: s.rlike(rf"(?i)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(re.escape, marks))})(?![\p{{L}}\p{{N}}])"))
     words = lambda c: F.regexp_count(c, F.lit(r"\S+"))
     narrow = files.select(F.col(key).alias("id"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.array_distinct(F.transform(head, lambda s: F.trim(s))).alias("head"), (words(F.array_join(head, " ")) >= share * words(F.coalesce(F.col(text), F.lit("")))).alias("mostly"))
     narrow = materialize(narrow.withColumns({"row": F.monotonically_increasing_id(), "dir": F.regexp_replace("path", r"/?[^/]*$", ""), "mostly": F.col("mostly") & (F.size("head") > 0)}))
