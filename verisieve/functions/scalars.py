@@ -12,8 +12,7 @@ EPS = 1e-6
 
 def num(name: str) -> Column:
     """A numeric reading of a column; text that is no number, NaN and blanks become NULL."""
-    x = F.col(f"`{name}`").try_cast("double")
-    return F.when(F.isnan(x), None).otherwise(x)
+    return F.nanvl(F.col(f"`{name}`").try_cast("double"), F.lit(None).cast("double"))
 
 
 def clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -24,11 +23,17 @@ def filled(x: Column, default: float) -> Column:
     return clip(F.coalesce(x, F.lit(default)))
 
 
+def row_sum(xs: Iterable[Column]) -> Column:
+    """Sum of a row's values from left to right; none of them is null."""
+    first, *rest = xs
+    return sum(rest, first)
+
+
 def row_mean(xs: Iterable[Column]) -> Column:
     """Mean of the non-null values of a row; NULL if there are none."""
     xs = list(xs)
-    total = sum((F.coalesce(x, F.lit(0.0)) for x in xs[1:]), F.coalesce(xs[0], F.lit(0.0)))
-    n = sum((x.isNotNull().cast("int") for x in xs[1:]), xs[0].isNotNull().cast("int"))
+    total = row_sum(F.nvl2(x, x, F.lit(0.0)) for x in xs)
+    n = row_sum(x.isNotNull().cast("int") for x in xs)
     return F.when(n > 0, total / n)
 
 
