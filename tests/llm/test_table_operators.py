@@ -474,6 +474,7 @@ def test_url_scores_against_plain_python(spark):
         host = "".join(rng.sample(vocabulary, 2)) + rng.choice([".com", ".net", ".org"])
         rows.append((i, f"http://{host}/{rng.choice(['en', 'es', 'fr'])}/{rng.choice(vocabulary)}/{i}", "<p>" + " ".join(rng.choices(vocabulary, k=30)) + "</p>"))
     rows += [(900, "http://" + "cheap" * 40_000 + ".org/en/x", None), (901, "http://" + "q" * 70 + ".org/", "")]
+    rows += [(902, "http://" + "q" * 60 + "cheappills" + "q" * 115 + "dailynews.org/", None)]  # words across every 63rd character
     df = spark.createDataFrame(rows, PAGES).withColumns({c: F.lit("x") for c in ("host", "path", "rule", "label", "word", "n", "shape", "salt")})
     got = {r.page_id: r for r in url_filter.judge(df, URL_RULES).collect()}
     counts = Counter(w for _, _, h in rows for w in re.findall(r"[^\W\d_]+", re.sub("<[^>]*>", " ", h or "").lower()))
@@ -482,8 +483,7 @@ def test_url_scores_against_plain_python(spark):
 
     def tokens(url: str) -> Counter:
         host, _, path = url.split("://")[1].partition("/")
-        labels = [x[i : i + 63] for x in host.split(".") for i in range(0, len(x), 63)]
-        words_ = [f"h:{w}" for x in labels for w in url_filter.viterbi(x, logp, unknown)]
+        words_ = [f"h:{w}" for x in host.split(".") for w in url_filter.viterbi(x, logp, unknown)]
         return Counter(words_ + [f"p:{w}" for w in re.sub(r"\d+", "0", path.lower()).split("/") if w])
 
     seen = {"block": Counter(), "allow": Counter()}
@@ -494,6 +494,7 @@ def test_url_scores_against_plain_python(spark):
             pages[got[k].verdict] += 1
     size = len(set(seen["block"]) | set(seen["allow"])) + 1
     weight = lambda c, w: math.log((seen[c][w] + 1) / (sum(seen[c].values()) + size))
+    assert {"h:cheap", "h:pills", "h:daily", "h:news"} < set(tokens(rows[-1][1]))
     checked = 0
     for k, url, _ in rows:
         if got[k].rule is None:

@@ -7,13 +7,14 @@ trained on the URLs that rules decide, scores host words and path tokens.
 Everything is keyed by distinct hosts, distinct path shapes and tokens, so a host with a third of all pages is segmented and scored once.
 Scores join back to pages under a salt, which spreads a hot host over tasks.  Word counts come from all pages' text; the word table is joined on substrings and never broadcast.
 
-Host names are held to the limit of their standard: a label has 63 characters at most.  A longer run without a dot, which no resolvable host
-has, is cut every 63 characters before it is split into words; so a URL of megabytes makes rows of bounded size.  Words of up to that length
-count, single letters too.
+Host labels are split whole, whatever their length.  Words have at most 63 characters, the most that a label may have by its standard.  A longer run
+without a dot, which no resolvable host has, meets the word table in overlapping windows of twice that length, each word lying whole in one of
+them; the search then goes through the whole run, looking back 63 characters.  So the rows of the word join have a bounded size, and a row
+of the search is as long as its URL.
 
 Defined cases: a null URL or one without ``://`` has empty host and path; repeated rows are judged alike; an empty table gives an empty
 result; if the rules decide no page, or pages of one class only, the model has no second class and says ``allow`` (resp. that class).
-Other columns of the input are not read.
+Odds that are even say ``allow``; of equal splits the one with the longer last word is taken.  Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize
 
-#: Characters of a host label (a fixed value of the domain name standard); no word of one can be longer.
+#: Characters of a host label (a fixed value of the domain name standard): the most that a word has.
 LABEL = 63
 #: Copies of a host's or path shape's score, so that the pages of a hot one meet it in several tasks.
 SALTS = 16
@@ -80,19 +81,24 @@ def viterbi(label: str, logp: dict[str, float], unknown) -> list[str]:
 
 
 def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
-    """label -> words (array).  Labels have ``LABEL`` characters at most.  Their substrings meet the word table in an equi-join; Viterbi then
-    sees only its own label's."""
+    """label -> words (array).  Substrings of windows of the labels meet the word table in an equi-join; Viterbi then sees only its own label's
+    words.  Rows of windows carry a digest of their label, not the label."""
     total = float(counts.agg(F.sum("n")).first()[0] or 0) + 1.0
-    n = F.length("label")
+    keyed = labels.where(F.length("label") > 0).select("label", F.sha2("label", 256).alias("key"))
+    last = F.greatest(F.ceil((F.length("label") - LABEL) / LABEL).cast("int"), F.lit(1)) - 1
+    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("label"), i * LABEL + 1, F.lit(2 * LABEL)))
+    spans = keyed.select("key", F.explode(F.array_distinct(windows)).alias("part"))
+    n = F.length("part")
     subs = F.flatten(
         F.transform(
             F.sequence(F.lit(1), n),
-            lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("label"), i, k)),
+            lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(LABEL))), lambda k: F.substring(F.col("part"), i, k)),
         )
     )
-    named = labels.where(n > 0).select("label", F.explode(F.array_distinct(subs)).alias("word"))
-    found = named.join(counts.hint("merge"), "word").groupBy("label").agg(F.collect_list(F.struct("word", "n")).alias("words"))
-    rows = labels.where(n > 0).join(found.hint("merge"), "label", "left").select("label", "words.word", "words.n")
+    named = spans.select("part").distinct().select("part", F.explode(F.array_distinct(subs)).alias("word"))
+    found = named.join(counts.hint("merge"), "word").groupBy("part").agg(F.collect_list(F.struct("word", "n")).alias("words"))
+    own = spans.join(found.hint("merge"), "part").groupBy("key").agg(F.flatten(F.collect_list("words")).alias("words"))
+    rows = keyed.join(own.hint("merge"), "key", "left").select("label", "words.word", "words.n")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unknown = lambda k: math.log(10.0 / total) - k * math.log(10.0)
@@ -109,8 +115,6 @@ def segment(labels: DataFrame, counts: DataFrame) -> DataFrame:
 def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     """host, token, tf: words of every label of every distinct host."""
     parts = hosts.select("host", F.explode(F.split("host", r"[^\p{L}\p{N}]+")).alias("label")).where("label <> ''")
-    cuts = F.sequence(F.lit(0), F.floor((F.length("label") - 1) / LABEL).cast("int"))
-    parts = parts.select("host", F.explode(F.transform(cuts, lambda i: F.substring(F.col("label"), i * LABEL + 1, F.lit(LABEL)))).alias("label"))
     words = segment(parts.select("label").distinct(), counts)
     return parts.join(words, "label").select("host", F.explode("words").alias("w")).groupBy("host", F.concat(F.lit("h:"), "w").alias("token")).agg(F.count(F.lit(1)).alias("tf"))
 
