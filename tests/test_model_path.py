@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from verisieve.operators import decompose, similar_pairs
 from verisieve.plans import scoring
-from verisieve.sources.providers import ModelProvider
+from verisieve.sources.providers import EvidenceProvider, MockProvider, ModelProvider, kind_of
 from verisieve.sources.replies import Memo, asked
 
 A, B = {"claim_text": "a b", "claim_type": "other"}, {"claim_text": "c", "is_atomic": True}
@@ -187,3 +187,13 @@ def test_best_of_candidates_equals_all_comparisons(spark):
         want = (max(ratios), ratios.index(max(ratios))) if ratios else (0.0, None)
         assert (got[i].best, got[i].position) == want and got[i].n_candidates == len(ratios) and got[i].n_compared <= len(ratios), (i, t)
     assert sum(r.n_compared for r in got.values()) < 0.5 * sum(r.n_candidates for r in got.values())
+
+
+def test_kinds_of_providers():
+    made = lambda name, **more: type(name, (), more)()
+    assert kind_of(None) == "none"
+    assert (kind_of(MockProvider()), kind_of(ModelProvider(lambda: None))) == ("mock", "model")
+    assert kind_of(made("MyMockReader", kind="bench")) == "bench"  # what it says itself goes first
+    assert [kind_of(made(n)) for n in ("MyMockReader", "LLaVAServer", "RapidOCRBoxes", "Other")] == ["mock", "llava", "rapidocr", "custom"]
+    assert [kind_of(made("Other", kind=k)) for k in ("", None, 3)] == ["custom"] * 3
+    assert kind_of(EvidenceProvider()) == "custom"

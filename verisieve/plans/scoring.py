@@ -13,7 +13,7 @@ from ..functions.scalars import bround6
 from ..operators import calibrate, decompose, features
 from ..operators.aggregate import claim_to_response_max
 from ..operators.calibrate import Calibrator
-from ..sources.providers import EvidenceProvider
+from ..sources.providers import EvidenceProvider, kind_of
 
 FORMAT, FORMAT_VERSION = "verisieve.scorer", 1
 
@@ -122,7 +122,7 @@ def score(responses: DataFrame, provider: EvidenceProvider, scorer: Scorer, retu
 def fit(dev: DataFrame, provider: EvidenceProvider, config: Config | None = None) -> Scorer:
     """``dev``: response_id, question, answer, image, failed (1 = wrong).  A response's label goes to each of its claims."""
     config = config or Config()
-    out = Scorer(config, provider_kind=provider.kind)
+    out = Scorer(config, provider_kind=kind_of(provider))
     rows = claim_rows(dev.select("response_id", "question", "answer", "image"), provider, config)
     claims = materialize(rows.join(dev.select("response_id", "failed"), "response_id"))  # written: a lost executor repeats no evidence
     try:
@@ -148,6 +148,6 @@ def fit(dev: DataFrame, provider: EvidenceProvider, config: Config | None = None
             discard(r)
     finally:
         discard(claims)
-    if provider.kind == "mock":
+    if out.provider_kind == "mock":
         out.warnings.append("fitted on mock evidence")
     return out

@@ -26,10 +26,26 @@ from .replies import REPLY, Memo, Model, asked
 DIRECT_TYPE = "struct<support:double,contradiction:double,evidence_present:double,uncertainty:double,ocr_read_support:double,number_check_support:double,visual_evidence_support:double,evidence_phrase:string>"
 
 
+#: Kinds that the name of a provider's class tells (fixed values).
+NAMED_KINDS = ("mock", "llava", "rapidocr")
+
+
+def kind_of(provider: object | None) -> str:
+    """Where a scorer's evidence came from: ``none`` without a provider, else the ``kind`` that it declares, else a known kind in the name of its
+    class, else ``custom``.  Providers of one's own need not derive from ``EvidenceProvider``."""
+    if provider is None:
+        return "none"
+    declared = getattr(provider, "kind", None)
+    if declared and isinstance(declared, str):
+        return declared
+    return next((k for k in NAMED_KINDS if k in type(provider).__name__.lower()), "custom")
+
+
 class EvidenceProvider:
     """Adds evidence columns; claims have question, answer, image, claim_text, claim_type."""
 
-    kind = "unknown"
+    #: Says whether evidence is real or a stand-in; see ``kind_of``.
+    kind: str | None = None
 
     def boxes(self, responses: DataFrame) -> DataFrame:
         """Adds ``boxes`` by ``image``."""
