@@ -213,6 +213,16 @@ def test_near_dedup_of_nothing_and_of_null_ids(spark, empty):
     assert got == Counter([(None, 3, False), (4, 3, False), (3, 3, True), (None, None, True), (None, None, True), (None, 9, False), (9, 9, True), (None, None, True)])
 
 
+def test_near_dedup_reads_asked_texts_again_and_no_others(spark):
+    rows = [(None, "a b c")] * 6 + [(None, "d e f"), (7, "a b c"), (7, "g h i"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    asked = docs.where("doc_id is null and text = 'a b c' or text = 'g h i' or doc_id = 8").select(F.col("doc_id").alias("rep"), "mark")
+    again = near_dedup.asked_texts(docs, asked)
+    assert sorted(map(str, again.collect())) == sorted(map(str, docs.where("text = 'a b c' and doc_id is null or text = 'g h i' or doc_id = 8").select("doc_id", "text").collect()))
+    sets = near_dedup.full_sets(again.coalesce(1)).collect()
+    assert len(sets) == 3 and sorted(len(r.shingles) for r in sets) == [0, 8, 8] and {r.digest is None for r in sets if not r.shingles} == {True}
+
+
 def test_near_dedup_of_ids_with_several_texts(spark):
     rng = random.Random(32)
     a, b, c = (words(rng, 60) for _ in range(3))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import discard, materialize, partitions, salted_offsets
-from .components import components
+from .components import SALTS, components
 
 SHINGLE = 5
 ROWS, BANDS = 8, 64
@@ -133,6 +133,14 @@ def filled(raw: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_set(text: str | None, store: WordHashes) -> np.ndarray:
+    return shingles(text.encode().lower().split() if text else [], store)
+
+
+def digest_of(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
 def large_from(percent: int) -> int:
     """Size from which sets are in the table of larger sets: the smallest that links with a set which is too large for the other, 64 at most."""
     return min(64, -(-percent * (SMALL + 1) // 100))
@@ -151,11 +159,10 @@ def band_keys(s: np.ndarray, raw: np.ndarray, percent: int = 85) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, dtype=np.uint64)
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: bool = True, sets: bool = False, percent: int = 85) -> DataFrame:
-    """key, n_shingles, digest (null for an empty set), and as asked bands (array of long) and the set itself (binary); no shuffle."""
-
-    names = [key, "n_shingles", "digest", *["bands"] * bands, *["shingles"] * sets]
-    kinds = [pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * bands, *[pa.binary()] * sets]
+def sketches(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, mark (a hash of the text), n_shingles, digest (null for an empty set) and bands (array of long) of each row; no shuffle."""
+    names = ["doc_id", "mark", "n_shingles", "digest", "bands"]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = WordHashes()
@@ -163,19 +170,46 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: bo
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 out = []
-                for t in part.column(1).to_pylist():
-                    words = t.encode().lower().split() if t else []
-                    s = shingles(words, store)
-                    row = [len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None]
-                    if bands:
-                        row.append(band_keys(s, raw_registers(s), percent).view(np.int64))
-                    if sets:
-                        row.append(s.tobytes())
-                    out.append(row)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+                for t in part.column(2).to_pylist():
+                    s = text_set(t, store)
+                    out.append((len(s), digest_of(s), band_keys(s, raw_registers(s), percent).view(np.int64)))
+                made = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names)
 
-    schema = f"`{key}` {dict(docs.dtypes)[key]}, n_shingles long, digest binary" + ", bands array<long>" * bands + ", shingles binary" * sets
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, bands array<long>")
+
+
+def full_sets(docs: DataFrame) -> DataFrame:
+    """digest and shingles (binary) of each row's ``text``; a task reads a text that it meets again only once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, seen = WordHashes(), set()
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                digests, sets = [], []
+                for t in part.column(0).to_pylist():
+                    name = xxhash.xxh3_128_digest((t or "").encode())
+                    if name in seen:
+                        continue
+                    s = text_set(t, store)
+                    seen.add(name)
+                    digests.append(digest_of(s))
+                    sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["digest", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "digest binary, shingles binary")
+
+
+def asked_texts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, mark) ``asked`` has as (rep, mark).
+
+    ``asked`` comes once for each salt, so that rows that share an id and a text, or have no id, meet it in several tasks.
+    """
+    salts = asked.distinct().withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS))))).withColumnRenamed("mark", "m")
+    docs = docs.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))  # which copy a row meets is of no matter
+    d = docs.alias("d").join(salts.alias("a"), F.expr("d.mark = a.m and d.salt = a.salt and d.doc_id <=> a.rep"), "left_semi")
+    return d.select("doc_id", "text")
 
 
 _CORRECTION: dict[tuple[int, int], float] = {}
@@ -318,26 +352,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, key: str = "doc_id", tex
     """key, n_shingles, component_id, kept."""
     if not 80 <= percent <= 100:
         raise ValueError("percent must lie between 80 and 100: the bands are made for that")
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    d = materialize(sketches(docs, percent=percent).withColumn("row", F.monotonically_increasing_id()))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("k")
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    d = materialize(sketches(docs, percent).withColumn("row", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "mark")).alias("k")
     some = d.where("digest is not null")
     classes = some.groupBy("digest").agg(first, F.first("n_shingles").alias("size"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes.select("digest", F.col("k.row").alias("node"), F.col("k.doc_id").alias("rep"), "size", "n"))
-    # the few rows that are copies leave, so that bands of the many others need not move
+    classes = materialize(classes.select("digest", F.col("k.row").alias("node"), F.col("k.doc_id").alias("rep"), F.col("k.mark").alias("mark"), "size", "n"))
+    # the few rows that are copies leave, so that bands of the many others need not move; bands are read twice and written once
     copies = some.select("digest", "row").join(classes.where("n > 1").select("digest", "node"), "digest").where("row <> node").select("row")
-    rows = some.select("row", "bands").join(copies, "row", "left_anti")
-    rows = materialize(rows.select(F.col("row").alias("node"), F.explode("bands").alias("band")))
+    copies = materialize(copies)
+    rows = some.select("row", "bands").join(copies, "row", "left_anti").select(F.col("row").alias("node"), F.explode("bands").alias("band"))
     hubs = rows.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("far > hub").select("band", "hub")
     ties = materialize(rows.join(hubs, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct())
-    discard(rows)
+    discard(copies)
     clusters = materialize(components(ties))
-    members = clusters.join(classes, "node").select(F.col("component").alias("cluster"), "node", "digest", "rep", F.ceil(F.greatest("size", F.lit(1)) / UNIT).cast("long").alias("weight"))
+    members = clusters.join(classes, "node").select(F.col("component").alias("cluster"), "node", "digest", "rep", "mark", F.ceil(F.greatest("size", F.lit(1)) / UNIT).cast("long").alias("weight"))
     members = materialize(members)
-    asked = members.select("rep").distinct()
-    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = sketches(texts, "doc_id", "text", bands=False, sets=True)
-    sets = materialize(sets.join(members.select("digest", "node"), "digest").select("node", "shingles"))  # rows that repeat a text come again
+    sets = full_sets(asked_texts(docs, members.select("rep", "mark")))
+    sets = materialize(sets.join(members.select("digest", "node"), "digest").select("node", "shingles"))  # a text comes again from other tasks
     near = materialize(confirmed(stars(ties, members, sets), percent))
     # a star's link joins its hub and a node: the smaller of the two is the hub
     hub = near.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("grp"))
