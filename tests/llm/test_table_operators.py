@@ -280,6 +280,49 @@ def test_quality_learns_from_documents_of_many_lines(spark):
     assert all((got[i] >= 0.7) == (i % 2 == 0) for i in range(24))
 
 
+def test_quality_learns_from_every_line(spark):
+    rng = random.Random(14)
+    texts = ["\n".join(" ".join(words(rng, rng.randint(0, 6))) for _ in range(n)) for n in (1, 40, 700, 8, 9)]
+    texts = [t.upper() if i % 2 else t for i, t in enumerate(texts)]
+    rows = spark.createDataFrame([(i, i % 2, t) for i, t in enumerate(texts)], "k long, y int, t string")
+    runs = quality.line_runs(rows, run=8).orderBy("k", "at").toPandas()
+    together = next(quality.held_runs(iter([runs])))
+    f, _, n = quality.line_features(texts)
+    assert together.f[together.inner] == pytest.approx(f, abs=1e-6) and len(f) == 758
+    assert sorted(together.weights)[0] == pytest.approx(128 / 700)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    docs = rows.select(F.col("k").alias("doc_id"), F.col("t").alias("text"))
+    chain, plain = quality.fit(docs.union(docs), labels, steps=10), quality.train(f, n, np.array([0, 1, 0, 1, 0]), steps=10)
+    assert chain.weights == pytest.approx(plain.weights, abs=1e-3) and chain.moves == pytest.approx(plain.moves, abs=1e-3)
+
+
+def test_quality_lines_after_the_first_hundreds_decide(spark):
+    """Documents that differ in their last lines alone."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(16):
+        lines = [" ".join(words(rng, rng.randint(3, 9))) + "." for _ in range(600)]
+        tail = [" ".join(words(rng, 6)) for _ in range(40)]
+        rows.append((i, "\n".join(lines + [x.upper().replace(" ", "!! ") if i % 2 else x for x in tail]), "en", "s", 0))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    chain = quality.fit(docs, spark.createDataFrame([(i, 1 - i % 2) for i in range(12)], "doc_id long, quality int"))
+    got = {r.doc_id: r.s for r in docs.select("doc_id", quality.score(chain, F.col("text")).alias("s")).collect()}
+    assert min(got[i] for i in (12, 14)) > max(got[i] for i in (13, 15))
+
+
+def test_quality_gradient_against_differences():
+    rng = np.random.default_rng(5)
+    f, n = rng.normal(size=(9, quality.OWN)), np.array([4, 2, 3])
+    runs = quality.Runs(f, n, np.array([0, 1, 1]), np.array([1.0, 0.5, 0.3]), np.array([0, 1, 1, 1, 1, 1, 1, 1, 0], dtype=bool))
+    p = rng.normal(size=quality.PARAMETERS) * 0.1
+    at = lambda p: runs.likelihood(quality.Chain(np.zeros(quality.OWN), np.ones(quality.OWN), p[:-4], p[-4:].reshape(2, 2)))
+    got = at(p)[1:]
+    for i in [0, 7, quality.OWN + 3, 2 * quality.OWN + 5, *range(quality.PARAMETERS - 7, quality.PARAMETERS)]:
+        step = np.zeros(len(p))
+        step[i] = 1e-5
+        assert got[i] == pytest.approx((at(p + step)[0] - at(p - step)[0]) / 2e-5, abs=1e-6)
+
+
 def test_quality_of_a_long_text_in_parts_is_that_of_the_whole(monkeypatch):
     rng = random.Random(13)
     texts = ["\n".join(" ".join(words(rng, rng.randint(0, 6))) for _ in range(n)) for n in (40, 7, 90)]

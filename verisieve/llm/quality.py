@@ -1,24 +1,26 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Every line of a text gets a good/bad label from a two-state chain.  A line's features are character-class shares, word and repetition
-statistics, and those of its two neighbours.  The chain is trained here, by gradient steps on the conditional likelihood with a ridge
-penalty, from labelled documents whose lines inherit the document's label.  A document's score is the average of its lines' forward-backward
-marginals of ``good``, weighted by length (plus one, so empty lines count a little).
+statistics, and those of its two neighbours.  The chain is trained here, by limited-memory quasi-Newton steps on the conditional likelihood with a
+ridge penalty, from labelled documents whose lines inherit the document's label.  A document's score is the average of its lines'
+forward-backward marginals of ``good``, weighted by length (plus one, so empty lines count a little).
 
-Fitting takes a bounded sample: the ``sample`` labelled rows that come first in a hash order (4,000 by default), whatever their length.  Of a
-document's lines it learns from all, up to ``RUNS`` x ``RUN`` of them; of more, from ``RUNS`` runs of ``RUN`` lines that a seeded hash picks, each
-line with its true neighbours.  So the driver gets 4,000 x 128 narrow number rows at most.  Features are made by the executors, over whole
-texts.  Scoring reads every whole text, in place, without a shuffle.
+Fitting takes a bounded sample of documents: the ``sample`` labelled ids that come first in a hash order (4,000 by default), whatever their length.
+It learns from all their lines.  Features are made by the executors and written once; each evaluation of the likelihood is a job whose tasks
+add up their lines' losses and gradients, and the driver gets one vector of ``SUMS`` numbers a task.  A document of over ``even`` lines counts as
+much as one of ``even`` lines, so that a few long ones do not outvote the rest.  A document of over ``MANY`` lines comes in runs of so many, each
+line with its true neighbours; of such a document only the likelihood of the step from one run to the next is not there to learn from.
+Scoring reads every whole text, in place, without a shuffle.
 
 Defined cases: a null or empty text is one empty line and gets a score like any other; without labels of both classes every score is the
-share of good labels (0.5 without any); labels that disagree on a document count as bad; repeated rows score alike; an empty table gives an
+share of good labels (0.5 without any); labels that disagree on a document count as bad; of rows that repeat an id, one is learned from (the one
+whose text has the smallest hash); repeated rows score alike; an empty table gives an
 empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -27,9 +29,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize, partitions
+
 SAMPLE = 4000
-#: Runs of lines that fitting takes from a document, and lines in a run.
-RUNS, RUN = 4, 32
+#: Lines that a longer document counts as.
+EVEN = 128
+#: Steps of the fit at most, the ridge, and tasks that make features (of the bounded sample).
+STEPS, RIDGE, TASKS = 40, 1e-3, 64
 #: Lines whose features are held at once, at most about twice as many.
 MANY = 8192
 
@@ -42,6 +48,9 @@ for _i, _c in enumerate(_PUNCT):
     _CLASS[_c] = 6 + _i
 CLASSES = 6 + len(_PUNCT)
 OWN = CLASSES + 13
+#: Weights of a line's features, and of the four moves; with the loss they are what a task adds up.
+PARAMETERS = 3 * OWN + 3 + 4
+SUMS = 1 + PARAMETERS
 _CHUNK = 1 << 22
 
 
@@ -136,8 +145,11 @@ class Chain:
         return with_neighbours((f - self.mean) / self.std, n_lines) @ self.weights
 
 
-def marginals(e: np.ndarray, n_lines: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward-backward for all texts at once, by line number: P(good) of each line, expected moves (2 x 2), log normalizer of each text."""
+def marginals(e: np.ndarray, n_lines: np.ndarray, moves: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward-backward for all texts at once, by line number: P(good) of each line, expected moves (2 x 2), log normalizer of each text.
+
+    ``weights`` (one a text) count in the expected moves.
+    """
     order = np.argsort(-n_lines, kind="stable")
     n = n_lines[order]
     at0 = (np.cumsum(n_lines) - n_lines)[order]
@@ -165,41 +177,100 @@ def marginals(e: np.ndarray, n_lines: np.ndarray, moves: np.ndarray) -> tuple[np
     second[at0] = False
     i = np.flatnonzero(second)
     pair = np.zeros((2, 2))
+    w = np.repeat(np.ones(len(n)) if weights is None else weights, n_lines)[i]
     for x in (0, 1):
         for y in (0, 1):
-            pair[x, y] = np.exp(np.clip(alpha[i - 1, x] + moves[x, y] + beta[i, y] + (e[i] if y else 0) - each[i], -700, 0)).sum()
+            pair[x, y] = np.exp(np.clip(alpha[i - 1, x] + moves[x, y] + beta[i, y] + (e[i] if y else 0) - each[i], -700, 0)) @ w
     return good, pair, zs
 
 
-def train(f: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, steps: int = 150, ridge: float = 1e-3, inner: np.ndarray | None = None) -> Chain:
-    """Adam on the mean negative log-likelihood per run; every line of a run has its text's label.
+@dataclass
+class Runs:
+    """Lines of several runs.  Lines that are not ``inner`` stand beside a run, there as neighbours only."""
 
-    Rows that are not ``inner`` are lines beside a run, there as neighbours only.
-    """
-    base = float(labels.mean()) if len(labels) else 0.5
-    chain = Chain(np.zeros(OWN), np.ones(OWN), np.zeros(3 * OWN + 3), np.zeros((2, 2)), base)
-    if len(set(labels.tolist())) < 2:
-        return chain
-    chain.constant = None
-    inner = np.ones(len(f), dtype=bool) if inner is None else inner
-    chain.mean, std = f[inner].mean(axis=0, dtype=np.float64), f[inner].std(axis=0, dtype=np.float64)
-    chain.std = np.where(std < 1e-9, 1.0, std)
-    x = with_neighbours(((f - chain.mean) / chain.std).astype(np.float32), n_lines)[inner]
-    n_lines = np.add.reduceat(inner.astype(np.int64), np.cumsum(n_lines) - n_lines)
-    y = np.repeat(labels, n_lines).astype(np.float64)
-    n = len(labels)
-    stays = np.zeros((2, 2))
-    for c in (0, 1):
-        stays[c, c] = (n_lines[labels == c] - 1).sum()
-    p = np.zeros(x.shape[1] + 4)
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    for t in range(1, steps + 1):
-        good, pair, _ = marginals(x @ p[:-4].astype(np.float32), n_lines, p[-4:].reshape(2, 2))
-        g = np.concatenate([x.T @ (good - y).astype(np.float32), (pair - stays).ravel()]) / n + ridge * p
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        p = p - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    chain.weights, chain.moves = p[:-4], p[-4:].reshape(2, 2)
-    return chain
+    f: np.ndarray
+    n_lines: np.ndarray
+    labels: np.ndarray
+    weights: np.ndarray
+    inner: np.ndarray
+
+    def likelihood(self, chain: Chain) -> np.ndarray:
+        """Negative log-likelihood and its gradient, as sums over the runs by weight."""
+        x = with_neighbours((self.f - chain.mean) / chain.std, self.n_lines)[self.inner]
+        n = np.add.reduceat(self.inner.astype(np.int64), np.cumsum(self.n_lines) - self.n_lines)
+        e = x @ chain.weights
+        good, pair, z = marginals(e, n, chain.moves, self.weights)
+        y, w = np.repeat(self.labels, n), np.repeat(self.weights, n)
+        stays = np.diag([((n - 1) * self.weights)[self.labels == c].sum() for c in (0, 1)])
+        loss = z @ self.weights - e @ (y * w) - (stays * chain.moves).sum()
+        return np.concatenate([[loss], x.T @ ((good - y) * w), (pair - stays).ravel()])
+
+    def moments(self) -> np.ndarray:
+        """Weight of the inner lines, sums of their features and of the squares."""
+        w, f = np.repeat(self.weights, self.n_lines)[self.inner], self.f[self.inner]
+        return np.concatenate([[w.sum()], w @ f, w @ (f * f)])
+
+
+def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, steps: int, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS with backtracking, from zero."""
+    p = np.zeros(size)
+    value, g = evaluate(p)
+    kept: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(g).max() < 1e-6:
+            break
+        d, back = -g, []
+        for s, y in reversed(kept):
+            back.append((s @ d) / (s @ y))
+            d = d - back[-1] * y
+        if kept:
+            s, y = kept[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(kept, reversed(back), strict=True):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        step = 1.0 if kept else min(1.0, 1 / np.abs(g).sum())
+        for _ in range(30):
+            q = p + step * d
+            v, h = evaluate(q)
+            if v <= value + 1e-4 * step * (g @ d):
+                break
+            step /= 2
+        else:
+            break
+        s, y = q - p, h - g
+        if s @ y > 1e-12 * (y @ y):
+            kept = [*kept, (s, y)][-memory:]
+        fell, p, value, g = value - v, q, v, h
+        if fell <= 1e-6 * value:
+            break
+    return p
+
+
+def descend(chain: Chain, total: Callable[[Chain], np.ndarray], count: float, steps: int, ridge: float) -> Chain:
+    """The chain of the smallest mean loss plus penalty.  ``total`` adds up ``likelihood`` over all runs, ``count`` documents."""
+
+    def at(p: np.ndarray) -> Chain:
+        return Chain(chain.mean, chain.std, p[:-4], p[-4:].reshape(2, 2))
+
+    def evaluate(p: np.ndarray) -> tuple[float, np.ndarray]:
+        t = total(at(p)) / count
+        return t[0] + ridge / 2 * p @ p, t[1:] + ridge * p
+
+    return at(minimise(evaluate, PARAMETERS, steps))
+
+
+def standardised(moments: np.ndarray, base: float) -> Chain:
+    """A chain of zero weights with the mean and deviation of each feature."""
+    mean = moments[1 : OWN + 1] / max(moments[0], 1e-300)
+    std = np.sqrt(np.maximum(moments[OWN + 1 :] / max(moments[0], 1e-300) - mean**2, 0))
+    return Chain(mean, np.where(std < 1e-6, 1.0, std), np.zeros(PARAMETERS - 4), np.zeros((2, 2)), base)
+
+
+def train(f: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, steps: int = STEPS, ridge: float = RIDGE, even: int = EVEN) -> Chain:
+    """The fit on arrays: all lines of all texts, in order."""
+    runs = Runs(f, n_lines, labels, np.minimum(1, even / np.maximum(n_lines, 1)), np.ones(len(f), dtype=bool))
+    chain = standardised(runs.moments(), float(labels.mean()) if len(labels) else 0.5)
+    return descend(chain, runs.likelihood, len(labels), steps, ridge) if len(set(labels.tolist())) > 1 else chain
 
 
 def long_emissions(chain: Chain, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -237,43 +308,88 @@ def score_texts(chain: Chain, texts: list[str]) -> np.ndarray:
     return np.clip(np.add.reduceat(good * w, starts) / np.add.reduceat(w, starts), 0, 1)
 
 
-def runs_of(n: int, seed: str) -> list[tuple[int, int]]:
-    """Which lines of a text of n lines are learned from, as (from, to)."""
-    if n <= RUNS * RUN:
-        return [(0, n)]
-    starts = range(0, n, RUN)
-    picked = sorted(starts, key=lambda i: zlib.crc32(f"{seed} {i}".encode()))[:RUNS]
-    return [(i, min(n, i + RUN)) for i in sorted(picked)]
-
-
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Chain:
-    """``labels`` has key and label (0 or 1) of the rows that may be learned from."""
-    few = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("__k")).agg(F.min(label).cast("int").alias("__y"))
-    few = few.orderBy(F.xxhash64("__k"), "__k").limit(sample)
-    rows = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(few), "__k")  # ``sample`` rows of two numbers
+def line_runs(rows: DataFrame, even: int = EVEN, run: int = MANY) -> DataFrame:
+    """Features of every line of ``rows`` (k, y, t), in runs of up to ``run`` lines: k, y, weight (the document's), at (the run's first line),
+    before and after (1 if the line beside it comes along), f."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for k, y, t in zip(b["__k"], b["__y"], b["__t"], strict=True):
+            out, size = [], 0
+            for k, y, t in zip(b["k"], b["y"], b["t"], strict=True):
                 lines = (t if isinstance(t, str) else "").split("\n")
-                repeats = line_repeats(lines)
-                for i, j in runs_of(len(lines), str(k)):
-                    low, high = max(0, i - 1), min(len(lines), j + 1)
+                repeats, n = line_repeats(lines), len(lines)
+                for i in range(0, n, run):
+                    j = min(n, i + run)
+                    low, high = max(0, i - 1), min(n, j + 1)
                     f, _, _ = line_features(["\n".join(lines[low:high])], repeats[low:high].copy())
-                    out.append((k, y, i, i - low, high - j, f.astype(np.float32).tobytes()))
-            yield pd.DataFrame(out, columns=["k", "y", "at", "before", "after", "f"])
-
-    # rows that repeat an id are bounded too: a run list of ``sample`` documents, in a hash order
-    made = rows.mapInPandas(run, "k long, y int, at int, before int, after int, f binary").distinct()
-    got = made.orderBy(F.xxhash64("k", "at", "f")).limit(sample * RUNS).collect()
-    got = sorted(got, key=lambda r: (r[0], r[2], bytes(r[5])))
-    f = [np.frombuffer(r[5], dtype=np.float32).reshape(-1, OWN) for r in got]
-    n_lines = np.array([len(x) for x in f], dtype=np.int64)
-    inner = np.concatenate([np.arange(len(x)) >= r[3] for x, r in zip(f, got, strict=True)]) if f else np.zeros(0, dtype=bool)
-    ends = np.cumsum(n_lines)
-    inner[ends[np.array([r[4] == 1 for r in got], dtype=bool)] - 1] = False
-    return train(np.concatenate(f) if f else np.zeros((0, OWN)), n_lines, np.array([r[1] for r in got], dtype=np.int64), inner=inner)
+                    out.append((k, y, min(1.0, even / n), i, i - low, high - j, f.astype(np.float32).tobytes()))
+                    size += high - low
+                    if size >= MANY:
+                        yield pd.DataFrame(out, columns=["k", "y", "weight", "at", "before", "after", "f"])
+                        out, size = [], 0
+            yield pd.DataFrame(out, columns=["k", "y", "weight", "at", "before", "after", "f"])
+
+    return rows.mapInPandas(made, f"k {dict(rows.dtypes)['k']}, y int, weight double, at long, before int, after int, f binary")
+
+
+def held_runs(batches: Iterator[pd.DataFrame]) -> Iterator[Runs]:
+    """Rows of ``line_runs``, about ``MANY`` lines at a time."""
+
+    def joined() -> Runs:
+        f, y, w, before, after = zip(*held, strict=True)
+        n = np.array([len(x) for x in f], dtype=np.int64)
+        inner, ends = np.ones(int(n.sum()), dtype=bool), np.cumsum(n)
+        inner[(ends - n)[np.array(before) == 1]] = False
+        inner[ends[np.array(after) == 1] - 1] = False
+        return Runs(np.concatenate(f).astype(np.float64), n, np.array(y, dtype=np.int64), np.array(w), inner)
+
+    held: list[tuple] = []
+    lines = 0
+    for b in batches:
+        for f, *others in zip(*(b[c] for c in ("f", "y", "weight", "before", "after")), strict=True):
+            held.append((np.frombuffer(f, dtype=np.float32).reshape(-1, OWN), *others))
+            lines += len(held[-1][0])
+            if lines >= MANY:
+                yield joined()
+                held, lines = [], 0
+    if held:
+        yield joined()
+
+
+def added(runs: DataFrame, part: Callable[[Runs], np.ndarray]) -> np.ndarray | float:
+    """The sum of ``part`` over all runs; a task returns one vector."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [0.0]
+        for r in held_runs(batches):
+            parts = [parts[0] + part(r)]
+        if isinstance(parts[0], np.ndarray):
+            yield pd.DataFrame({"part": [parts[0].tobytes()]})
+
+    got = runs.select("f", "y", "weight", "before", "after").mapInPandas(run, "part binary").collect()
+    return sum(np.frombuffer(r[0]) for r in got)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, even: int = EVEN, steps: int = STEPS,
+) -> Chain:
+    """``labels`` has key and label (0 or 1) of the rows that may be learned from."""
+    few = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("int").alias("y"))
+    few = few.orderBy(F.xxhash64("k"), "k").limit(sample)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(few), "k")  # ``sample`` rows of two numbers
+    rows = rows.groupBy("k").agg(F.min("y").alias("y"), F.min_by("t", F.xxhash64("t")).alias("t"))
+    rows = rows.repartition(min(TASKS, partitions(docs.sparkSession)), "k").sortWithinPartitions("k")  # in order, so that sums come again
+    runs = materialize(line_runs(rows, even))
+    count = {r[0]: r[1] for r in runs.where("at = 0").groupBy("y").count().collect()}
+    n = sum(count.values())
+    base = count.get(1, 0) / n if n else 0.5
+    if len(count) < 2:
+        chain = Chain(np.zeros(OWN), np.ones(OWN), np.zeros(PARAMETERS - 4), np.zeros((2, 2)), base)
+    else:
+        start = standardised(added(runs, Runs.moments), base)
+        chain = descend(start, lambda c: added(runs, lambda r: r.likelihood(c)), n, steps, RIDGE)
+    discard(runs)
+    return chain
 
 
 def score(chain: Chain, text: Column) -> Column:
