@@ -123,3 +123,15 @@ def test_bootstrap_repeats_and_ranks(spark):
     a = metrics.paired_bootstrap(frame(spark, rows, "y int, a double, b double, i string"), "y", "a", "b", "i", 60).first()
     b = metrics.paired_bootstrap(frame(spark, rows, "y int, a double, b double, i string", 7), "y", "a", "b", "i", 60).first()
     assert a == b and a.low <= a.delta <= a.high and a.n_replicates == 60 and a.p_not_better < 0.1
+
+
+def test_medians_sort_only_what_lies_near_them(spark, monkeypatch):
+    n, held = 20_000, []
+    x = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / F.lit(7.0)
+    d = spark.range(n).select(x.alias("a"), (-x).alias("b"), (F.col("id") % 2).cast("double").alias("c"), F.when(F.col("id") < 3, F.lit(5.0)).alias("d"), F.lit(None).cast("double").alias("e"))
+    keep = ordered.materialize
+    monkeypatch.setattr(ordered, "materialize", lambda df: held.append(keep(df)) or held[-1])
+    got = {r.name: r.median for r in ordered.medians(d, ["a", "b", "c", "d", "e"]).collect()}
+    a = np.array([r.a for r in d.collect()])
+    assert got == {"a": np.median(a), "b": np.median(-a), "c": 0.5, "d": 5.0}
+    assert 0 < sum(h.count() for h in held) < n / 20

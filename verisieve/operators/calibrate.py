@@ -1,6 +1,6 @@
 """L2-regularised logistic calibration on z-scored columns.
 
-Statistics are one aggregate; the fit is Spark's own optimizer over distributed rows; prediction is a linear expression inlined in the
+Statistics are aggregates over a few columns each; the fit is Spark's own optimizer over distributed rows; prediction is a linear expression inlined in the
 plan.  Missing and infinite values become 0 before centring.  The penalty is ``l2 * |w|^2`` on the mean loss, the intercept is free.
 """
 
@@ -10,7 +10,7 @@ import math
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,10 @@ from ..functions.scalars import EPS, clip, sigmoid
 FORMAT, FORMAT_VERSION = "verisieve.calibrator", 1
 
 
+#: Features that one piece of generated code handles: with many more its methods are too long for the JVM to compile.
+MANY = 16
+
+
 def l2_of_c(c: float, n: int) -> float:
     """The penalty that matches an inverse strength ``c`` on a summed loss over n rows."""
     if c <= 0 or n <= 0:
@@ -53,11 +57,10 @@ class Calibrator:
 
     def linear(self, df: DataFrame) -> Column:
         """The log-odds before they are clipped."""
-        z = F.lit(self.intercept)
-        for f, m, s, w in zip(self.features, self.mean, self.std, self.weights or [], strict=True):
-            if w:
-                z = z + (F.coalesce(finite(f), F.lit(0.0)) - m) * (w / s)
-        return z
+        terms = [(F.coalesce(finite(f), F.lit(0.0)) - m) * (w / s) for f, m, s, w in zip(self.features, self.mean, self.std, self.weights or [], strict=True) if w]
+        if len(terms) > MANY:  # a fold adds in the same order; one long sum is a method that the JVM does not compile
+            return F.aggregate(F.array(*terms), F.lit(self.intercept), lambda z, t: z + t)
+        return sum(terms, F.lit(self.intercept))
 
     def ranked_weights(self) -> list[tuple[str, float]]:
         """Features by absolute weight, largest first, ties by name."""
@@ -74,10 +77,13 @@ class Calibrator:
 
 
 def statistics(df: DataFrame, features: list[str], label: str) -> tuple[float, int, list[float], list[float]]:
-    """Base rate, number of classes (2: more than one), means and deviations of the features: one aggregate."""
+    """Base rate, number of classes (2: more than one), means and deviations of the features: an aggregate for every ``MANY`` features."""
     y = F.col(f"`{label}`").cast("double")
     own = [F.avg(y).alias("y"), F.min(y.cast("int")).alias("a"), F.max(y.cast("int")).alias("b")]
-    r = df.agg(*own, *(x for i, f in enumerate(features) for x in (F.avg(finite(f)).alias(f"m{i}"), F.stddev_pop(finite(f)).alias(f"s{i}")))).first()
+    r = df.agg(*own).first().asDict()
+    numbered = list(enumerate(features))
+    for at in range(0, len(numbered), MANY):
+        r |= df.agg(*(x for i, f in numbered[at : at + MANY] for x in (F.avg(finite(f)).alias(f"m{i}"), F.stddev_pop(finite(f)).alias(f"s{i}")))).first().asDict()
     base = min(max(float(r["y"]), EPS), 1 - EPS) if r["y"] is not None else 0.5
     known = lambda v: v is not None and math.isfinite(v)
     mean = [float(r[f"m{i}"]) if known(r[f"m{i}"]) else 0.0 for i in range(len(features))]
@@ -91,8 +97,9 @@ def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.05, max_it
     base, classes, mean, std = statistics(d, features, "__y")
     if classes < 2:
         return Calibrator(features, fallback=base, l2=l2, status="single_class")
-    z = d.select("__y", *(((F.coalesce(F.col(f"`{f}`"), F.lit(0.0)) - m) / s).alias(f"z{i}") for i, (f, m, s) in enumerate(zip(features, mean, std, strict=True))))
-    rows = VectorAssembler(inputCols=[f"z{i}" for i in range(len(features))], outputCol="x").transform(z).select("__y", "x").persist()
+    # the array is gone through, not written out: with many features that would be a method too long for the JVM to compile
+    z = F.transform(F.array(*(F.col(f"`{f}`") for f in features)), lambda x, i: (F.coalesce(x, F.lit(0.0)) - F.get(F.lit(mean), i)) / F.get(F.lit(std), i))
+    rows = d.select("__y", array_to_vector(z).alias("x")).persist()
     try:
         model = LogisticRegression(labelCol="__y", featuresCol="x", regParam=2 * l2, elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol).fit(rows)
     finally:
