@@ -114,3 +114,13 @@ def test_tokens_and_crc(spark, docs):
     d = tf.read_ids(spark, write(spark, docs)).select("ids", tf.tokens("ids").alias("t"), F.crc32("ids").alias("c"))
     for r in d.collect():
         assert zlib.crc32(np.array(r.t, dtype="<u4").tobytes()) == r.c
+
+
+def test_ranges_are_cut_without_the_ids(spark, docs, monkeypatch):
+    """What ranges are cut by is sampled to the driver: keys and hashes, never documents."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    asked, own = [], DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, n, *cols: asked.append((self, cols)) or own(self, n, *cols))
+    write(spark, docs)
+    assert asked and all("binary" not in dict(df.select(*cols).dtypes).values() for df, cols in asked)

@@ -299,11 +299,11 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, key
     """Writes the documents' ids to ``folder``, a new one."""
     spark = docs.sparkSession
     held = materialize(tokenized(docs, tokenizer, end_id, key, text), compression="zstd")
-    by_rank = held.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "id").collect()  # the vocabulary at most
-    _write(f"{folder}/ranks.u32", np.array([r.id for r in by_rank], dtype="<u4").tobytes())
-    order = ["key", F.xxhash64("ids"), "ids"]
+    by_rank = held.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "id").select("id").toArrow()  # the vocabulary at most
+    _write(f"{folder}/ranks.u32", by_rank.column(0).to_numpy().astype("<u4").tobytes())
+    order = ["key", F.xxhash64("ids")]  # without the ids: the driver samples what ranges are cut by
     ids = held.where("id is null").select("key", "wide", "ids")
-    out = ids.repartitionByRange(partitions(spark) * 2, *order).sortWithinPartitions(*order)
+    out = ids.repartitionByRange(partitions(spark) * 2, *order).sortWithinPartitions(*order, "ids")
     spark.dataSource.register(TokenFiles)
     out.write.format("token_files").mode("append").save(folder)
     discard(held)
