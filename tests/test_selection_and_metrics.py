@@ -135,3 +135,13 @@ def test_medians_sort_only_what_lies_near_them(spark, monkeypatch):
     a = np.array([r.a for r in d.collect()])
     assert got == {"a": np.median(a), "b": np.median(-a), "c": 0.5, "d": 5.0}
     assert 0 < sum(h.count() for h in held) < n / 20
+
+
+def test_bootstrap_of_few_scores_draws_each_image_once(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 1), rng.randint(0, 10) / 10, rng.randint(0, 40) / 40, f"i{rng.randint(0, 2500)}") for _ in range(9000)]
+    d = frame(spark, rows, "y int, a double, b double, i string")
+    few = metrics.paired_bootstrap(d, "y", "a", "b", "i", 40)
+    assert "cuts" not in few._jdf.queryExecution().analyzed().toString()  # no ranges of scores
+    monkeypatch.setattr(metrics, "FEW", 0)
+    assert few.first().asDict() == pytest.approx(metrics.paired_bootstrap(d, "y", "a", "b", "i", 40).first().asDict(), rel=1e-12)

@@ -86,17 +86,76 @@ def gain_grid(df: DataFrame, y: str, before: str, control: str, after: str, bins
 BLOCK, TASK_ROWS = 1024, 1_000_000
 
 
+#: Up to so many distinct scores, replicates are counted by blocks of images, each drawn once.
+FEW = 256
+
+
+def _totals(seed: int, replicate: int, images: int) -> tuple[np.ndarray, np.ndarray]:
+    """Images of each block, and how many of all draws fall to it."""
+    size = np.full(-(-images // BLOCK), BLOCK)
+    size[-1] = images - BLOCK * (len(size) - 1)
+    return size, np.random.default_rng([seed, replicate]).multinomial(images, size / images)
+
+
+def _within(seed: int, replicate: int, block: int, size: int, total: int) -> np.ndarray:
+    return np.pad(np.random.default_rng([seed, replicate, int(block) + 1]).multinomial(total, np.full(size, 1 / size)), (0, BLOCK - size))
+
+
 def _draws(seed: int, replicate: int, images: int, blocks: np.ndarray) -> np.ndarray:
     """How often a replicate draws each image of the given blocks, one after another; all images' draws add up to their number.
 
     Draws are made in two steps, of totals per block and of images within a block, each by its own seed.  So any task can make those of the
     blocks it needs, and the counts are multinomial as a whole.
     """
-    size = np.full(-(-images // BLOCK), BLOCK)
-    size[-1] = images - BLOCK * (len(size) - 1)
-    totals = np.random.default_rng([seed, replicate]).multinomial(images, size / images)
-    each = [np.random.default_rng([seed, replicate, int(b) + 1]).multinomial(totals[b], np.full(size[b], 1 / size[b])) for b in blocks]
-    return np.concatenate([np.pad(x, (0, BLOCK - len(x))) for x in each]) if each else np.zeros(0, dtype=np.int64)
+    size, totals = _totals(seed, replicate, images)
+    each = [_within(seed, replicate, b, size[b], totals[b]) for b in blocks]
+    return np.concatenate(each) if each else np.zeros(0, dtype=np.int64)
+
+
+def _by_blocks(long: DataFrame, scores: list[tuple[str, float]], n: int, total: int, replicates: int, seed: int) -> DataFrame:
+    """side, part, r, pos, neg, won of every replicate over all rows, for few distinct scores (ordered by side and score).
+
+    A task draws each of its blocks of images once for each of its replicates and adds up positives and negatives per score, a product of
+    two matrices; sums of all tasks are then added per replicate.  ``long``: side, s, at, pos, neg.
+    """
+    spark, d = long.sparkSession, len(scores)
+    blocks = -(-n // BLOCK)
+    parts = max(min(16, blocks), -(-total // TASK_ROWS))
+    shares = max(1, min(replicates, 64 // parts))
+    numbers = spark.createDataFrame([(side, s, k) for k, (side, s) in enumerate(scores)], "side string, s double, k int")
+    dealt = long.join(F.broadcast(numbers), ["side", "s"]).select((F.floor(F.col("at") / BLOCK) % parts).alias("part"), "at", "k", "pos", "neg")
+    dealt = dealt.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        share = int(key[1])
+        rs = list(range(share, replicates, shares))
+        size, _ = _totals(seed, 0, n)
+        totals = np.array([_totals(seed, r, n)[1] for r in rs]).reshape(len(rs), len(size))
+        base, got = np.zeros(2 * d), np.zeros((len(rs), 2 * d))
+        for b, rows in pdf.groupby(pdf["at"] // BLOCK):
+            m = np.zeros((BLOCK, 2 * d))
+            at, k = rows["at"].to_numpy() % BLOCK, rows["k"].to_numpy()
+            np.add.at(m, (at, k), rows["pos"].to_numpy())
+            np.add.at(m, (at, d + k), rows["neg"].to_numpy())
+            w = np.array([_within(seed, r, b, size[b], totals[i, b]) for i, r in enumerate(rs)], dtype=np.float64)
+            base += m.sum(axis=0)
+            got += w @ m
+        own = [(-1, base)] if share == 0 else []
+        return pd.DataFrame([(r, x.tolist()) for r, x in [*own, *zip(rs, got, strict=True)]], columns=["r", "x"])
+
+    is_a = np.array([side == "a" for side, _ in scores], dtype=bool)
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r, xs in pdf.groupby("r")["x"]:
+            x = np.sum(np.stack(xs.to_list()), axis=0)
+            for side, own in (("a", is_a), ("b", ~is_a)):
+                p, q = x[:d][own], x[d:][own]
+                out.append((side, 0, r, p.sum(), q.sum(), float((p * (np.cumsum(q) - q / 2)).sum())))
+        return pd.DataFrame(out, columns=["side", "part", "r", "pos", "neg", "won"])
+
+    sums = dealt.groupBy("part", "share").applyInPandas(count, "r int, x array<double>")
+    return sums.groupBy(F.pmod("r", F.lit(64)).alias("q")).applyInPandas(add, "side string, part int, r int, pos double, neg double, won double")
 
 
 def paired_bootstrap(df: DataFrame, y: str, a: str, b: str, image: str, replicates: int = 5000, seed: int = 20260920) -> DataFrame:
@@ -104,7 +163,8 @@ def paired_bootstrap(df: DataFrame, y: str, a: str, b: str, image: str, replicat
 
     Whole images are resampled with replacement, as many as there are.  Rows are counted per (image, score) and dealt into ranges of
     scores; a task goes through all replicates for its range and returns, for each, weighted positives, negatives and pairs won inside the
-    range.  Ranges are then put together by a running sum per replicate.  Nothing is held whole, and draws depend on (seed, replicate,
+    range.  Ranges are then put together by a running sum per replicate.  With up to ``FEW`` distinct scores tasks take blocks of images
+    instead of ranges, each block drawn once, with the same draws.  Nothing is held whole, and draws depend on (seed, replicate,
     image) only.  Replicates with one class are left out; if none is left, or there are no rows, that is an error.
     """
     rows = df.select(F.col(y).cast("int").alias("y"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"), F.coalesce(F.col(image).cast("string"), F.lit("\0")).alias("i"))
@@ -121,6 +181,9 @@ def paired_bootstrap(df: DataFrame, y: str, a: str, b: str, image: str, replicat
     long = rows.select("i", "y", pair.alias("x")).groupBy("i", "x.side", "x.s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     long = materialize(long.where("s is not null").join(numbered, "i"))
     total = long.count()
+    seen = sorted((r.side, r.s) for r in long.select("side", "s").distinct().limit(FEW + 1).collect())
+    if len(seen) <= FEW and not any(np.isnan(x) for _, x in seen):
+        return _interval(_by_blocks(long, seen, n, total, replicates, seed))
     ranges = max(1, -(-total // (2 * TASK_ROWS)), min(32, -(-total // 4096)))
     cuts = long.groupBy("side").agg(F.array_distinct(F.percentile_approx("s", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).alias("cuts"))  # two rows
     part = F.size(F.filter("cuts", lambda c: c <= F.col("s"))) if ranges > 1 else F.lit(0)
@@ -151,6 +214,10 @@ def paired_bootstrap(df: DataFrame, y: str, a: str, b: str, image: str, replicat
     told = dealt.groupBy(*groups).applyInPandas(run, "side string, part int, r int, pos double, neg double, won double")
     below = Window.partitionBy("side", "r").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     told = told.withColumn("won", F.col("won") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0.0)))
+    return _interval(told)
+
+
+def _interval(told: DataFrame) -> DataFrame:
     auc = told.groupBy("side", "r").agg(F.try_divide(F.sum("won"), F.sum("pos") * F.sum("neg")).alias("auc"))
     sign = F.when(F.col("side") == "a", F.col("auc")).otherwise(-F.col("auc"))
     deltas = auc.groupBy("r").agg(F.when(F.count("auc") == 2, F.sum(sign)).alias("delta"))
