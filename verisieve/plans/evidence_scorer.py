@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.durable import discard, materialize
 from ..operators import calibrate, evidence, metrics
 from ..operators.aggregate import claim_to_response_max
 from ..operators.calibrate import Calibrator
@@ -29,8 +30,11 @@ class Assembler:
         branch = evidence.conflict_branch(dev)
         layers = evidence.all_layers(dev, branch)
         other = layers if test is None else evidence.all_layers(evidence.refuse_targets(test), branch)
-        names = evidence.select_features(layers, other, mask)
-        return cls(names, evidence.fit_imputer(layers, names, mask), branch)
+        held = materialize(evidence.family(layers.where(mask)))  # read several times, so the layers are worked out once
+        names = evidence.select_features(held, other, "true")
+        fill = evidence.fit_imputer(held, names)
+        discard(held)
+        return cls(names, fill, branch)
 
     def transform(self, df: DataFrame, keep: tuple[str, ...] = ("unit_id",)) -> DataFrame:
         """``keep`` and the features, complete; a feature that the table lacks takes its median."""
@@ -102,9 +106,10 @@ def arms(train: DataFrame, test: DataFrame, names: list[str], label: str = "y",
 
 def arm_report(scored: DataFrame) -> DataFrame:
     """arm, n, auroc, brier of each arm."""
-    spark = scored.sparkSession
+    spark, scored = scored.sparkSession, materialize(scored)  # read several times per arm
     rows = []
     for (arm,) in scored.select("arm").distinct().orderBy("arm").collect():  # four at most
         d = scored.where(F.col("arm") == arm)
         rows.append((arm, d.count(), metrics.auroc(d, "y", "score").first()[0], metrics.brier(d, "y", "score").first()[0]))
+    discard(scored)
     return spark.createDataFrame(rows, "arm string, n long, auroc double, brier double")
