@@ -189,6 +189,16 @@ def test_best_of_candidates_equals_all_comparisons(spark):
     assert sum(r.n_compared for r in got.values()) < 0.5 * sum(r.n_candidates for r in got.values())
 
 
+def test_best_of_candidates_moves_no_pairs(spark):
+    """A row has all that its answer needs: no table of pairs is shuffled or written and read again."""
+    d = spark.range(50).select("id", F.concat(F.lit("open "), "id").alias("t"), F.array(F.lit("open 7"), F.lit("shut"), F.lit(None).cast("string")).alias("cs"))
+    got = similar_pairs.best_similarity(d, ["id"], "t", "cs")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "parquet" not in plan.lower()
+    r = got.where("id = 7").first()
+    assert (r.best, r.position, r.n_candidates, r.n_compared) == (1.0, 0, 3, 1)
+
+
 def test_kinds_of_providers():
     made = lambda name, **more: type(name, (), more)()
     assert kind_of(None) == "none"

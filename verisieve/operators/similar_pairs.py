@@ -2,7 +2,7 @@
 
 The ratio is twice the number of matching characters over both lengths.  No more characters can match than the shorter text has, nor than
 the texts share as multisets, so both give bounds from above; they are built-in expressions.  Block matching, the costly Python step, runs
-once for each distinct pair, and for the largest of many candidates only on those that can still reach it.
+once for each distinct pair of a table of pairs, and for the largest of many candidates only on those that can still reach it.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.durable import discard, materialize
-from ..functions.similarity import similarity
+from ..functions.similarity import similarities, similarity
 from ..functions.text import find_all
 
 
@@ -47,34 +46,43 @@ def similarity_pairs(df: DataFrame, left: str, right: str, name: str = "similari
     return d.join(pairs, ["__a", "__b"], "left").withColumn(name, F.coalesce("__s", F.lit(1.0))).drop("__a", "__b", "__s")
 
 
+def _bounds(text: Column, candidates: Column) -> Column:
+    """``bound`` of a text with each candidate; the characters of the text are counted once."""
+    times = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    kinds = F.transform(F.array_distinct(find_all(text, r"(?s).")), lambda c: F.struct(c.alias("c"), times(text, c).alias("n")))
+
+    def one(k: Column, c: Column) -> Column:
+        both = F.length(text) + F.length(c)
+        shared = F.aggregate(k, F.lit(0), lambda s, x: s + F.least(x.n, times(c, x.c)))
+        return F.when(both == 0, 1.0).otherwise(2.0 * F.least(shared, F.length(text), F.length(c)) / F.greatest(both, F.lit(1)))
+
+    # an array of one element: inside the inner lambda, the counts would be made anew for each candidate
+    return F.element_at(F.transform(F.array(kinds), lambda k: F.transform(candidates, lambda c: one(k, c))), 1)
+
+
 def best_similarity(df: DataFrame, key: list[str], text: str, candidates: str) -> DataFrame:
     """key, best, position, n_candidates, n_compared: the largest ratio of a text with an array of candidates, the first of equal ones.
 
-    Without a candidate ``best`` is 0 and ``position`` null.  Per key the candidate with the largest bound is compared first; then those
-    whose bound is above that ratio, or equal to it at an earlier position.  ``n_compared`` counts these; a pair that several rows have is
-    still compared once.  ``key`` tells rows apart.
+    Without a candidate ``best`` is 0 and ``position`` null.  Per row the candidate with the largest bound is compared first; then those
+    whose bound is above that ratio, or equal to it at an earlier position.  ``n_compared`` counts these.  ``key`` tells rows apart.
+
+    A row holds all that its answer needs, so nothing is shuffled or written: pairs as rows of their own, in tables and joins, took some forty
+    times the input.  A pair that several rows of one Arrow batch have is compared once.
     """
-    rows = df.select(*key, F.coalesce(F.col(text), F.lit("")).alias("t"), F.posexplode_outer(candidates).alias("pos", "c"))
-    rows = rows.withColumn("c", F.when(F.col("pos").isNotNull(), F.coalesce("c", F.lit(""))))
-    pairs = rows.where("pos is not null").select("t", "c").distinct()
-    pairs = materialize(pairs.withColumns({"pid": F.monotonically_increasing_id(), "bound": bound(F.col("t"), F.col("c"))}))
-    at = materialize(rows.join(pairs, ["t", "c"], "left").select(*key, "pos", "pid", "bound"))
-    some = at.where("pos is not null")
-
-    def compared(which: DataFrame) -> DataFrame:
-        return pairs.join(which.select("pid").distinct(), "pid", "left_semi").select("pid", similarity(F.col("t"), F.col("c")).alias("s"))
-
-    first = some.groupBy(*key).agg(F.min(F.struct((-F.col("bound")).alias("b"), "pos", "pid")).alias("f")).select(*key, "f.pos", "f.pid")
-    ratios = materialize(compared(first))
-    lead = materialize(first.join(ratios, "pid").select(*key, F.col("pos").alias("pos1"), "s"))
-    rest = some.join(lead, key).where((F.col("pos") != F.col("pos1")) & ((F.col("bound") > F.col("s")) | ((F.col("bound") == F.col("s")) & (F.col("pos") < F.col("pos1")))))
-    rest = materialize(rest.select(*key, "pos", "pid"))
-    more = materialize(compared(rest.join(ratios, "pid", "left_anti")).unionByName(ratios))
-    met = lead.select(*key, "s", F.col("pos1").alias("pos")).unionByName(rest.join(more, "pid").select(*key, "s", "pos"))
-    best = met.groupBy(*key).agg(F.min(F.struct((-F.col("s")).alias("s"), "pos")).alias("f"), F.count(F.lit(1)).alias("n_compared"))
-    size = at.groupBy(*key).agg(F.count("pos").alias("n_candidates"))
-    out = size.join(best, key, "left").select(*key, F.coalesce(-F.col("f.s"), F.lit(0.0)).alias("best"), F.col("f.pos").alias("position"), "n_candidates", F.coalesce("n_compared", F.lit(0)).alias("n_compared"))
-    out = materialize(out)
-    for t in (pairs, at, ratios, lead, rest, more):
-        discard(t)
-    return out
+    none = F.array().cast("array<string>")
+    d = df.select(*key, F.coalesce(F.col(text), F.lit("")).alias("__t"), F.coalesce(F.transform(candidates, lambda c: F.coalesce(c, F.lit(""))), none).alias("__c"))
+    d = d.withColumn("__b", _bounds(F.col("__t"), F.col("__c")))
+    d = d.withColumn("__p", F.array_position("__b", F.array_max("__b")).cast("int"))  # from 1; null without candidates
+    d = d.withColumn("__s", similarity(F.col("__t"), F.try_element_at("__c", F.col("__p"))))
+    b, s, p = F.col("__b"), F.col("__s"), F.col("__p")
+    left = lambda i: (F.get(b, i) > s) | ((F.get(b, i) == s) & (i + 1 < p))
+    others = F.filter(F.sequence(F.lit(0), F.size("__c") - 1), lambda i: (i + 1 != p) & left(i))
+    d = d.withColumn("__i", F.when(F.size("__c") > 0, others).otherwise(F.array().cast("array<int>")))
+    d = d.withColumn("__r", similarities(F.col("__t"), F.transform("__i", lambda i: F.get("__c", i))))
+    met = F.transform(F.arrays_zip("__i", "__r"), lambda x: F.struct((-x["__r"]).alias("s"), x["__i"].alias("pos")))
+    lead = F.array(F.struct((-s).alias("s"), (p - 1).alias("pos")))
+    d = d.withColumn("__best", F.when(p.isNotNull(), F.array_min(F.concat(lead, met))))
+    n = F.when(p.isNotNull(), F.size("__i") + 1).otherwise(0)
+    return d.select(
+        *key, F.coalesce(-F.col("__best.s"), F.lit(0.0)).alias("best"), F.col("__best.pos").alias("position"), F.size("__c").cast("long").alias("n_candidates"), n.cast("long").alias("n_compared")
+    )
