@@ -98,6 +98,38 @@ def test_hybrid_takes_a_valid_model_set_or_falls_back(spark):
     assert loose.requires_external_knowledge
 
 
+def test_hybrid_claims_parse_completions_once(spark):
+    """The model's claims are written, so a plan that reads keys and claims parses and checks no completion twice."""
+    ok = '{"claims":[{"claim_text":"The cat is red.","source_span":"cat is red"}]}'
+    rows = [(i, "q", "The cat is red", ok if i % 2 else None) for i in range(6)]
+    got = D.hybrid_claims(spark.createDataFrame(rows, RESPONSES + ", completion string"), "completion")
+    assert "EvalPython" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.response_id: r.method for r in got.collect()} == {i: "llm_checked" if i % 2 else "rule_fallback" for i in range(6)}
+
+
+def test_answers_of_one_key_are_judged_apart(spark):
+    """Tokens of claims count for the whole key, coverage is of each row's own answer."""
+    rows = [(1, "q", "red cat"), (1, "q", "blue dog"), (1, "q", None)]
+    claims = D.rule_claims(spark.createDataFrame(rows, RESPONSES)).where("answer is null or answer <> 'blue dog' or claim_pos > 1")
+    got = {r.answer: r for r in D.validated(claims).collect()}
+    assert set(got) == {"red cat", None} and got["red cat"].response_coverage_score == 1.0 and got[None].response_coverage_score == 1.0
+    whole = {r.answer: (r.claim_set_size, r.response_coverage_score, r.uncovered_response_terms) for r in D.validated(D.rule_claims(spark.createDataFrame(rows, RESPONSES))).collect()}
+    assert whole == {"red cat": (3, 1.0, []), "blue dog": (3, 1.0, []), None: (3, 1.0, [])}
+
+
+def test_claims_have_the_types_of_the_rules(spark):
+    """What is found once for a question gives each claim the type that question and claim together have."""
+    qs = ["What is next", "what is  next ", "Who is it?", "how many are left", "", None, "Is there a blue sign", "nextto", "What text? 3"]
+    spans = ["to the car", "to", "tomorrow", "a red cat", "two of them; a brand", "plain", "it says 3, next to one"]
+    d = spark.createDataFrame([(i, q, a) for i, (q, a) in enumerate((q, a) for q in qs for a in spans)], RESPONSES)
+    for version, typed, claim in ((1, D.type_v1, "claim_text"), (2, D.type_v2, "source_span")):
+        got = D.rule_claims(d, version=version).withColumns({"want": typed(F.col("question"), F.col(claim)), "route": D.verifiability(F.col("question"), F.col("claim_type")), "know": D.needs_knowledge(F.col("question"), F.col("claim_type"))}).collect()
+        assert len(got) >= len(qs) * len(spans)
+        for r in got:
+            assert (r.claim_type, r.is_visual_verifiable, r.requires_external_knowledge) == (r.want, r.route, r.know), r
+    assert "spatial_relation" in {r.claim_type for r in got if r.question == "What is next" and r.source_span == "to the car"}
+
+
 def test_best_span_prefers_the_first_of_equals(spark):
     assert one(spark, D.best_span, "red cat; red dog", "red cat") == "red cat" and one(spark, D.best_span, "...", "x") == ""
 

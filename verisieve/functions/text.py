@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ STOPWORDS = "a an and are as at be because but by for from has have in is it of
 ALIGN_STOPWORDS = sorted([*STOPWORDS, "its"])
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once a row, however often it is used and in whatever lambdas."""
+    return F.element_at(F.transform(F.array(x), lambda y: use(y)), 1)
+
+
 def words_of(xs: list[str]) -> Column:
     return F.array(*(F.lit(x) for x in xs))
 
