@@ -15,6 +15,7 @@ from verisieve.operators import metrics, reports
 from verisieve.plans import evidence_scorer
 from verisieve.plans.evidence_model import EvidenceEstimator, EvidenceModel
 from verisieve.sources import io
+from verisieve.plans import fit_queries
 
 from .test_evidence_and_scoring import table
 
@@ -119,6 +120,13 @@ def test_verification_by_path(spark):
     assert (f.n_compared, f.n_equal) == (6, 5) and [(x.key.sample_id, x.key.claim_pos, x.a, x.b) for x in f.examples] == [(4, 2, "42", "changed")]
 
 
+def test_claims_are_worked_out_once_for_their_verification(spark):
+    got = fit_queries.decomposition_verified(spark, "/root/testdata/sf0.001")
+    assert "conversations" not in got._jdf.queryExecution().executedPlan().toString()  # written, not worked out for each step
+    rates = {r.name: (r.n_compared, r.n_equal) for r in got.collect()}
+    assert len(rates) == 6 and len({n for n, _ in rates.values()}) == 1
+
+
 @pytest.mark.parametrize("size", ["1k", "128m"])
 def test_first_and_last_record_are_the_files(spark, tmp_path, size):
     """Several files a table, records with line ends in quotes, a key in many places: first and last are by file name and record."""

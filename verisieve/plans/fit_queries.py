@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.durable import shared_dir
+from ..functions.durable import materialize, shared_dir
 from ..operators import decompose, metrics, newton, reports, similar_pairs
 from ..sources import bundles
 from . import evidence_scorer
@@ -190,11 +190,12 @@ def reproduction_examples(spark, d):
 @query()
 def decomposition_verified(spark, d):
     """Claims of all answers by the first rules, held against a stored run that took another path for some answers and lost others' claims."""
-    mine = decompose.rule_claims(fx.pairs(spark, d), version=1).withColumnRenamed("response_id", "sample_id")
+    fields = ["claim_text", "source_span", "claim_type", "is_atomic", "atomicity_score", "faithfulness_score"]
+    mine = decompose.rule_claims(fx.pairs(spark, d), version=1).withColumnRenamed("response_id", "sample_id").select("sample_id", "claim_pos", "claim_id", *fields)
+    mine = materialize(mine)  # six steps of the comparison read it
     h = F.pmod(F.xxhash64("sample_id"), F.lit(10))
     path = F.when(h == 0, "model").when((h == 1) & (F.col("claim_pos") == 1), "model").otherwise("rules")
     stored = mine.where(~((h == 2) & (F.col("claim_pos") == 1))).withColumns({"decomposition_method": path, "claim_type": F.when(h == 3, "other").otherwise(F.col("claim_type"))})
-    fields = ["claim_text", "source_span", "claim_type", "is_atomic", "atomicity_score", "faithfulness_score"]
     counts, found = reports.verify_decomposition(stored, mine, "rules", "model", fields)
     return found.select("name", "n_compared", "n_equal", "rate", F.to_json("examples").alias("examples")).crossJoin(counts.drop("n_compared").withColumn("uneven_examples", F.array_join("uneven_examples", "|")))
 
