@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verisieve.operators import calibrate, evidence
-from verisieve.plans import scoring
+from verisieve.plans import catalog, scoring
 from verisieve.sources import io
 from verisieve.sources.providers import MockProvider
 from verisieve.streaming import score as streaming
@@ -304,3 +304,10 @@ def test_labelled_sources_and_dev_sets(spark, tmp_path):
     with pytest.raises(io.InputError, match="lacks image, failed"):
         (tmp_path / "c.jsonl").write_text('{"question": "q", "answer": "a"}\n')
         io.read_provider_dev(spark, str(tmp_path / "c.jsonl"))
+
+
+def test_a_fit_and_a_score_of_the_same_responses_share_their_claims(spark, monkeypatch):
+    asked, evidence_of = [], MockProvider.evidence
+    monkeypatch.setattr(MockProvider, "evidence", lambda self, claims: asked.append(1) or evidence_of(self, claims))
+    got = catalog.score_responses(spark, "/root/testdata/sf0.001")
+    assert len(asked) == 1 and got.count() == catalog.fx.pairs(spark, "/root/testdata/sf0.001").count()

@@ -73,6 +73,15 @@ def claim_rows(responses: DataFrame, provider: EvidenceProvider, config: Config)
     return features.assemble(provider.evidence(claims))
 
 
+#: What ``fit`` and ``score`` read of claims.
+CLAIM_COLUMNS = ["response_id", "claim_pos", "claim_id", "claim_text", "claim_type", "claim_set_validation_errors", *features.LIVE]
+
+
+def written_claims(responses: DataFrame, provider: EvidenceProvider, config: Config) -> DataFrame:
+    """``claim_rows`` written once, for a ``fit`` and a ``score`` of the same responses."""
+    return materialize(claim_rows(responses, provider, config).select(*CLAIM_COLUMNS))
+
+
 def with_risk(claims: DataFrame, scorer: Scorer) -> DataFrame:
     risk = scorer.calibrator.predict(claims) if scorer.calibrator else features.prior(claims)
     return claims.withColumn("risk", risk)
@@ -83,13 +92,13 @@ def resampling(responses: DataFrame, provider: EvidenceProvider, k: int) -> Data
     return features.resampled(d.withColumn("box_texts", F.col("boxes.text")), k=k).select("response_id", *features.RESAMPLED)
 
 
-def score(responses: DataFrame, provider: EvidenceProvider, scorer: Scorer, return_claims: bool = True) -> DataFrame:
+def score(responses: DataFrame, provider: EvidenceProvider, scorer: Scorer, return_claims: bool = True, rows: DataFrame | None = None) -> DataFrame:
     """response_id, risk_score, is_high_risk, calibrated_confidence, threshold, num_claims, claims, feature_dim, channels, warnings, version.
 
-    A row's own ``threshold`` column, if there is one, goes before the scorer's.
+    A row's own ``threshold`` column, if there is one, goes before the scorer's.  ``rows``: the responses' ``written_claims``, if there are any.
     """
     c = scorer.config
-    claims = with_risk(claim_rows(responses, provider, c), scorer)
+    claims = with_risk(claim_rows(responses, provider, c) if rows is None else rows, scorer)
     item = F.struct("claim_pos", "claim_id", "claim_text", "claim_type", F.col("risk").alias("risk"))
     per = claims.groupBy("response_id").agg(
         F.max("risk").alias("top"), F.count(F.lit(1)).alias("num_claims"), F.array_sort(F.collect_list(item)).alias("cs"), F.first("claim_set_validation_errors").alias("errors")
@@ -119,12 +128,15 @@ def score(responses: DataFrame, provider: EvidenceProvider, scorer: Scorer, retu
     )
 
 
-def fit(dev: DataFrame, provider: EvidenceProvider, config: Config | None = None) -> Scorer:
-    """``dev``: response_id, question, answer, image, failed (1 = wrong).  A response's label goes to each of its claims."""
+def fit(dev: DataFrame, provider: EvidenceProvider, config: Config | None = None, rows: DataFrame | None = None) -> Scorer:
+    """``dev``: response_id, question, answer, image, failed (1 = wrong).  A response's label goes to each of its claims.
+
+    ``rows``: the ``written_claims`` of ``dev`` or of more responses, if there are any; else they are written here for the time of the fit.
+    """
     config = config or Config()
     out = Scorer(config, provider_kind=kind_of(provider))
-    rows = claim_rows(dev.select("response_id", "question", "answer", "image"), provider, config)
-    claims = materialize(rows.join(dev.select("response_id", "failed"), "response_id"))  # written: a lost executor repeats no evidence
+    own = written_claims(dev.select("response_id", "question", "answer", "image"), provider, config) if rows is None else None  # written: a lost executor repeats no evidence
+    claims = (own if rows is None else rows).join(dev.select("response_id", "failed"), "response_id")
     try:
         n = dev.select("response_id").join(claims.select("response_id"), "response_id", "left_anti").count()
         if n:
@@ -147,7 +159,8 @@ def fit(dev: DataFrame, provider: EvidenceProvider, config: Config | None = None
                     out.fusion = head
             discard(r)
     finally:
-        discard(claims)
+        if own is not None:
+            discard(own)
     if out.provider_kind == "mock":
         out.warnings.append("fitted on mock evidence")
     return out

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.durable import shared_dir
 from ..functions.scalars import clip, hash01
 from ..functions.similarity import containment_similarity
-from ..functions.text import ALIGN_STOPWORDS, find_all, parse_support
+from ..functions.text import ALIGN_STOPWORDS, find_all, once, parse_support
 from ..operators.decompose import check_prompt
 from ..operators.features import BOX_TYPE, VIEWS
 from .replies import REPLY, Memo, Model, asked
@@ -82,23 +82,26 @@ class MockProvider(EvidenceProvider):
 
     def evidence(self, claims: DataFrame) -> DataFrame:
         q, a, c, t = (F.coalesce(F.col(x), F.lit("")) for x in ("question", "answer", "claim_text", "claim_type"))
-        own = _words(c)
+        d = claims.withColumn("__own", _words(c))
+        own, overlap, hit = F.col("__own"), F.col("__overlap"), F.col("__hit")
         n = F.greatest(F.size(own), F.lit(1))
-        overlap = F.size(F.array_intersect(own, _words(a))) / n
+        joined = F.lower(F.array_join(F.col("boxes.text"), " "))
+        found = once(joined, lambda j: F.size(F.filter(own, lambda w: j.contains(w))))
+        # own words are distinct and hold no stop words, so the answer's may be taken as they come
+        d = d.withColumns({"__overlap": F.size(F.array_intersect(own, find_all(F.lower(a), "[a-z0-9]+"))) / n, "__hit": found / n})
 
         def view(name: str) -> Column:
             j = hash01(F.lit(self.name), F.lit(name), q, a, c)
-            s = clip(F.lit(0.35) + 0.5 * overlap + 0.15 * (j - 0.5))
-            return F.struct(F.lit(name).alias("view"), s.alias("support"), clip(F.lit(0.6) + 0.3 * (j - 0.5)).alias("confidence"), a.alias("evidence"), clip(1.0 - s).alias("uncertainty"))
+            s = lambda j: clip(F.lit(0.35) + 0.5 * overlap + 0.15 * (j - 0.5))
+            full = lambda j, s: F.struct(F.lit(name).alias("view"), s.alias("support"), clip(F.lit(0.6) + 0.3 * (j - 0.5)).alias("confidence"), a.alias("evidence"), clip(1.0 - s).alias("uncertainty"))
+            return once(j, lambda j: once(s(j), lambda s: full(j, s)))
 
-        joined = F.lower(F.array_join(F.col("boxes.text"), " "))
-        hit = F.size(F.filter(own, lambda w: joined.contains(w))) / n
         s = clip(F.lit(0.25) + 0.6 * hit + 0.15 * (hash01(F.lit(self.name), F.lit("direct"), t, c) - 0.5))
-        check = F.struct(
+        check = once(s, lambda s: F.struct(
             s.alias("support"), clip(F.lit(0.55) - 0.5 * hit).alias("contradiction"), F.when(F.size("boxes") > 0, 1.0).otherwise(0.0).alias("evidence_present"), clip(1.0 - s).alias("uncertainty"),
             hit.alias("ocr_read_support"), hit.alias("number_check_support"), clip(F.lit(0.3) + 0.5 * hit).alias("visual_evidence_support"), F.array_join(F.slice(F.col("boxes.text"), 1, 2), " ").alias("evidence_phrase"),
-        )
-        return claims.withColumns({"views": F.array(*(view(v) for v in VIEWS)), "direct": check.cast(DIRECT_TYPE)})
+        ))
+        return d.withColumns({"views": F.array(*(view(v) for v in VIEWS)), "direct": check.cast(DIRECT_TYPE)}).drop("__own", "__overlap", "__hit")
 
     def samples(self, responses: DataFrame, k: int) -> DataFrame:
         if k < 1:
