@@ -311,3 +311,10 @@ def test_a_fit_and_a_score_of_the_same_responses_share_their_claims(spark, monke
     monkeypatch.setattr(MockProvider, "evidence", lambda self, claims: asked.append(1) or evidence_of(self, claims))
     got = catalog.score_responses(spark, "/root/testdata/sf0.001")
     assert len(asked) == 1 and got.count() == catalog.fx.pairs(spark, "/root/testdata/sf0.001").count()
+
+
+def test_resampling_is_worked_out_once_for_a_fit_and_a_score(spark, monkeypatch):
+    drawn, samples_of = [], MockProvider.samples
+    monkeypatch.setattr(MockProvider, "samples", lambda self, responses, k: drawn.append(k) or samples_of(self, responses, k))
+    catalog.score_responses(spark, "/root/testdata/sf0.001")
+    assert drawn == [2]

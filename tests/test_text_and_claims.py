@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
+from verisieve.functions import similarity
 from verisieve.functions import text as T
 from verisieve.functions.similarity import containment_similarity
 from verisieve.operators import decompose as D
@@ -200,3 +202,32 @@ def test_mock_evidence_formulas(spark):
     r = p.evidence(p.boxes(d)).first()
     assert [b.text for b in r.boxes] == ["open", "shut"] and r.direct.evidence_phrase == "open shut" and r.direct.contradiction == pytest.approx(0.55)
     assert all(abs(v.support - (0.35 + 0.5 * 2 / 3)) <= 0.075 for v in r.views)
+
+
+def test_short_second_texts_have_difflibs_ratio_without_its_matcher(monkeypatch):
+    r = random.Random(3)
+    text = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    pairs = [(text(r.choice((0, 1, 8, 40, 300)), x), text(r.choice((0, 1, 7, 8, 9, 64, 199)), x)) for x in ("ab", "abcdé 😀", "abcdefghij ") for _ in range(60)]
+    pairs += [(a, (a + b)[:199]) for a, b in pairs]
+    want = [1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+    long = "spoken words " * 20
+    also = difflib.SequenceMatcher(None, "words spoken", long).ratio()
+    assert similarity._known_ratios()("words spoken", long) == also
+    monkeypatch.setattr(difflib, "SequenceMatcher", None)
+    ratio = similarity._known_ratios()
+    assert [ratio(a, b) for a, b in pairs] == want
+
+
+def test_separators_and_type_words_in_rare_letters_are_found(spark):
+    answers = ["Red becau\u017fe blue W\u0130TH green", "a; ; b", "one:two , , three", ";", "x, and y. \u212a While z"]
+    got = spark.createDataFrame([(a,) for a in answers], "a string").select(D.split_v2(F.col("a")).alias("s"), D.split_v1(F.col("a")).alias("t")).collect()
+    assert [x.s for x in got] == [["Red", "blue", "green"], ["a", "b"], ["one", "two", "three"], [";"], ["x", "y.", "\u212a", "z"]]
+    assert [x.t for x in got] == [["Red", "blue", "green"], ["a", "b"], ["one:two , , three"], [";"], ["x", "y.", "\u212a", "z"]]
+    rows = spark.createDataFrame([("1", "q", "a \u017fign"), ("2", "q", "\u0663 of them"), ("3", "q", "dr\u0131nking")], "response_id string, question string, answer string")
+    assert [x.claim_type for x in D.rule_claims(rows).orderBy("response_id").collect()] == ["OCR_text", "counting", "action"]
+
+
+def test_claims_split_each_answer_once(spark):
+    rows = spark.createDataFrame([("1", "q", "a; b")], "response_id string, question string, answer string")
+    plan = D.rule_claims(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import EPS, clip
 from ..functions.similarity import similarities, similarity
-from ..functions.text import characters, clean, content_words, normalize, numbers, share, tokens
+from ..functions.text import characters, clean, content_words, find_all, normalize, numbers, once, share, tokens
 
 VIEWS = ("independent", "visual", "minus_claim", "answer_match")
 BELIEF = [f"belief_{x}" for x in ("support_mean", "support_min", "support_max", "support_spread", "confidence_mean", "uncertainty_mean", "low_support_risk", "min_support_risk", "num_views", *(f"support_{v}" for v in VIEWS))]
@@ -59,7 +59,7 @@ def alignment(df: DataFrame, claim: str = "claim_text", evidence: str = "evidenc
     d = df.withColumns({"__c": c, "__e": e}).withColumn("__s", similarity(F.col("__c"), F.col("__e")))
     cw = F.array_distinct(content_words(F.col("__c")))
     none = (F.col("__c") == "") | (F.col("__e") == "")
-    cover = share(F.array_intersect(cw, F.array_distinct(content_words(F.col("__e")))), cw)
+    cover = share(F.array_intersect(cw, find_all(F.col("__e"), "[a-z0-9]+")), cw)  # the claim's words are distinct and no stop words
     d = d.withColumns({"align_char_similarity": F.when(none, 0.0).otherwise(F.col("__s")), "align_content_coverage": F.when(none, 0.0).otherwise(cover)})
     d = d.withColumn("align_score", 0.5 * (F.col("align_char_similarity") + F.col("align_content_coverage")))
     return d.withColumn("align_unsupported_risk", 1.0 - F.col("align_score")).drop("__c", "__e", "__s")
@@ -94,25 +94,21 @@ def boxes(df: DataFrame, claim: str = "claim_text", texts: str = "boxes") -> Dat
     start = F.struct(F.lit(0.0).alias("sim"), F.lit(0.0).alias("simc"), F.lit(0.0).alias("conf"))
     best = F.aggregate(F.arrays_zip("__b", "__s"), start, lambda a, x: F.when(said & (x["__s"] > a.sim), F.struct(x["__s"].alias("sim"), (x["__s"] * x["__b"]["score"]).alias("simc"), x["__b"]["score"].alias("conf"))).otherwise(a))
     zero = F.struct(F.lit(0.0).alias("rec"), F.lit(0.0).alias("prec"))
-
-    def recall(a: Column, x: Column) -> Column:
-        own = F.array_distinct(tokens(x.t))
-        hit = F.size(F.array_intersect(w, own))
-        r = hit / F.greatest(F.size(w), F.lit(1))
-        return F.when(r > a.rec, F.struct(r.alias("rec"), (hit / F.greatest(F.size(own), F.lit(1))).alias("prec"))).otherwise(a)
-
-    chars, have = characters(c), characters(j)
+    size = lambda xs: F.greatest(F.size(xs), F.lit(1))
+    shares = lambda own, hit: F.struct((hit / size(w)).alias("rec"), (hit / size(own)).alias("prec"))
+    recalls = F.transform(b, lambda x: once(F.array_distinct(tokens(x.t)), lambda own: once(F.size(F.array_intersect(w, own)), lambda hit: shares(own, hit))))
+    chars = characters(c)
     d = d.withColumns(
         {
             "__best": best,
-            "__rec": F.aggregate(b, zero, recall),
+            "__rec": F.aggregate(recalls, zero, lambda a, x: F.when(x.rec > a.rec, x).otherwise(a)),
             "mech_ocr_n_strings": F.size(b).cast("double"),
             "mech_ocr_text_density": F.size(tokens(j)).cast("double"),
             "mech_ocr_empty": flag(F.size(b) == 0),
             "mech_ocr_exact_present": flag(said & F.array_contains(F.col("__b.t"), c)),
             "mech_ocr_containment_present": flag(said & F.exists(b, lambda x: x.t.contains(c) | c.contains(x.t))),
             "mech_ocr_all_words_present": flag(_all(w, lambda x: j.contains(x))),
-            "mech_ocr_char_coverage": share(F.array_intersect(chars, have), chars),
+            "mech_ocr_char_coverage": once(chars, lambda xs: share(F.filter(xs, lambda x: j.contains(x)), xs)),
             "mech_ocr_has_number": flag(F.size(n) > 0),
             "mech_ocr_number_present": flag(_all(n, lambda x: j.contains(x))),
         }
@@ -140,7 +136,7 @@ def resampled(df: DataFrame, samples: str = "samples", texts: str = "box_texts",
     used = F.slice(samples, 1, int(k)) if k else F.col(samples)
     checked = F.when(F.coalesce(F.size(used), F.lit(0)) < 1, F.raise_error(F.lit("at least one resampled answer is needed"))).otherwise(used)
     d = df.withColumns({"__x": F.transform(checked, lambda s: normalize(s)), "__o": F.transform(F.coalesce(F.col(texts), F.array().cast("array<string>")), lambda t: normalize(t))})
-    long = d.select(key, "__o", F.posexplode("__x").alias("p", "s"))
+    long = d.select(key, "__o", F.posexplode_outer("__x").alias("p", "s"))  # none is empty; the inner form would normalise them once more in a filter
     long = long.withColumns({"bit": support_bit(F.col("s"), F.col("__o")), "fuzzy": F.coalesce(F.array_max(similarities(F.col("s"), F.col("__o"))), F.lit(0.0))})
     rows = long.groupBy(key).agg(
         (1.0 - F.avg("bit")).alias("mvr_unsupported_rate"), (1.0 - F.max("bit")).alias("mvr_all_unsupported"), F.min("bit").alias("mvr_all_supported"),

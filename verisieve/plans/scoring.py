@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
@@ -64,11 +65,11 @@ class Scorer:
         return cls(Config.of(s["config"]), *(Calibrator.of_state(s[n]) if s.get(n) else None for n in ("calibrator", "fusion")), s.get("provider_kind") or "unknown", notes)
 
 
-def claim_rows(responses: DataFrame, provider: EvidenceProvider, config: Config) -> DataFrame:
-    """A row per claim with its 48 features.  ``responses``: response_id, question, answer, image."""
+def claim_rows(responses: DataFrame, provider: EvidenceProvider, config: Config, keep: Sequence[str] = ()) -> DataFrame:
+    """A row per claim with its 48 features.  ``responses``: response_id, question, answer, image, and what claims ``keep`` of their response."""
     asked = provider.completions(responses)
     claims = decompose.hybrid_claims(asked, "completion", max_claims=config.max_claims)
-    read = provider.boxes(responses.select("response_id", "image"))
+    read = provider.boxes(responses.select("response_id", "image", *keep))
     claims = claims.join(read, "response_id")
     return features.assemble(provider.evidence(claims))
 
@@ -78,8 +79,9 @@ CLAIM_COLUMNS = ["response_id", "claim_pos", "claim_id", "claim_text", "claim_ty
 
 
 def written_claims(responses: DataFrame, provider: EvidenceProvider, config: Config) -> DataFrame:
-    """``claim_rows`` written once, for a ``fit`` and a ``score`` of the same responses."""
-    return materialize(claim_rows(responses, provider, config).select(*CLAIM_COLUMNS))
+    """``claim_rows`` written once, for a ``fit`` and a ``score`` of the same responses; with their label, if ``responses`` have ``failed``."""
+    keep = [c for c in responses.columns if c == "failed"]
+    return materialize(claim_rows(responses, provider, config, keep).select(*CLAIM_COLUMNS, *keep))
 
 
 def with_risk(claims: DataFrame, scorer: Scorer) -> DataFrame:
@@ -92,10 +94,15 @@ def resampling(responses: DataFrame, provider: EvidenceProvider, k: int) -> Data
     return features.resampled(d.withColumn("box_texts", F.col("boxes.text")), k=k).select("response_id", *features.RESAMPLED)
 
 
-def score(responses: DataFrame, provider: EvidenceProvider, scorer: Scorer, return_claims: bool = True, rows: DataFrame | None = None) -> DataFrame:
+def written_resampling(responses: DataFrame, provider: EvidenceProvider, config: Config) -> DataFrame:
+    """``resampling`` written once, for a ``fit`` and a ``score`` of the same responses."""
+    return materialize(resampling(responses, provider, config.k))
+
+
+def score(responses: DataFrame, provider: EvidenceProvider, scorer: Scorer, return_claims: bool = True, rows: DataFrame | None = None, drawn: DataFrame | None = None) -> DataFrame:
     """response_id, risk_score, is_high_risk, calibrated_confidence, threshold, num_claims, claims, feature_dim, channels, warnings, version.
 
-    A row's own ``threshold`` column, if there is one, goes before the scorer's.  ``rows``: the responses' ``written_claims``, if there are any.
+    A row's own ``threshold`` column, if there is one, goes before the scorer's.  ``rows``, ``drawn``: the responses' ``written_claims`` and ``written_resampling``, if there are any.
     """
     c = scorer.config
     claims = with_risk(claim_rows(responses, provider, c) if rows is None else rows, scorer)
@@ -109,7 +116,7 @@ def score(responses: DataFrame, provider: EvidenceProvider, scorer: Scorer, retu
     final = F.col("evidence_score")
     notes = list(scorer.warnings) + ([] if scorer.calibrator else ["the scorer is not fitted: scores are an uncalibrated prior"])
     if c.k:
-        out = out.join(resampling(responses, provider, c.k), "response_id")
+        out = out.join(resampling(responses, provider, c.k) if drawn is None else drawn, "response_id")
         names += features.RESAMPLED
         if scorer.fusion and scorer.fusion.weights:
             out = out.withColumn("fused_score", scorer.fusion.predict(out))
@@ -128,15 +135,16 @@ def score(responses: DataFrame, provider: EvidenceProvider, scorer: Scorer, retu
     )
 
 
-def fit(dev: DataFrame, provider: EvidenceProvider, config: Config | None = None, rows: DataFrame | None = None) -> Scorer:
+def fit(dev: DataFrame, provider: EvidenceProvider, config: Config | None = None, rows: DataFrame | None = None, drawn: DataFrame | None = None) -> Scorer:
     """``dev``: response_id, question, answer, image, failed (1 = wrong).  A response's label goes to each of its claims.
 
-    ``rows``: the ``written_claims`` of ``dev`` or of more responses, if there are any; else they are written here for the time of the fit.
+    ``rows``, ``drawn``: the ``written_claims`` and ``written_resampling`` of ``dev`` or of more responses, if there are any; else claims are written
+    here for the time of the fit.  Labels are joined to ``rows`` that have none; ``rows`` with labels must be those of ``dev``.
     """
     config = config or Config()
     out = Scorer(config, provider_kind=kind_of(provider))
-    own = written_claims(dev.select("response_id", "question", "answer", "image"), provider, config) if rows is None else None  # written: a lost executor repeats no evidence
-    claims = (own if rows is None else rows).join(dev.select("response_id", "failed"), "response_id")
+    own = written_claims(dev.select("response_id", "question", "answer", "image", "failed"), provider, config) if rows is None else None  # written: a lost executor repeats no evidence
+    claims = own if rows is None else rows if "failed" in rows.columns else rows.join(dev.select("response_id", "failed"), "response_id")
     try:
         n = dev.select("response_id").join(claims.select("response_id"), "response_id", "left_anti").count()
         if n:
@@ -147,7 +155,7 @@ def fit(dev: DataFrame, provider: EvidenceProvider, config: Config | None = None
         if config.k:
             risk = with_risk(claims, out if config.fuse_on == "calibrated" else Scorer(config))
             r = claim_to_response_max(dev.select("response_id", "failed"), risk.select(F.col("response_id").alias("rid"), "risk"), "response_id", "rid", "risk").withColumnRenamed("risk_score", "evidence_score")
-            r = materialize(r.join(resampling(dev, provider, config.k), "response_id"))
+            r = materialize(r.join(resampling(dev, provider, config.k) if drawn is None else drawn, "response_id"))
             if calibrate.constant_columns(r, features.RESAMPLED):
                 out.warnings.append("resampling statistics are constant: no fusion head is fitted")
             else:

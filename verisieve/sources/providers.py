@@ -87,8 +87,10 @@ class MockProvider(EvidenceProvider):
         n = F.greatest(F.size(own), F.lit(1))
         joined = F.lower(F.array_join(F.col("boxes.text"), " "))
         found = once(joined, lambda j: F.size(F.filter(own, lambda w: j.contains(w))))
-        # own words are distinct and hold no stop words, so the answer's may be taken as they come
-        d = d.withColumns({"__overlap": F.size(F.array_intersect(own, find_all(F.lower(a), "[a-z0-9]+"))) / n, "__hit": found / n})
+        # own words are distinct and hold no stop words: those that the answer has between other signs are counted
+        spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(a), "[^a-z0-9]+", " "), F.lit(" "))
+        shared = once(spaced, lambda s: F.size(F.filter(own, lambda w: s.contains(F.concat(F.lit(" "), w, F.lit(" "))))))
+        d = d.withColumns({"__overlap": shared / n, "__hit": found / n})
 
         def view(name: str) -> Column:
             j = hash01(F.lit(self.name), F.lit(name), q, a, c)
