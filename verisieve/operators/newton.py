@@ -5,7 +5,8 @@ Every pass is one job: each task adds up the loss, the gradient and the Hessian
 there.  A whole step is tried together with its gradient and Hessian, so an accepted one costs one pass; a refused one costs a pass that
 takes the loss of eight shorter steps at once.
 
-Standardised rows are written once in the shared folder: every pass reads them, and a lost executor repeats its own tasks only.
+Standardised rows are written once in the shared folder: every pass reads them, and a lost executor repeats its own tasks only.  Rows that
+are many times as wide as what they are made of can be worked out anew in every pass instead (``written``).
 """
 
 from __future__ import annotations
@@ -131,20 +132,31 @@ def standardised(df: DataFrame, features: list[str], label: str, mean: list[floa
     return df.select(y.cast("double").alias("y"), F.array(*z).alias("x"))
 
 
-def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.05, max_iter: int = 200, tol: float = 1e-9) -> Fit:
+def fit(df: DataFrame, features: list[str], label: str, l2: float = 0.05, max_iter: int = 200, tol: float = 1e-9, written: bool = True, start: Calibrator | None = None, known: dict[str, tuple[float, float]] | None = None) -> Fit:
     """Minimises the mean loss plus ``l2 * |w|^2`` (intercept free) until no gradient entry reaches ``tol``.
 
+    ``start`` is a fit to other features of the same rows: the steps begin at its weights for the features that both have.  ``known`` has mean and
+    population deviation of each feature, if they have been taken.
+
     Status: ``converged``; ``no_decrease`` if no shorter step lowers the objective any more (the limit of rounding); ``max_iter``;
     ``single_class`` for labels of one class or none, which give their base rate.
     """
-    base, classes, mean, std = statistics(df, features, label)
+    base, classes, mean, std = statistics(df, [] if known else features, label)
+    if known:
+        mean, std = [known[f][0] for f in features], [known[f][1] if known[f][1] > 1e-8 else 1.0 for f in features]
     if classes < 2:
         return Fit(Calibrator(features, fallback=base, l2=l2, status="single_class"))
-    rows = materialize(standardised(df, features, label, mean, std))
+    rows = standardised(df, features, label, mean, std)
+    rows = materialize(rows) if written else rows
     d = len(features)
     ridge = np.concatenate([[0.0], np.full(d, 2.0 * l2)])
     penalty = lambda w: l2 * float(w[1:] @ w[1:])
     w = np.concatenate([[math.log(base / (1.0 - base))], np.zeros(d)])
+    if start is not None and start.weights is not None:
+        known = dict(zip(start.features, zip(start.weights, start.mean, start.std, strict=True), strict=True))
+        # weights for the means and deviations of this fit
+        there = [known.get(f, (0.0, 0.0, 1.0)) for f in features]
+        w = np.array([start.intercept + sum(v * (m - a) / b for m, (v, a, b) in zip(mean, there, strict=True)), *(v * s / b for s, (v, _, b) in zip(std, there, strict=True))])
     now, log, status = sums_at(rows, w), [], "max_iter"
     for i in range(max_iter):
         value, g = now.loss / now.n + penalty(w), now.gradient / now.n + ridge * w

@@ -93,11 +93,7 @@ def medians(df: DataFrame, names: list[str]) -> DataFrame:
     if inside:  # no filter on the rows: pushed below the layers of a deep plan, it would repeat their expressions
         counted = counted.unionByName(_counted(df, {n: F.when(x, col[n]) for n, x in inside.items()}))
     held = materialize(counted)
-    got = held.groupBy("name").agg(F.sum("n").alias("inside"))
-    ranks = _table(spark, [d[:3] for d in done], [("name", pa.string()), ("total", pa.int64()), ("below", pa.int64())]).join(F.broadcast(got), "name")  # a row per column
-    missed = (F.col("below") > F.floor((F.col("total") - 1) / 2)) | (F.col("below") + F.col("inside") <= F.floor(F.col("total") / 2))
-    whole = [r[0] for r in ranks.where(missed).select("name").collect()]
-    out = _at_ranks(held.where(~F.col("name").isin(whole)) if whole else held, ranks)
+    out, whole = at_medians(held, [d[:3] for d in done])
     if whole:
         held = materialize(_counted(df, {n: col[n] for n in whole}))
         ranks = held.groupBy("name").agg(F.sum("n").alias("total")).withColumn("below", F.lit(0).cast("long"))
@@ -105,6 +101,18 @@ def medians(df: DataFrame, names: list[str]) -> DataFrame:
     return out
 
 
+def at_medians(held: DataFrame, known: list[tuple[str, int, int]]) -> tuple[DataFrame, list[str]]:
+    """(name, median) by values next to each other (name, v, n), and the names whose medians are not among them.
+
+    ``known`` has a name, how many values it has, and how many of them are below those of ``held``.
+    """
+    got = held.groupBy("name").agg(F.sum("n").alias("inside"))
+    ranks = _table(held.sparkSession, known, [("name", pa.string()), ("total", pa.int64()), ("below", pa.int64())]).join(F.broadcast(got), "name", "left").fillna(0, ["inside"])  # a row per column
+    missed = (F.col("below") > F.floor((F.col("total") - 1) / 2)) | (F.col("below") + F.col("inside") <= F.floor(F.col("total") / 2))
+    whole = [r[0] for r in ranks.where(missed).select("name").collect()]
+    return _at_ranks(held.where(~F.col("name").isin(whole)) if whole else held, ranks), whole
+
+
 def _row(df: DataFrame, aggregates: list) -> list:
     """The values of many aggregates, some in each job: all in one are methods too long for the JVM to compile."""
     return [v for i in range(0, len(aggregates), JOB) for v in df.agg(*(a.alias(f"a{j}") for j, a in enumerate(aggregates[i : i + JOB]))).first()]

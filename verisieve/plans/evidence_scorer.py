@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durable import discard, materialize
-from ..operators import calibrate, evidence, metrics
-from ..operators.aggregate import claim_to_response_max
+from ..operators import calibrate, evidence, metrics, newton, wide
 from ..operators.calibrate import Calibrator
 
 
@@ -20,6 +19,7 @@ class Assembler:
     names: list[str]
     fill: dict[str, float]
     branch: str
+    moments: dict[str, tuple[float, float]] = field(default_factory=dict)  # mean and deviation of each feature, filled, on the rows of the fit
 
     @classmethod
     def fit(cls, dev: DataFrame, test: DataFrame | None = None, mask: str = "true") -> Assembler:
@@ -27,14 +27,17 @@ class Assembler:
         evidence.refuse_targets(dev)
         if dev.isEmpty():
             raise ValueError("no rows to assemble")
+        evidence.short_methods(dev.sparkSession)
         branch = evidence.conflict_branch(dev)
         layers = evidence.all_layers(dev, branch)
         other = layers if test is None else evidence.all_layers(evidence.refuse_targets(test), branch)
-        held = materialize(evidence.family(layers.where(mask)))  # read several times, so the layers are worked out once
-        names = evidence.select_features(held, other, "true")
-        fill = evidence.fit_imputer(held, names)
-        discard(held)
-        return cls(names, fill, branch)
+        # features are many times as wide as the rows they are made of, so they are not written: each of two passes works them out
+        held = evidence.family(layers.where(mask))
+        known = wide.summaries(held, held.columns) if held.columns else {}
+        names = evidence.select_features(held, other, "true", known)
+        middle = wide.exact_medians(held, {n: known[n] for n in names})
+        fill = {n: middle.get(n, 0.0) for n in names}
+        return cls(names, fill, branch, {n: known[n].filled(fill[n]) for n in names})
 
     def transform(self, df: DataFrame, keep: tuple[str, ...] = ("unit_id",)) -> DataFrame:
         """``keep`` and the features, complete; a feature that the table lacks takes its median."""
@@ -79,34 +82,40 @@ class EvidenceScorer:
 ARMS = ("language", "language+instrument", "language+resampling", "language+instrument+resampling")
 
 
-def arms(train: DataFrame, test: DataFrame, names: list[str], label: str = "y", response: str = "response_id", resampled: tuple[str, ...] = (), l2: float = 0.05, fusion_l2: float = 0.02) -> DataFrame:
+def arms(train: DataFrame, test: DataFrame, names: list[str], label: str = "y", response: str = "response_id", resampled: tuple[str, ...] = (), l2: float = 0.05, fusion_l2: float = 0.02, known: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """arm, response, score, y: responses of ``test`` scored by each arm fitted on ``train``.
 
     ``names`` are features of claims; those that begin with ``mech_`` are the instrument's and left out of the language arms.
     Resampling arms fuse a response's largest claim risk with its ``resampled`` statistics; without any there are two arms.
+    ``known``: as in ``newton.fit``.
     """
-    out = None
-    for arm in ARMS if resampled else ARMS[:2]:
-        used = names if "instrument" in arm else [n for n in names if not n.startswith("mech_")]
-        claims = calibrate.fit(train, used, label, l2)
-
-        def per_response(df: DataFrame, claims: Calibrator = claims) -> DataFrame:
-            own = df.groupBy(response).agg(F.max(label).alias(label), *(F.first(c).alias(c) for c in resampled))
-            risk = df.select(F.col(response).alias("__r"), claims.predict(df).alias("__risk"))
-            return claim_to_response_max(own, risk, response, "__r", "__risk").withColumnRenamed("risk_score", "evidence_score")
-
-        scored, value = per_response(test), F.col("evidence_score")
-        if "resampling" in arm:
-            head = calibrate.fit(per_response(train), ["evidence_score", *resampled], label, fusion_l2)
-            value = head.predict(scored)
-        part = scored.select(F.lit(arm).alias("arm"), response, value.alias("score"), F.col(label).alias("y"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    kinds = [a for a in ARMS if "resampling" not in a]
+    claims: dict[str, Calibrator] = {}
+    for kind in kinds:  # each fit begins at the one before, which has fewer features
+        used = names if "instrument" in kind else [n for n in names if not n.startswith("mech_")]
+        claims[kind] = newton.fit(train, used, label, l2, written=False, start=next(reversed(claims.values()), None), known=known).calibrator
+
+    def per_response(df: DataFrame) -> DataFrame:
+        """Largest claim risks of all kinds in one pass; claims without a response count for none."""
+        risks = [F.when(F.col(response).isNotNull(), claims[k].predict(df)).alias(f"__risk_{i}") for i, k in enumerate(kinds)]
+        top = [F.greatest(F.coalesce(F.max(f"__risk_{i}"), F.lit(0.0)), F.lit(0.0)).alias(f"evidence_{i}") for i in range(len(kinds))]
+        own = (F.max(label).alias(label), *(F.first(c).alias(c) for c in resampled))
+        return df.select(response, label, *resampled, *risks).groupBy(response).agg(*own, *top)
+
+    scored = per_response(test)
+    values = {k: F.col(f"evidence_{i}") for i, k in enumerate(kinds)}
+    if resampled:
+        fitted = materialize(per_response(train))  # a narrow row per response, read by every head
+        for i, k in enumerate(kinds):
+            values[f"{k}+resampling"] = calibrate.fit(fitted, [f"evidence_{i}", *resampled], label, fusion_l2).predict(scored)
+        discard(fitted)
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), values[a].alias("score")) for a in ARMS if a in values))).alias("__x")
+    return scored.select(response, F.col(label).alias("y"), each).select("__x.arm", response, "__x.score", "y")
 
 
 def arm_report(scored: DataFrame) -> DataFrame:
     """arm, n, auroc, brier of each arm."""
-    spark, scored = scored.sparkSession, materialize(scored)  # read several times per arm
+    spark, scored = scored.sparkSession, materialize(scored.select("arm", "score", "y"))  # read several times per arm
     rows = []
     for (arm,) in scored.select("arm").distinct().orderBy("arm").collect():  # four at most
         d = scored.where(F.col("arm") == arm)
