@@ -1,4 +1,4 @@
-"""Many columns at once: summaries and medians without written tables, halves of images."""
+"""Many columns at once: summaries and medians without written tables, halves of images, and what the arms of the ablation are scored on."""
 
 from __future__ import annotations
 
@@ -71,6 +71,19 @@ def test_a_fit_begins_anywhere_and_takes_known_moments(spark):
     assert len(near.log) == 1 and near.calibrator.status == "converged"
 
 
+def test_ablation_is_scored_on_the_other_half_and_writes_no_features(spark, monkeypatch):
+    written, scored = [], []
+    for module in (evidence_scorer, newton, wide, evidence):
+        monkeypatch.setattr(module, "materialize", lambda df, *a, f=module.materialize: (written.append(len(df.columns)), f(df, *a))[1])
+    monkeypatch.setattr(evidence_scorer, "arms", lambda train, test, *a, f=evidence_scorer.arms, **b: (scored.extend((train, test)), f(train, test, *a, **b))[1])
+    got = catalog.QUERIES["ablation_arms"](spark, SF).collect()
+    split = evidence.image_split(fx.evidence_rows(spark, SF), "image").select("unit_id", "is_score_train").collect()
+    train, test = ({r.unit_id for r in d.select("unit_id").collect()} for d in scored)
+    assert train == {r.unit_id for r in split if r.is_score_train} and test == {r.unit_id for r in split if not r.is_score_train}
+    assert train and test and {r.n for r in got} == {len({u.split("-")[0] for u in test})} and {r.arm for r in got} == {"language", "language+instrument"}
+    assert max(written) <= 4  # before: all features of both halves
+
+
 def test_score_evidence_writes_no_features(spark, monkeypatch):
     written = []
     for module in (evidence_scorer, newton, wide, evidence, *([catalog] if hasattr(catalog, "materialize") else [])):

@@ -45,14 +45,15 @@ class Assembler:
         return evidence.impute(layers, self.fill).select(*keep, *self.names)
 
 
-def matrices(dev: DataFrame, test: DataFrame, image: str = "image", fraction: float = 0.5, seed: int = 20260920, keep: tuple[str, ...] = ("unit_id",)) -> tuple[Assembler, DataFrame, DataFrame, DataFrame]:
-    """(assembler, score-training rows, calibration rows, test rows).  ``dev`` is split by whole images; the parts must not share one."""
+def matrices(dev: DataFrame, test: DataFrame | None = None, image: str = "image", fraction: float = 0.5, seed: int = 20260920, keep: tuple[str, ...] = ("unit_id",)) -> tuple[Assembler, DataFrame, DataFrame, DataFrame | None]:
+    """(assembler, score-training rows, calibration rows, test rows if there are any).
+
+    ``dev`` is split by whole images, each of which falls to one half, so the halves share none.
+    """
     split = evidence.image_split(dev, image, fraction, seed)
-    train, calibration = split.where("is_score_train"), split.where(~F.col("is_score_train"))
-    evidence.require_apart(train, calibration, image, "training and calibration rows")
     assembler = Assembler.fit(split, test, "is_score_train")
-    held = (*keep, image)
-    return assembler, *(assembler.transform(d, held) for d in (train, calibration, test))
+    part = lambda d: None if d is None else assembler.transform(d, (*keep, image))
+    return assembler, part(split.where("is_score_train")), part(split.where(~F.col("is_score_train"))), part(test)
 
 
 @dataclass
